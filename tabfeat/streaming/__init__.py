@@ -1,0 +1 @@
+"""Streams: the workflow is batch. Fitted transforms are plain projections, so they apply to a streaming frame as they are."""
