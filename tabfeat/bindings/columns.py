@@ -163,13 +163,13 @@ def district_tag_two_columns(load):
 
 @query("a9_model_matrix", f"""SELECT 1.0::DOUBLE AS intercept, l_quantity, l_discount, {r('ln(1 + l_extendedprice)', 6)} AS log1p_l_extendedprice,
   {r('l_quantity * l_quantity')} AS l_quantity_sq, {r('l_quantity * l_tax')} AS "l_quantity:l_tax",
-  {r('l_extendedprice * l_discount', 2)} AS "l_extendedprice:l_discount", l_extendedprice FROM lineitem""")
+  {r('l_extendedprice * l_discount', 6)} AS "l_extendedprice:l_discount", l_extendedprice FROM lineitem""")
 def model_matrix(load):
     matrix = derive.ModelMatrix(
         "l_extendedprice", main=["l_quantity", "l_discount"], log1p=["l_extendedprice"], squares=["l_quantity"],
         products=[("l_quantity", "l_tax"), ("l_extendedprice", "l_discount")])
     return rounded(matrix.fit(load("lineitem")).transform(load("lineitem")), log1p_l_extendedprice=6,
-                   **{"l_extendedprice:l_discount": 2})
+                   **{"l_extendedprice:l_discount": 6})
 
 
 def _hat_sql(x, left, mid, right=None):

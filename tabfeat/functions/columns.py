@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import add, or_
 
@@ -46,6 +46,11 @@ def weighted_sum(weights: Mapping[str, float]) -> Column:
     return reduce(add, terms)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def right_closed_bin(value: Column, edges: Sequence[int]) -> Column:
     """Label of the interval ``(lo, hi]`` holding the value, NULL outside all."""
     out = F.lit(None).cast("string")

@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -175,12 +176,23 @@ class Components:
     def score(self, df: DataFrame, k: int) -> Column:
         out = F.lit(0.0)
         for c, m, s, w in zip(self.cols, self.mean, self.scale, self.loadings[k]):
-            out = out + (numeric(df, c) - F.lit(float(m))) * F.lit(float(w / s))
+            out = out + (F.coalesce(numeric(df, c), F.lit(0.0)) - F.lit(float(m))) * F.lit(float(w / s))
         return out
 
     def transform(self, df: DataFrame, keep: Sequence[str] = (), prefix: str = "pc") -> DataFrame:
-        scores = [self.score(df, k).alias(f"{prefix}{k + 1}") for k in range(len(self.loadings))]
-        return df.select(*[q(c) for c in keep], *scores)
+        """Kept columns and the scores; a matrix product per Arrow batch once there are many terms."""
+        k = len(self.loadings)
+        if k * len(self.cols) <= NARROW * NARROW:
+            return df.select(*[q(c) for c in keep], *[self.score(df, i).alias(f"{prefix}{i + 1}") for i in range(k)])
+        mean, turn = self.mean, (self.loadings / self.scale).T
+
+        @F.pandas_udf("array<double>")
+        def project(x: pd.Series) -> pd.Series:
+            return pd.Series(list((np.stack(x.to_numpy()) - mean) @ turn))
+
+        whole = F.array(*[F.coalesce(numeric(df, c), F.lit(0.0)) for c in self.cols])
+        rows = df.select(*[q(c) for c in keep], project(whole).alias("_scores"))
+        return rows.select(*[q(c) for c in keep], *[F.get("_scores", i).alias(f"{prefix}{i + 1}") for i in range(k)])
 
 
 def pca_of(m: Moments, cols: Sequence[str], k: int, standardize: bool = True) -> Components:

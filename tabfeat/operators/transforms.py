@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import json
 import math
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
@@ -9,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabfeat.functions.columns import numeric, probit, q
+from tabfeat.functions.columns import let, numeric, probit, q
 from tabfeat.operators.ranks import exact_quantiles
 from tabfeat.operators.scale import Scaler, row_normalize
 
@@ -40,13 +42,19 @@ def fit_log(df: DataFrame, columns: Sequence[str]) -> LogTransform:
 # ---- power transforms ------------------------------------------------------------------------
 
 
-def power_value(x: Column, lam: float, method: str) -> Column:
-    """Box-Cox or Yeo-Johnson value at a fixed lambda."""
+def power_value(x: Column, lam: float | Column, method: str) -> Column:
+    """Box-Cox or Yeo-Johnson value at a fixed lambda, given as a number or as a column."""
+
+    def power(base, log, exponent):
+        if isinstance(exponent, Column):
+            raised = F.try_divide(F.pow(base, exponent) - 1, exponent)
+            return F.when(F.abs(exponent) < 1e-12, log).otherwise(raised)
+        return log if abs(exponent) < 1e-12 else (F.pow(base, F.lit(exponent)) - 1) / F.lit(exponent)
+
     if method == "box-cox":
-        return F.log(x) if abs(lam) < 1e-12 else (F.pow(x, F.lit(lam)) - 1) / F.lit(lam)
-    up = F.log1p(x) if abs(lam) < 1e-12 else (F.pow(x + 1, F.lit(lam)) - 1) / F.lit(lam)
-    two = 2 - lam
-    down = -F.log1p(-x) if abs(two) < 1e-12 else (1 - F.pow(1 - x, F.lit(two))) / F.lit(two)
+        return power(x, F.log(x), lam)
+    up = power(x + 1, F.log1p(x), lam)
+    down = -power(1 - x, F.log1p(-x), 2 - lam)
     return F.when(x >= 0, up).otherwise(F.when(x < 0, down))
 
 
@@ -61,26 +69,43 @@ class PowerTransform:
         return (power_value(x, self.lam, self.method) - F.lit(self.mean)) / F.lit(self.std)
 
 
-def _maximise(score: Callable, starts: Mapping[str, tuple], steps: tuple, points: int, rounds: int) -> dict[str, tuple]:
+def _rate(df: DataFrame, work: Mapping[str, Column], grids: Mapping[str, Sequence[tuple]], stats: Callable) -> dict:
+    """Aggregates ``stats(x, point...)`` for every grid point of every column, in one job.
+
+    The grid is data, not code: each row meets the points of its column and is
+    summed per point before any shuffle, and every round runs the same compiled plan.
+    """
+    names = list(grids)
+    points = [[list(map(float, g)) for g in grids[c]] for c in names]
+    table = F.from_json(F.lit(json.dumps(points)), "array<array<array<double>>>")
+    values = F.array(*[F.struct(F.lit(i).alias("i"), work[c].alias("x")) for i, c in enumerate(names)])
+    long = (
+        df.select(F.inline(values)).where("x is not null")
+        .select("i", "x", F.posexplode(F.get(table, F.col("i"))).alias("k", "g"))
+    )
+    rows = long.groupBy("i", "k").agg(*stats(F.col("x"), *[F.get("g", j) for j in range(len(points[0][0]))])).collect()
+    out = {c: [None] * len(grids[c]) for c in names}
+    for r in rows:
+        out[names[r["i"]]][r["k"]] = r
+    return out
+
+
+def _maximise(score: Callable, starts: Mapping[str, tuple], step: float, points: int, rounds: int) -> dict[str, tuple]:
     """Maximise one function per column over a shrinking grid; ``score`` rates all grids in one job.
 
     A window whose best point lies on its border moves without shrinking.
     """
     centre = dict(starts)
-    width = {c: steps for c in starts}
+    width = {c: (step,) * len(s) for c, s in starts.items()}
     half = points // 2
     for _ in range(rounds):
-        grids = {}
-        for c, mid in centre.items():
-            axes = [[m + w * k for k in range(-half, half + 1)] for m, w in zip(mid, width[c])]
-            grid = [()]
-            for axis in axes:
-                grid = [g + (a,) for g in grid for a in axis]
-            grids[c] = grid
+        grids = {
+            c: list(itertools.product(*[[m + w * k for k in range(-half, half + 1)] for m, w in zip(mid, width[c])]))
+            for c, mid in centre.items()
+        }
         scores = score(grids)
         for c, grid in grids.items():
-            best = max(range(len(grid)), key=lambda i: scores[c][i])
-            at = grid[best]
+            at = grid[max(range(len(grid)), key=lambda i: scores[c][i])]
             border = [abs(a - m) > w * (half - 0.5) for a, m, w in zip(at, centre[c], width[c])]
             width[c] = tuple(w if b else w / half for w, b in zip(width[c], border))
             centre[c] = at
@@ -107,18 +132,15 @@ def fit_power(df: DataFrame, columns: Sequence[str], method: str = "yeo-johnson"
     free = [c for c in columns if c not in fixed]
 
     def score(grids):
-        row = df.agg(*[
-            F.var_pop(power_value(work[c], lam, method)).alias(f"{free.index(c)}_{k}")
-            for c, grid in grids.items() for k, (lam,) in enumerate(grid)
-        ]).first()
+        rated = _rate(df, work, grids, lambda x, lam: [F.var_pop(power_value(x, lam, method)).alias("v")])
         return {
-            c: [_log_likelihood(row[f"{free.index(c)}_{k}"], lam, jac[c]) for k, (lam,) in enumerate(grid)]
+            c: [_log_likelihood(r and r["v"], lam, jac[c]) for r, (lam,) in zip(rated[c], grid)]
             for c, grid in grids.items()
         }
 
     lams = {c: (1.0,) for c in fixed}
     if free:
-        lams |= _maximise(score, {c: (0.0,) for c in free}, (1.0,), 11, rounds)
+        lams |= _maximise(score, {c: (0.0,) for c in free}, 1.0, 11, rounds)
     row = df.agg(*[
         e for i, c in enumerate(columns)
         for e in (F.avg(power_value(work[c], lams[c][0], method)).alias(f"m{i}"),
@@ -165,34 +187,29 @@ def fit_johnson(df: DataFrame, columns: Sequence[str], rounds: int = 12) -> dict
     quart = exact_quantiles(df, columns, [0.25, 0.5, 0.75])
     spread = {c: (hi - lo) or 1.0 for c, (lo, _, hi) in quart.items()}
 
-    def parts(c, location, log_width):
-        z = (work[c] - F.lit(quart[c][1] + location * spread[c])) / F.lit(spread[c] * math.exp(log_width))
-        return F.asinh(z), F.log1p(z * z)
+    # in units of the interquartile range around the median
+    unit = {c: (work[c] - F.lit(quart[c][1])) / F.lit(spread[c]) for c in columns}
+
+    def stats(x, location, log_width):
+        z = (x - location) / F.exp(log_width)
+        u = F.asinh(z)
+        return [F.var_pop(u).alias("v"), F.avg(u).alias("m"), F.avg(F.log1p(z * z)).alias("tail")]
 
     def score(grids):
-        aggs = []
-        for i, (c, grid) in enumerate(grids.items()):
-            for k, point in enumerate(grid):
-                u, tail = parts(c, *point)
-                aggs += [F.var_pop(u).alias(f"v{i}_{k}"), F.avg(tail).alias(f"t{i}_{k}")]
-        row = df.agg(*aggs).first()
+        rated = _rate(df, unit, grids, stats)
         return {
             c: [
-                -math.inf if not row[f"v{i}_{k}"]
-                else -0.5 * math.log(row[f"v{i}_{k}"]) - point[1] - 0.5 * row[f"t{i}_{k}"]
-                for k, point in enumerate(grid)
+                -math.inf if r is None or not r["v"] else -0.5 * math.log(r["v"]) - point[1] - 0.5 * r["tail"]
+                for r, point in zip(rated[c], grid)
             ]
-            for i, (c, grid) in enumerate(grids.items())
+            for c, grid in grids.items()
         }
 
-    best = _maximise(score, {c: (0.0, 0.0) for c in columns}, (0.5, 0.5), 5, rounds)
-    row = df.agg(*[
-        e for i, c in enumerate(columns)
-        for e in (F.avg(parts(c, *best[c])[0]).alias(f"m{i}"), F.stddev_pop(parts(c, *best[c])[0]).alias(f"s{i}"))
-    ]).first()
+    best = _maximise(score, {c: (0.0, 0.0) for c in columns}, 0.5, 5, rounds)
+    final = _rate(df, unit, {c: [best[c]] for c in columns}, stats)
     out = {}
-    for i, c in enumerate(columns):
-        mean, std = row[f"m{i}"], row[f"s{i}"] or 1.0
+    for c in columns:
+        mean, std = final[c][0]["m"], math.sqrt(final[c][0]["v"]) or 1.0
         out[c] = JohnsonSU(-mean / std, 1 / std, quart[c][1] + best[c][0] * spread[c], spread[c] * math.exp(best[c][1]))
     return out
 
@@ -226,23 +243,31 @@ class QuantileTransform:
     def uniform(self, x: Column) -> Column:
         """Empirical distribution value by linear interpolation; the middle of a run of equal marks."""
         n = len(self.marks)
-        marks = F.array(*map(F.lit, self.marks))
-        upto, below = _count_up_to(x, marks, n, False), _count_up_to(x, marks, n, True)
-        left, right = F.get(marks, upto - 1), F.get(marks, upto)
-        between = (upto - 1 + (x - left) / (right - left)) / F.lit(float(n - 1))
-        tied = (below + upto - 1) / F.lit(2.0 * (n - 1))
-        return (
-            F.when(x <= self.marks[0] + END_DISTANCE, F.lit(0.0))
-            .when(x >= self.marks[-1] - END_DISTANCE, F.lit(1.0))
-            .when(upto > below, tied)
-            .when(x.isNotNull(), between)
-        )
+        marks = F.split(F.lit(" ".join(map(repr, self.marks))), " ").cast("array<double>")
+        places = F.struct(
+            x.alias("x"), _count_up_to(x, marks, n, False).alias("upto"), _count_up_to(x, marks, n, True).alias("below"))
+
+        def value(at: Column) -> Column:
+            left, right = F.get(marks, at["upto"] - 1), F.get(marks, at["upto"])
+            between = (at["upto"] - 1 + (at["x"] - left) / (right - left)) / F.lit(float(n - 1))
+            tied = (at["below"] + at["upto"] - 1) / F.lit(2.0 * (n - 1))
+            return (
+                F.when(at["x"] <= self.marks[0] + END_DISTANCE, F.lit(0.0))
+                .when(at["x"] >= self.marks[-1] - END_DISTANCE, F.lit(1.0))
+                .when(at["upto"] > at["below"], tied)
+                .when(at["x"].isNotNull(), between)
+            )
+
+        return let(places, value)
 
     def normal(self, x: Column) -> Column:
-        u = self.uniform(x)
-        edge = F.when(u <= 0, F.lit(-NORMAL_BOUND)).when(u >= 1, F.lit(NORMAL_BOUND))
-        inner = F.greatest(F.lit(-NORMAL_BOUND), F.least(F.lit(NORMAL_BOUND), probit(u)))
-        return F.when((u <= 0) | (u >= 1), edge).when(u.isNotNull(), inner)
+        def value(u: Column) -> Column:
+            inner = F.greatest(F.lit(-NORMAL_BOUND), F.least(F.lit(NORMAL_BOUND), probit(u)))
+            return (
+                F.when(u <= 0, F.lit(-NORMAL_BOUND)).when(u >= 1, F.lit(NORMAL_BOUND)).when(u.isNotNull(), inner)
+            )
+
+        return let(self.uniform(x), value)
 
 
 def fit_quantiles(df: DataFrame, columns: Sequence[str], marks: int = 1000) -> dict[str, QuantileTransform]:
