@@ -58,7 +58,7 @@ def exact_quantiles(
             for p in probs:
                 at = p * (counts[k] - 1)
                 low, high = values[k, math.floor(at)], values[k, math.ceil(at)]
-                found[k].append(low + (high - low) * (at - math.floor(at)))
+                found[k].append(low if low == high else low + (high - low) * (at - math.floor(at)))
     return {c: found[k] for k, c in zip(named, cols)}
 
 

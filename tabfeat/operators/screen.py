@@ -17,10 +17,18 @@ from tabfeat.operators.profile import melt, moments_of
 from tabfeat.operators.ranks import BUCKET_ROWS, add_rank
 
 
+def _pearson(df: DataFrame, a: str, b: str):
+    """Pearson over the rows with both values; NULL for a constant column, where corr() returns rounding noise."""
+    x, y = numeric(df, a), numeric(df, b)
+    both = x.isNotNull() & y.isNotNull()
+    x, y = F.when(both, x), F.when(both, y)
+    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(x, y))
+
+
 def pair_correlations(df: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
     """Pearson coefficient of every left column with every right column, pairwise complete."""
     pairs = [(a, b) for a in left for b in right]
-    aggs = [F.corr(numeric(df, a), numeric(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
+    aggs = [_pearson(df, a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
     entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("corr"))
                for i, (a, b) in enumerate(pairs)]
     return df.agg(*aggs).select(F.inline(F.array(*entries)))
@@ -30,7 +38,7 @@ def correlation_matrix(df: DataFrame, features: Sequence[str], target: str, k: i
     """Long matrix over the target and the k features most correlated with it in absolute value."""
     cols = [*features, target]
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    aggs = [F.corr(numeric(df, a), numeric(df, b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
+    aggs = [_pearson(df, a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
     row = df.agg(*aggs)
     values = {p: F.col(f"r{i}") for i, p in enumerate(pairs)}
     full = [

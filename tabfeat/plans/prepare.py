@@ -104,9 +104,9 @@ class Preparation:
         return coded.select(q(p.key), "_split", label.cast("double").alias("label"), *scaled, *self.onehot.columns_of(coded))
 
 
-def training(prepared: DataFrame) -> DataFrame:
+def train_part(prepared: DataFrame) -> DataFrame:
     return prepared.where(training_rows()).drop("_split")
 
 
-def testing(prepared: DataFrame) -> DataFrame:
+def held_part(prepared: DataFrame) -> DataFrame:
     return prepared.where(~training_rows()).drop("_split", "label")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,10 +46,11 @@ def predictions_of(scored: DataFrame, key: str, prediction: str = "prediction",
     return scored.select(q(key), F.expm1(q(prediction)).alias(out))
 
 
-def write_predictions(scored: DataFrame, path: str, key: str, prediction: str = "prediction", out: str = "SalePrice") -> None:
-    """Headered CSV of (key, expm1(prediction)), written by the executors."""
-    predictions_of(scored, key, prediction, out).write.mode("overwrite").option("header", True).csv(path)
+def write_table(df: DataFrame, path: str) -> None:
+    """Headered CSV with doubled quotes, written by the executors."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_table(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
-    (df.select(*[q(c) for c in columns]) if columns else df).write.mode("overwrite").option("header", True).csv(path)
+def write_predictions(scored: DataFrame, path: str, key: str, prediction: str = "prediction", out: str = "SalePrice") -> None:
+    """CSV of (key, expm1(prediction))."""
+    write_table(predictions_of(scored, key, prediction, out), path)
