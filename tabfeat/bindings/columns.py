@@ -363,9 +363,10 @@ def power_fixed(load):
 def power_fitted(load):
     """Fitted lambdas: Yeo-Johnson of a signed column, Box-Cox of a positive one."""
     yj = transforms.fit_power(load("customer"), ["c_acctbal"])["c_acctbal"]
-    bc = transforms.fit_power(load("events"), ["value"], "box-cox")["value"]
+    events = load("events").withColumn("value", q("value") + 1)
+    bc = transforms.fit_power(events, ["value"], "box-cox")["value"]
     a = load("customer").select(F.lit("c_acctbal").alias("column"), F.lit(round(yj.lam, 4)).alias("lambda"), yj.apply(q("c_acctbal")).alias("z"))
-    b = load("events").select(F.lit("value").alias("column"), F.lit(round(bc.lam, 4)).alias("lambda"), bc.apply(q("value")).alias("z"))
+    b = events.select(F.lit("value").alias("column"), F.lit(round(bc.lam, 4)).alias("lambda"), bc.apply(q("value")).alias("z"))
     return rounded(a.unionByName(b).groupBy("column", "lambda").agg(
         F.count("z").alias("n"), F.avg("z").alias("mean"), F.stddev_pop("z").alias("std"), F.skewness("z").alias("skewness")))
 

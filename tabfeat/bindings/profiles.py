@@ -109,19 +109,27 @@ def normal_cdf_sql(z: str) -> str:
     return f"(CASE WHEN {z} > 0 THEN 1 - {tail} ELSE {tail} END)"
 
 
+# one more than the value, which may be zero
+AMOUNTS = "(SELECT value + 1 AS value FROM events)"
+
+
+def _amounts(load):
+    return load("events").select((F.col("value") + 1).alias("value"))
+
+
 def _ks_sql(name, z):
     return f"""SELECT '{name}' AS distribution, {r('max(greatest(abs(f - below), abs(upto - f)))')} AS ks FROM (
   SELECT {normal_cdf_sql('z')} AS f, below, upto FROM (SELECT {z} AS z, (cum - w) * 1.0 / n AS below, cum * 1.0 / n AS upto
-    FROM (SELECT value, w, sum(w) OVER (ORDER BY value) AS cum FROM (SELECT value, count(*) AS w FROM events GROUP BY value)),
-    (SELECT count(*) AS n, avg(value) AS m, stddev_pop(value) AS s, avg(ln(value)) AS lm, stddev_pop(ln(value)) AS ls FROM events)))"""
+    FROM (SELECT value, w, sum(w) OVER (ORDER BY value) AS cum FROM (SELECT value, count(*) AS w FROM {AMOUNTS} GROUP BY value)),
+    (SELECT count(*) AS n, avg(value) AS m, stddev_pop(value) AS s, avg(ln(value)) AS lm, stddev_pop(ln(value)) AS ls FROM {AMOUNTS})))"""
 
 
 @query("p12_distribution_fit", union([_ks_sql("normal", "(value - m) / s"), _ks_sql("lognormal", "(ln(value) - lm) / ls")]))
 def distribution_fit(load):
-    return rounded(profile.distribution_fit(load("events"), "value").where("distribution <> 'johnson_su'"))
+    return rounded(profile.distribution_fit(_amounts(load), "value").where("distribution <> 'johnson_su'"))
 
 
 @query("p12_johnson_fit")
 def johnson_fit(load):
     """All three distances; the Johnson parameters come from an iterative fit."""
-    return rounded(profile.distribution_fit(load("events"), "value"))
+    return rounded(profile.distribution_fit(_amounts(load), "value"))
