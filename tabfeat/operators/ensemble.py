@@ -9,11 +9,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import VectorSlicer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabfeat.functions.columns import numeric, q
 from tabfeat.operators.gram import moments
+from tabfeat.operators.iterate import kept
 from tabfeat.operators.linear import SOLVERS, LinearModel, solve_ols
 from tabfeat.operators.ranks import exact_quantiles
 from tabfeat.operators.search import TREES
@@ -93,18 +95,14 @@ def bagging(
             SOLVERS[family](parts[i].of([*[features[j] for j in subsets[i]], "_y"]), **params) for i in range(n_estimators)
         ]
         return Average(models, features)
-    ready = assemble(df, features, label, keep=key).persist()
-    try:
-        models = []
+    models = []
+    with kept(assemble(df, features, label, keep=key)) as ready:
         for i in range(n_estimators):
             drawn = ready.withColumn("_w", weight(F.lit(i))).where("_w > 0")
             if width < len(features):
-                from pyspark.ml.feature import VectorSlicer
-                drawn = VectorSlicer(inputCol="features", outputCol="_s", indices=subsets[i]).transform(drawn)
-                drawn = drawn.drop("features").withColumnRenamed("_s", "features")
+                slicer = VectorSlicer(inputCol="features", outputCol="_s", indices=subsets[i])
+                drawn = slicer.transform(drawn).drop("features").withColumnRenamed("_s", "features")
             models.append((tree_estimator(family, params, weight="_w", seed=seed + i).fit(drawn), subsets[i]))
-    finally:
-        ready.unpersist()
     if width == len(features):
         return Average([m for m, _ in models], features)
     return SlicedAverage(models, features)
@@ -118,8 +116,6 @@ class SlicedAverage:
     features: list[str]
 
     def predict(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        from pyspark.ml.feature import VectorSlicer
-
         rows = assemble(df, self.features, None, keep)
         for i, (m, subset) in enumerate(self.models):
             rows = VectorSlicer(inputCol="features", outputCol=f"_s{i}", indices=subset).transform(rows)
@@ -168,34 +164,37 @@ def adaboost_r2(
     shape = {"linear": lambda e: e, "square": lambda e: e * e, "exponential": lambda e: 1 - F.exp(-e)}[loss]
     if family not in TREES:
         raise ValueError("boosting needs a tree base learner")
-    rows = cut_lineage(assemble(df, features, label).withColumn("_w", F.lit(1.0)))
     models, weights = [], []
-    for i in range(n_estimators):
-        model = tree_estimator(family, {"max_depth": 3, **(params or {})}, weight="_w", seed=seed + i).fit(rows)
-        scored = model.transform(rows).withColumn("_e", F.abs(F.col("label") - F.col("prediction")))
-        top, mass = scored.agg(F.max("_e"), F.sum("_w")).first()
-        if not top:
+    with kept(assemble(df, features, label)) as base:
+        rows = base.withColumn("_w", F.lit(1.0))
+        held = None
+        for i in range(n_estimators):
+            model = tree_estimator(family, {"max_depth": 3, **(params or {})}, weight="_w", seed=seed + i).fit(rows)
+            gap = F.abs(F.col("label") - F.col("prediction"))
+            scored = model.transform(rows).select("features", "label", "_w", gap.alias("_e"))
+            top, mass = scored.agg(F.max("_e"), F.sum("_w")).first()
+            e = shape(F.col("_e") / F.lit(top)) if top else F.lit(0.0)
+            error = scored.agg(F.sum(F.col("_w") * e)).first()[0] / mass if top else 0.0
+            if error >= 0.5 and models:
+                break
             models.append(model)
-            weights.append(1.0)
-            break
-        e = shape(F.col("_e") / F.lit(top))
-        error = scored.agg(F.sum(F.col("_w") * e)).first()[0] / mass
-        if error >= 0.5:
-            if not models:
-                models.append(model)
-                weights.append(1.0)
-            break
-        beta = error / (1 - error)
-        models.append(model)
-        weights.append(learning_rate * math.log(1 / beta) if beta > 0 else 1.0)
-        if beta <= 0 or i + 1 == n_estimators:
-            break
-        # weights are kept at mean one, so that they neither vanish nor grow
-        raised = F.col("_w") * F.pow(F.lit(beta), (1 - e) * learning_rate)
-        rows = scored.withColumn("_w", raised).select("features", "label", "_w")
-        if (i + 1) % CHECKPOINT_EVERY == 0:
-            mean = rows.agg(F.avg("_w")).first()[0]
-            rows = cut_lineage(rows.withColumn("_w", F.col("_w") / F.lit(mean)))
+            beta = error / (1 - error) if error < 0.5 else 1.0
+            weights.append(learning_rate * math.log(1 / beta) if 0 < beta < 1 else 1.0)
+            if not 0 < beta < 1 or i + 1 == n_estimators:
+                break
+            # the worst row keeps its weight, the others lose some; all are brought back to mean one at every checkpoint
+            raised = F.col("_w") * F.pow(F.lit(beta), (1 - e) * learning_rate)
+            rows = scored.select("features", "label", raised.alias("_w"))
+            if (i + 1) % CHECKPOINT_EVERY == 0:
+                mean = rows.agg(F.avg("_w")).first()[0]
+                rows = cut_lineage(rows.withColumn("_w", F.col("_w") / F.lit(mean)))
+            else:
+                rows = rows.persist()
+            if held is not None:
+                held.unpersist()
+            held = rows
+        if held is not None:
+            held.unpersist()
     return WeightedMedian(models, weights, list(features))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tabfeat.functions.columns import numeric
 from tabfeat.operators.gram import Moments, moments
+from tabfeat.operators.iterate import kept
 
 
 @dataclass(frozen=True)
@@ -188,13 +189,10 @@ def fit_huber(df: DataFrame, features: Sequence[str], label: str, epsilon: float
     from pyspark.ml.regression import LinearRegression
 
     rows = df.select(*[numeric(df, c).alias(c) for c in features], numeric(df, label).alias("_y")).dropna()
-    ready = VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows).select("_x", "_y").persist()
-    try:
+    with kept(VectorAssembler(inputCols=list(features), outputCol="_x").transform(rows).select("_x", "_y")) as ready:
         fitted = LinearRegression(
             featuresCol="_x", labelCol="_y", loss="huber", epsilon=epsilon, regParam=alpha / ready.count(),
             elasticNetParam=0.0, maxIter=max_iter, standardization=False).fit(ready)
-    finally:
-        ready.unpersist()
     return LinearModel(list(features), [float(w) for w in fitted.coefficients], float(fitted.intercept))
 
 
@@ -219,8 +217,8 @@ def fit_insensitive(
     objective never rises.
     """
     features = list(features)
-    rows = df.select(*[numeric(df, f).alias(f) for f in features], numeric(df, label).alias("_y")).dropna().persist()
-    try:
+    rows = df.select(*[numeric(df, f).alias(f) for f in features], numeric(df, label).alias("_y")).dropna()
+    with kept(rows) as rows:
         m = moments(rows, [*features, "_y"])[None]
         n = m.n
         l1, l2, scale = (0.0, 1.0, c) if c is not None else (n * alpha * l1_ratio, n * alpha * (1 - l1_ratio), 1.0)
@@ -252,6 +250,4 @@ def fit_insensitive(
             model = new
             if moved <= tol * math.sqrt(m.scatter[-1, -1] / n):
                 break
-    finally:
-        rows.unpersist()
     return model

@@ -89,21 +89,25 @@ def _select_ranks(df, wanted, counts, limit):
         for i, ((k, r), (lo, hi, below, n)) in enumerate(tight.items()):
             at = (r - below) / (n - 1) if n > 1 else 0.0
             exprs.append(F.percentile(F.when(_inside(k, lo, hi), F.col(k)), F.lit(at)).alias(f"t{i}"))
-        for i, ((k, r), (lo, hi, below, n)) in enumerate(wide.items()):
+        # ranks looked for in the same bracket share one sketch
+        shared: dict[tuple, list] = {}
+        for (k, r), (lo, hi, below, n) in wide.items():
             at, slack = (r - below) / n, 2 / SKETCH_ACCURACY
-            ends_at = [F.lit(max(0.0, at - slack)), F.lit(min(1.0, at + slack))]
-            exprs.append(
-                F.percentile_approx(
-                    F.when(_inside(k, lo, hi), F.col(k)), F.array(*ends_at), F.lit(SKETCH_ACCURACY)
-                ).alias(f"w{i}")
-            )
+            shared.setdefault((k, lo, hi), []).append(((k, r), max(0.0, at - slack), min(1.0, at + slack)))
+        for i, ((k, lo, hi), asked) in enumerate(shared.items()):
+            probes = F.array(*[F.lit(x) for _, a, b in asked for x in (a, b)])
+            inside = F.when(_inside(k, lo, hi), F.col(k))
+            exprs.append(F.percentile_approx(inside, probes, F.lit(SKETCH_ACCURACY)).alias(f"w{i}"))
         row = df.agg(*exprs).first()
         for i, t in enumerate(tight):
             done[t] = row[f"t{i}"]
             del open_[t]
         if not wide:
             continue
-        cuts = {t: row[f"w{i}"] for i, t in enumerate(wide)}
+        cuts = {
+            t: (row[f"w{i}"][2 * j], row[f"w{i}"][2 * j + 1])
+            for i, asked in enumerate(shared.values()) for j, (t, _, _) in enumerate(asked)
+        }
         exprs = []
         for i, (t, (lo, hi, _, _)) in enumerate(wide.items()):
             k, inside = t[0], _inside(t[0], lo, hi)
@@ -129,15 +133,18 @@ def _select_ranks(df, wanted, counts, limit):
     return done
 
 
-def _splits(df: DataFrame, keys: Sequence[str], value: str, bucket_rows: int) -> DataFrame | None:
+def _splits(
+    df: DataFrame, keys: Sequence[str], value: str, bucket_rows: int, largest: int | None = None
+) -> DataFrame | None:
     """Bucket borders of every key group too large for one window, or None when there is none.
 
     The number of borders over all groups is at most rows / bucket_rows, so the
     table may be collected and broadcast. Collecting also fixes them: a sketch
     evaluated twice could differ.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    if largest is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        largest = sizes.agg(F.max("_n")).first()[0] or 0
     buckets = min(MAX_BUCKETS, math.ceil(largest / bucket_rows))
     if buckets <= 1:
         return None
@@ -178,6 +185,7 @@ def add_rank(
     weight: str | None = None,
     salt: Sequence[str] = (),
     bucket_rows: int = BUCKET_ROWS,
+    largest: int | None = None,
 ) -> DataFrame:
     """Add ``<value>_before`` and ``<value>_ties``: rows (or weight) of the key group below and equal.
 
@@ -190,7 +198,7 @@ def add_rank(
     work = df
     if not keys:
         work, keys = df.withColumn("_all", F.lit(0)), ["_all"]
-    splits = _splits(work, keys, value, bucket_rows)
+    splits = _splits(work, keys, value, bucket_rows, largest)
     if splits is None:
         upto = F.sum(w).over(Window.partitionBy(*keys).orderBy(value))
         same = F.sum(w).over(Window.partitionBy(*keys, value))

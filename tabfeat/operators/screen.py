@@ -7,14 +7,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabfeat.functions.columns import numeric, q
 from tabfeat.functions.tails import correlation_p, f_tail, log_f_tail, normal_two_sided, t_two_sided
 from tabfeat.operators.gram import Moments, fit_pca, moments
+from tabfeat.operators.iterate import kept
 from tabfeat.operators.profile import melt, moments_of
 from tabfeat.operators.ranks import BUCKET_ROWS, add_rank
+from tabfeat.session import cut_lineage
 
 
 def _pearson(df: DataFrame, a: str, b: str):
@@ -65,19 +68,45 @@ def top_correlations(df: DataFrame, features: Sequence[str], target: str, k: int
 
 # ---- rank correlation ------------------------------------------------------------------------
 
-DIGIT_BITS = 6
 
 
-def _counted_pairs(df: DataFrame, target: str, features: Sequence[str], bucket_rows: int) -> DataFrame:
+def _counted_pairs(base: DataFrame, target: str, features: Sequence[str], rows: int, bucket_rows: int) -> DataFrame:
     """Distinct (feature, x, y) with their count ``w`` and the ranks of x and y inside the feature.
 
     Counting equal pairs first keeps frequent values from travelling row by row.
+    ``rows`` bounds the pairs of one feature.
     """
-    base = df.select(numeric(df, target).alias("y"), *[numeric(df, f).alias(f) for f in features])
-    long = base.unpivot(["y"], [q(f) for f in features], "feature", "x").where("x is not null and y is not null")
+    long = base.unpivot([q(target).alias("y")], [q(f) for f in features], "feature", "x")
+    long = long.where("x is not null and y is not null")
     counted = long.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("w"))
-    ranked = add_rank(counted, "x", ["feature"], "w", salt=["y"], bucket_rows=bucket_rows)
-    return add_rank(ranked, "y", ["feature"], "w", salt=["x"], bucket_rows=bucket_rows)
+    if rows > bucket_rows:  # ranking then reads the pairs several times
+        counted = cut_lineage(counted)
+    ranked = add_rank(counted, "x", ["feature"], "w", salt=["y"], bucket_rows=bucket_rows, largest=rows)
+    return add_rank(ranked, "y", ["feature"], "w", salt=["x"], bucket_rows=bucket_rows, largest=rows)
+
+
+def _rank_statistics(df, target, features, bucket_rows, spearman=True, kendall=True, pearson=True) -> dict[str, dict]:
+    """The wanted coefficients of every feature, as one small row per feature."""
+    cols = dict.fromkeys([*features, target])
+    out = {f: {} for f in features}
+    with kept(df.select(*[numeric(df, c).alias(c) for c in cols])) as base:
+        rows = base.count()
+        if target in features:
+            base = base.withColumn("_target", q(target))
+            target = "_target"
+        ranked = _counted_pairs(base, target, features, rows, bucket_rows)
+        if spearman and kendall:
+            ranked = ranked.persist()
+        parts = [_spearman(ranked)] if spearman else []
+        parts += [_kendall(ranked, rows)] if kendall else []
+        for r in (r for p in parts for r in p.collect()):
+            out[r["feature"]] |= r.asDict()
+        if pearson:
+            for r in pair_correlations(base, features, [target]).collect():
+                out[r["a"]]["pearson"] = r["corr"]
+        if spearman and kendall:
+            ranked.unpersist()
+    return out
 
 
 def _spearman(ranked: DataFrame) -> DataFrame:
@@ -93,13 +122,16 @@ def _spearman(ranked: DataFrame) -> DataFrame:
     )
 
 
-SMALL_GROUP = 128
+# Ranks are split into digits of this many bits; within a task the digits are split once more.
+DIGIT_BITS = 10
+PART_BITS = 5
+SMALL_GROUP = 64
 PRODUCTS = 1 << 22
 
 
 def _grid_score(i, j, w):
     """Concordant minus discordant weight of one group of cells, by running sums over the grid."""
-    grid = np.zeros((1 << DIGIT_BITS, 1 << DIGIT_BITS))
+    grid = np.zeros((1 << PART_BITS, 1 << PART_BITS))
     grid[i, j] = w
     below = np.zeros_like(grid)
     below[1:] = grid.cumsum(0)[:-1]
@@ -109,12 +141,13 @@ def _grid_score(i, j, w):
     return float((grid * (left - right)).sum())
 
 
-def _group_scores(start, size, i, j, w):
-    """Scores of many groups; those of similar small size are compared cell by cell in one numpy step."""
-    out = np.zeros(len(size))
+def _part_scores(size, i, j, w):
+    """Summed score of consecutive groups of cells; groups of similar small size are compared in one numpy step."""
+    start = np.cumsum(size) - size
+    score = 0.0
     for g in np.flatnonzero(size > SMALL_GROUP):
         at = slice(start[g], start[g] + size[g])
-        out[g] = _grid_score(i[at], j[at], w[at])
+        score += _grid_score(i[at], j[at], w[at])
     width = 2
     while width <= SMALL_GROUP:
         members = np.flatnonzero((size <= width) & (size > width // 2))
@@ -123,18 +156,34 @@ def _group_scores(start, size, i, j, w):
             at = np.minimum(start[part][:, None] + place, len(i) - 1)
             weight = np.where(place < size[part][:, None], w[at], 0.0)
             order = np.sign(i[at][:, :, None] - i[at][:, None, :]) * np.sign(j[at][:, :, None] - j[at][:, None, :])
-            out[part] = np.einsum("gp,gpq,gq->g", weight, order.astype(float), weight) / 2
+            score += np.einsum("gp,gpq,gq->", weight, order.astype(float), weight) / 2
         width *= 2
-    return out
+    return score
+
+
+def _digit_scores(group, i, j, w):
+    """Summed score of cells (i, j, w) over groups; two cells differ first in one part of each digit."""
+    score, mask = 0.0, (1 << PART_BITS) - 1
+    places = range(0, DIGIT_BITS, PART_BITS)
+    for a in places:
+        for b in places:
+            px, py = i >> (a + PART_BITS), j >> (b + PART_BITS)
+            pi, pj = (i >> a) & mask, (j >> b) & mask
+            key = (((group << DIGIT_BITS | px) << DIGIT_BITS | py) << PART_BITS | pi) << PART_BITS | pj
+            cells, at = np.unique(key, return_inverse=True)
+            weight = np.bincount(at, w)
+            _, size = np.unique(cells >> (2 * PART_BITS), return_counts=True)
+            score += _part_scores(size, (cells >> PART_BITS) & mask, cells & mask, weight)
+    return score
 
 
 def _concordance(ranked: DataFrame, n: int) -> DataFrame:
     """Concordant minus discordant pairs per feature, exact and without comparing rows.
 
-    Ranks are written in base 64. Two rows differ first in exactly one digit of x
-    and one of y, so each pair of rows is counted once, in the group that shares
-    the higher digits of both; a group holds at most 64 x 64 counted cells however
-    many rows fall into it.
+    Ranks are written in base 1024. Two rows differ first in exactly one digit of
+    x and one of y, so each pair of rows is counted once, in the group that shares
+    the higher digits of both; a group holds at most 1024 x 1024 counted cells
+    however many rows fall into it.
     """
     digits = max(1, math.ceil(max(n, 2).bit_length() / DIGIT_BITS))
     places = F.explode(F.array(*[
@@ -154,16 +203,23 @@ def _concordance(ranked: DataFrame, n: int) -> DataFrame:
         prefix("x", "a").alias("px"), prefix("y", "b").alias("py"), digit("x", "a").alias("i"), digit("y", "b").alias("j"),
     ).agg(F.sum("w").cast("double").alias("w"))
     groups = cells.groupBy("feature", "a", "b", "px", "py").agg(F.collect_list(F.struct("i", "j", "w")).alias("cells"))
-    # a group with a single row or a single column of cells has no pair to count
+    # a single cell has no partner
     many = groups.where(F.size("cells") > 1)
 
     def score(batches):
-        for b in batches:
-            cells = b.column("cells")
-            offsets, flat = cells.offsets.to_numpy(), cells.values
+        for batch in batches:
+            names = pc.dictionary_encode(batch.column("feature"))
+            cells = batch.column("cells")
+            size = np.diff(cells.offsets.to_numpy())
+            flat = cells.flatten()
             i, j, w = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            scores = _group_scores(offsets[:-1], np.diff(offsets), i, j, w)
-            yield pa.RecordBatch.from_arrays([b.column("feature"), pa.array(scores)], names=["feature", "s"])
+            owner = np.repeat(names.indices.to_numpy(), size)
+            group = np.repeat(np.arange(len(size)), size)
+            out = [
+                _digit_scores(group[at], i[at].astype(np.int64), j[at].astype(np.int64), w[at])
+                for at in (owner == f for f in range(len(names.dictionary)))
+            ]
+            yield pa.RecordBatch.from_arrays([names.dictionary, pa.array(out, pa.float64())], names=["feature", "s"])
 
     scored = many.select("feature", "cells").mapInArrow(score, "feature string, s double")
     return scored.groupBy("feature").agg(F.sum("s").alias("score"))
@@ -188,24 +244,14 @@ def corr_screen(
     df: DataFrame, target: str, features: Sequence[str], bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
     """Kendall tau-b, Pearson and Spearman with two-sided p-values, one row per feature."""
-    rows = df.count()
-    ranked = _counted_pairs(df, target, features, bucket_rows).persist()
-    try:
-        rho = {r["feature"]: r for r in _spearman(ranked).collect()}
-        tau = {r["feature"]: r for r in _kendall(ranked, rows).collect()}
-    finally:
-        ranked.unpersist()
-    pearson = {r["a"]: r["corr"] for r in pair_correlations(df, features, [target]).collect()}
-    out = []
-    for f in features:
-        if f not in rho:
+    nan, out = math.nan, []
+    for f, r in _rank_statistics(df, target, features, bucket_rows).items():
+        if "n" not in r:  # no row with both values
             out.append((f, *[None] * 6))
             continue
-        n = int(rho[f]["n"])
-        t, p_tau = _tau(tau[f])
-        r, s = pearson[f], rho[f]["spearman"]
-        nan = math.nan
-        out.append((f, t, p_tau, nan if r is None else r, nan if r is None else correlation_p(r, n),
+        n = int(r["n"])
+        p, s = r["pearson"], r["spearman"]
+        out.append((f, *_tau(r), nan if p is None else p, nan if p is None else correlation_p(p, n),
                     nan if s is None else s, nan if s is None else correlation_p(s, n)))
     return df.sparkSession.createDataFrame(
         out, "feature string, kendall_tau double, kendall_p double, pearson double, pearson_p double, "
@@ -227,16 +273,15 @@ def _tau(r):
 
 def spearman(df: DataFrame, target: str, features: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Spearman coefficients, largest first."""
-    ranked = _counted_pairs(df, target, features, bucket_rows)
-    return _spearman(ranked).select("feature", "spearman").orderBy(F.desc("spearman"), "feature")
+    found = _rank_statistics(df, target, features, bucket_rows, kendall=False, pearson=False)
+    rows = [(f, r.get("spearman")) for f, r in found.items()]
+    return df.sparkSession.createDataFrame(rows, "feature string, spearman double").orderBy(F.desc("spearman"), "feature")
 
 
 def kendall_tau(df: DataFrame, target: str, features: Sequence[str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    ranked = _counted_pairs(df, target, features, bucket_rows)
-    k = _kendall(ranked, df.count())
-    pairs = F.col("n") * (F.col("n") - 1) / 2
-    free = (pairs - F.col("x1") / 2) * (pairs - F.col("y1") / 2)
-    return k.select("feature", F.try_divide(F.col("score"), F.sqrt(free)).alias("kendall_tau"))
+    found = _rank_statistics(df, target, features, bucket_rows, spearman=False, pearson=False)
+    rows = [(f, _tau(r)[0] if "n" in r else None) for f, r in found.items()]
+    return df.sparkSession.createDataFrame(rows, "feature string, kendall_tau double")
 
 
 def select_by_pearson(
@@ -371,9 +416,7 @@ def kmeans_segments(df: DataFrame, key: str, features: Sequence[str], components
     fitted = fit_pca(df, features, min(components, len(features)))
     scores = fitted.transform(df, keep=[key])
     names = [c for c in scores.columns if c != key]
-    ready = scores.select(q(key), array_to_vector(F.array(*[F.col(c) for c in names])).alias("_pc")).persist()
-    try:
-        model = KMeans(k=k, seed=seed, featuresCol="_pc", predictionCol="cluster").fit(ready)
-    finally:
-        ready.unpersist()
+    ready = scores.select(q(key), array_to_vector(F.array(*[F.col(c) for c in names])).alias("_pc"))
+    with kept(ready) as rows:
+        model = KMeans(k=k, seed=seed, featuresCol="_pc", predictionCol="cluster").fit(rows)
     return model.transform(ready).select(q(key), "cluster"), fitted

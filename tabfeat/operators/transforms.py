@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabfeat.functions.columns import let, numeric, probit, q
+from tabfeat.operators.iterate import kept
 from tabfeat.operators.ranks import exact_quantiles
 from tabfeat.operators.scale import Scaler, row_normalize
 
@@ -132,7 +133,7 @@ def fit_power(df: DataFrame, columns: Sequence[str], method: str = "yeo-johnson"
     free = [c for c in columns if c not in fixed]
 
     def score(grids):
-        rated = _rate(df, work, grids, lambda x, lam: [F.var_pop(power_value(x, lam, method)).alias("v")])
+        rated = _rate(rows, {c: q(c) for c in free}, grids, lambda x, lam: [F.var_pop(power_value(x, lam, method)).alias("v")])
         return {
             c: [_log_likelihood(r and r["v"], lam, jac[c]) for r, (lam,) in zip(rated[c], grid)]
             for c, grid in grids.items()
@@ -140,7 +141,8 @@ def fit_power(df: DataFrame, columns: Sequence[str], method: str = "yeo-johnson"
 
     lams = {c: (1.0,) for c in fixed}
     if free:
-        lams |= _maximise(score, {c: (0.0,) for c in free}, 1.0, 11, rounds)
+        with kept(df.select(*[work[c].alias(c) for c in free])) as rows:
+            lams |= _maximise(score, {c: (0.0,) for c in free}, 1.0, 11, rounds)
     row = df.agg(*[
         e for i, c in enumerate(columns)
         for e in (F.avg(power_value(work[c], lams[c][0], method)).alias(f"m{i}"),
@@ -196,7 +198,7 @@ def fit_johnson(df: DataFrame, columns: Sequence[str], rounds: int = 12) -> dict
         return [F.var_pop(u).alias("v"), F.avg(u).alias("m"), F.avg(F.log1p(z * z)).alias("tail")]
 
     def score(grids):
-        rated = _rate(df, unit, grids, stats)
+        rated = _rate(rows, {c: q(c) for c in columns}, grids, stats)
         return {
             c: [
                 -math.inf if r is None or not r["v"] else -0.5 * math.log(r["v"]) - point[1] - 0.5 * r["tail"]
@@ -205,8 +207,9 @@ def fit_johnson(df: DataFrame, columns: Sequence[str], rounds: int = 12) -> dict
             for c, grid in grids.items()
         }
 
-    best = _maximise(score, {c: (0.0, 0.0) for c in columns}, 0.5, 5, rounds)
-    final = _rate(df, unit, {c: [best[c]] for c in columns}, stats)
+    with kept(df.select(*[unit[c].alias(c) for c in columns])) as rows:
+        best = _maximise(score, {c: (0.0, 0.0) for c in columns}, 0.5, 5, rounds)
+        final = _rate(rows, {c: q(c) for c in columns}, {c: [best[c]] for c in columns}, stats)
     out = {}
     for c in columns:
         mean, std = final[c][0]["m"], math.sqrt(final[c][0]["v"]) or 1.0

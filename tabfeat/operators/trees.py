@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabfeat.functions.columns import numeric, q
+from tabfeat.operators.iterate import kept
 
 MAX_DEPTH = 30
 # Losses and feature subset names as users write them.
@@ -76,11 +77,8 @@ def depth_for_leaves(leaves: int) -> int:
 
 def fit_tree(df: DataFrame, features: Sequence[str], label: str, kind: str, params: Mapping | None = None, seed: int = 0):
     """Fitted model; apply it to frames from ``assemble``."""
-    ready = assemble(df, features, label).persist()
-    try:
+    with kept(assemble(df, features, label)) as ready:
         return tree_estimator(kind, params, seed=seed).fit(ready)
-    finally:
-        ready.unpersist()
 
 
 def tree_size_search(
@@ -92,14 +90,11 @@ def tree_size_search(
     Spark bounds depth rather than leaves, so a size means the depth able to hold
     it; sizes of equal depth share one fit.
     """
-    ready = assemble(df, features, label, keep=[train]).persist()
-    try:
-        mae = {}
+    mae = {}
+    with kept(assemble(df, features, label, keep=[train])) as ready:
         for depth in sorted({depth_for_leaves(s) for s in sizes}):
             model = tree_estimator(kind, {**(params or {}), "max_depth": depth}, seed=seed).fit(ready.where(q(train)))
             scored = model.transform(ready.where(~q(train)))
             mae[depth] = scored.agg(F.avg(F.abs(F.col("label") - F.col("prediction")))).first()[0]
-    finally:
-        ready.unpersist()
     rows = [(int(s), depth_for_leaves(s), float(mae[depth_for_leaves(s)])) for s in sizes]
     return df.sparkSession.createDataFrame(rows, "size int, depth int, mae double").orderBy("mae", "size")

@@ -38,19 +38,18 @@ def test_rank_correlations_match_brute_force(tied, bucket):
     assert math.isnan(got["k"]["pearson"]) and math.isnan(got["k"]["kendall_tau"])
 
 
-def test_kendall_of_larger_groups_uses_every_path():
+def test_cell_scores_use_every_path():
     rng = np.random.default_rng(1)
-    parts, start, want = [], [], []
-    for size in (2, 3, 9, 60, 127, 128, 129, 900):
-        cells = np.unique(rng.integers(0, 64, (size, 2)), axis=0)
+    parts, want = [], 0.0
+    for g, (size, high) in enumerate([(2, 1024), (3, 8), (9, 64), (60, 32), (64, 1024), (700, 40), (900, 1024), (1500, 1024)]):
+        cells = np.unique(rng.integers(0, high, (size, 2)), axis=0)
         w = rng.integers(1, 9, len(cells)).astype(float)
-        start.append(sum(len(p[0]) for p in parts))
-        parts.append((cells[:, 0], cells[:, 1], w))
+        parts.append((np.full(len(cells), g), cells[:, 0], cells[:, 1], w))
         sx, sy = (np.sign(c[:, None] - c[None]) for c in cells.T)
-        want.append((sx * sy * np.outer(w, w)).sum() / 2)
-    i, j, w = (np.concatenate(c) for c in zip(*parts))
-    sizes = np.array([len(p[0]) for p in parts])
-    assert np.allclose(screen._group_scores(np.array(start), sizes, i, j, w), want)
+        want += (sx * sy * np.outer(w, w)).sum() / 2
+    group, i, j, w = (np.concatenate(c) for c in zip(*parts))
+    mixed = rng.permutation(len(group))
+    assert math.isclose(screen._digit_scores(group[mixed], i[mixed], j[mixed], w[mixed]), want)
 
 
 def test_small_exact_p_values():
