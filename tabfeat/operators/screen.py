@@ -28,33 +28,57 @@ def _pearson(df: DataFrame, a: str, b: str):
     return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(x, y))
 
 
+PAIRS_PER_JOB = 60
+
+
+def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
+    """Pairwise complete coefficients.
+
+    A few pairs are aggregates of one job. For many, columns without missing
+    values share one second-moment scan, and only pairs with a gappy column are
+    aggregated one by one.
+    """
+    out: dict[tuple[str, str], float | None] = {}
+    left = list(dict.fromkeys(pairs))
+    if len(left) > PAIRS_PER_JOB:
+        cols = list(dict.fromkeys(c for p in left for c in p))
+        row = df.agg(F.count(F.lit(1)).alias("rows"), *[
+            e for i, c in enumerate(cols)
+            for e in (F.count(numeric(df, c)).alias(f"n{i}"), F.min(numeric(df, c)).alias(f"lo{i}"), F.max(numeric(df, c)).alias(f"hi{i}"))
+        ]).first()
+        whole = [c for i, c in enumerate(cols) if row[f"n{i}"] == row["rows"] and row["rows"]]
+        varied = {c for i, c in enumerate(cols) if row[f"n{i}"] and row[f"lo{i}"] < row[f"hi{i}"]}
+        if len(whole) > 1:
+            at = {c: i for i, c in enumerate(whole)}
+            scatter = moments(df, whole)[None].scatter
+            for a, b in left:
+                if a in at and b in at:
+                    size = math.sqrt(scatter[at[a], at[a]] * scatter[at[b], at[b]])
+                    known = {a, b} <= varied and size > 0
+                    out[a, b] = float(np.clip(scatter[at[a], at[b]] / size, -1, 1)) if known else None
+        left = [p for p in left if p not in out]
+    for start in range(0, len(left), PAIRS_PER_JOB):
+        part = left[start:start + PAIRS_PER_JOB]
+        row = df.agg(*[_pearson(df, a, b).alias(f"r{i}") for i, (a, b) in enumerate(part)]).first()
+        out |= {p: row[f"r{i}"] for i, p in enumerate(part)}
+    return out
+
+
 def pair_correlations(df: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:
     """Pearson coefficient of every left column with every right column, pairwise complete."""
-    pairs = [(a, b) for a in left for b in right]
-    aggs = [_pearson(df, a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-    entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("corr"))
-               for i, (a, b) in enumerate(pairs)]
-    return df.agg(*aggs).select(F.inline(F.array(*entries)))
+    found = _correlations(df, [(a, b) for a in left for b in right])
+    return df.sparkSession.createDataFrame([(a, b, r) for (a, b), r in found.items()], "a string, b string, corr double")
 
 
 def correlation_matrix(df: DataFrame, features: Sequence[str], target: str, k: int | None = None) -> DataFrame:
     """Long matrix over the target and the k features most correlated with it in absolute value."""
     cols = [*features, target]
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    aggs = [_pearson(df, a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-    row = df.agg(*aggs)
-    values = {p: F.col(f"r{i}") for i, p in enumerate(pairs)}
-    full = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), values.get((a, b), values.get((b, a))).alias("corr"))
-        for a in cols for b in cols
-    ]
-    long = row.select(F.inline(F.array(*full)))
-    if k is None:
-        return long
-    against = {f: values.get((f, target)) for f in features}
-    best = row.select(*[F.abs(v).alias(f) for f, v in against.items()]).first()
-    kept = sorted(features, key=lambda f: (-(best[f] if best[f] is not None else -1), f))[:k] + [target]
-    return long.where(F.col("a").isin(kept) & F.col("b").isin(kept))
+    found = _correlations(df, [(a, b) for i, a in enumerate(cols) for b in cols[i:]])
+    if k is not None:
+        size = {f: -1.0 if found[f, target] is None else abs(found[f, target]) for f in features}
+        cols = sorted(features, key=lambda f: (-size[f], f))[:k] + [target]
+    rows = [(a, b, found.get((a, b), found.get((b, a)))) for a in cols for b in cols]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double")
 
 
 def top_correlations(df: DataFrame, features: Sequence[str], target: str, k: int) -> DataFrame:

@@ -152,3 +152,18 @@ def test_kmeans_finds_separate_clusters(spark):
     df = spark.createDataFrame(pd.DataFrame({"id": range(200), "a": x[:, 0], "b": x[:, 1]}))
     labelled, _ = screen.kmeans_segments(df, "id", ["a", "b"], seed=1)
     assert sum(r["count"] for r in labelled.groupBy("cluster").count().collect()) == 200
+
+
+def test_many_pairs_share_a_scan_but_stay_pairwise_complete(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame(rng.normal(5, 1, (300, 12)), columns=[f"x{i}" for i in range(12)])
+    pdf.loc[rng.random(300) < 0.2, "x3"] = np.nan
+    pdf["x5"] = 0.1
+    df = spark.createDataFrame(pdf).repartition(4)
+    got = screen.correlation_matrix(df, list(pdf.columns[:-1]), "x11").toPandas().pivot(index="a", columns="b", values="corr")
+    want = pdf.corr().loc[got.index, got.columns]
+    assert got.loc["x5"].isna().all()
+    free = [c for c in got.columns if c != "x5"]
+    assert np.allclose(got.loc[free, free], want.loc[free, free])
+    top = screen.correlation_matrix(df, list(pdf.columns[:-1]), "x11", k=3)
+    assert top.count() == 16
