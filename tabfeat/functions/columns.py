@@ -51,6 +51,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def count_below(value: Column, marks: Column, most: int, strict: bool) -> Column:
+    """How many of at most ``most`` sorted marks are < (or <=) the value, by binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+
+    def probe(at: Column, step: Column) -> Column:
+        mark = F.get(marks, at + step - 1)
+        passed = mark < value if strict else mark <= value
+        return F.when(F.coalesce(passed, F.lit(False)), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), probe)
+
+
 def right_closed_bin(value: Column, edges: Sequence[int]) -> Column:
     """Label of the interval ``(lo, hi]`` holding the value, NULL outside all."""
     out = F.lit(None).cast("string")

@@ -33,7 +33,7 @@ def fold_of(rn: Column, n: int, folds: int) -> Column:
 def kfold_assign(df: DataFrame, key: str, folds: int = 4, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Add ``fold`` 0..folds-1, unshuffled in the order of the unique numeric key."""
     n = df.count()
-    numbered = row_number(df, key, bucket_rows)
+    numbered = row_number(df, key, bucket_rows, largest=n)
     return numbered.withColumn("fold", fold_of(F.col("rn"), n, folds)).drop("rn")
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from tabfeat.functions.columns import INTEGRALS, NUMERICS, is_missing, normal_cdf, numeric, q
 from tabfeat.operators.lookup import lookup_join
-from tabfeat.operators.ranks import add_rank, exact_quantiles, grouped_quantiles
+from tabfeat.operators.ranks import BUCKET_ROWS, add_rank, exact_quantiles, grouped_quantiles
+from tabfeat.session import cut_lineage
 
 MAX_BINS = 50
 
@@ -197,10 +198,12 @@ def segment_difference(df: DataFrame, target: str, features: Sequence[str], thre
 def ks_distances(df: DataFrame, column: str, cdfs: dict, bucket_rows: int | None = None) -> DataFrame:
     """Kolmogorov-Smirnov distance of the column to each distribution ``name -> cdf(Column)``."""
     values = df.select(numeric(df, column).alias("x")).where("x is not null")
-    counted = values.groupBy("x").agg(F.count(F.lit(1)).alias("w"))
-    kw = {} if bucket_rows is None else {"bucket_rows": bucket_rows}
-    ranked = add_rank(counted, "x", weight="w", **kw)
     n = values.count()
+    limit = bucket_rows or BUCKET_ROWS
+    counted = values.groupBy("x").agg(F.count(F.lit(1)).alias("w"))
+    if n > limit:  # ranking then reads the counts several times
+        counted = cut_lineage(counted)
+    ranked = add_rank(counted, "x", weight="w", bucket_rows=limit, largest=n)
     below, upto = F.col("x_before") / n, (F.col("x_before") + F.col("x_ties")) / n
     aggs = []
     for i, cdf in enumerate(cdfs.values()):

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabfeat.functions.columns import numeric, q
+from tabfeat.functions.columns import count_below, numeric, q
 from tabfeat.operators.lookup import lookup_join
 
 # Values one exact percentile() buffer may hold, and rows one window bucket may hold.
@@ -163,17 +163,12 @@ def _splits(
     return df.sparkSession.createDataFrame(rows, table.schema)
 
 
-def _bucket_of(value: Column, splits: Column, levels: int) -> Column:
+def _bucket_of(value: Column, splits: Column) -> Column:
     """Twice the number of borders <= value, minus one when the value is a border itself.
 
-    Odd buckets therefore hold a single value. Found by binary search.
+    Odd buckets therefore hold a single value.
     """
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(levels))])
-    count = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, s: F.when(F.coalesce(F.get(splits, at + s - 1) <= value, F.lit(False)), at + s).otherwise(at),
-    )
+    count = count_below(value, splits, MAX_BUCKETS, strict=False)
     on_border = F.coalesce(F.get(splits, count - 1) == value, F.lit(False))
     return F.coalesce(count * 2 - on_border.cast("int"), F.lit(0))
 
@@ -204,9 +199,8 @@ def add_rank(
         same = F.sum(w).over(Window.partitionBy(*keys, value))
         out = work.withColumn(ties, same).withColumn(before, upto - q(ties))
         return out.drop("_all")
-    levels = MAX_BUCKETS.bit_length()
     placed = work.join(F.broadcast(splits), keys, "left").withColumn(
-        "_bucket", _bucket_of(q(value), F.col("_splits"), levels)
+        "_bucket", _bucket_of(q(value), F.col("_splits"))
     )
     in_order = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = (
@@ -259,11 +253,16 @@ def grouped_quantiles(
             ])
         ).alias("t"),
     ).select(*keys, "t.*")
-    # few rows hold a wanted rank: keep the value rows whose rank interval covers one
-    per_key = targets.groupBy(*keys).agg(F.collect_list(F.struct("i", "part", "rank", "side")).alias("_t"))
+    # few rows hold a wanted rank: a search in the sorted ranks leaves those whose interval covers one
+    per_key = targets.groupBy(*keys).agg(
+        F.collect_list(F.struct("i", "part", "rank", "side")).alias("_t"),
+        F.array_sort(F.collect_set("rank")).alias("_ranks"))
     first, upto = F.col(f"{value}_before"), F.col(f"{value}_before") + F.col(f"{value}_ties")
+    most = 2 * len(probs)
+    covers = count_below(upto, F.col("_ranks"), most, True) > count_below(first, F.col("_ranks"), most, True)
     hits = (
         lookup_join(ranked, per_key, keys, spread=[value])
+        .where(covers)
         .select(*keys, value, F.explode(
             F.filter("_t", lambda t: (t["rank"] >= first) & (t["rank"] < upto))).alias("t"))
         .select(*keys, value, "t.*")
@@ -279,7 +278,9 @@ def grouped_quantiles(
     )
 
 
-def row_number(df: DataFrame, key: str, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def row_number(
+    df: DataFrame, key: str, bucket_rows: int = BUCKET_ROWS, largest: int | None = None
+) -> DataFrame:
     """Add ``rn``, the 0-based position by the unique numeric ``key``."""
-    ranked = add_rank(df, key, bucket_rows=bucket_rows)
+    ranked = add_rank(df, key, bucket_rows=bucket_rows, largest=largest)
     return ranked.withColumn("rn", q(f"{key}_before").cast("long")).drop(f"{key}_before", f"{key}_ties")

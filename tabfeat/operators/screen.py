@@ -21,11 +21,12 @@ from tabfeat.session import cut_lineage
 
 
 def _pearson(df: DataFrame, a: str, b: str):
-    """Pearson over the rows with both values; NULL for a constant column, where corr() returns rounding noise."""
+    """Pearson over the rows with both values; NULL for a constant column, where corr() divides by zero or by noise."""
     x, y = numeric(df, a), numeric(df, b)
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
-    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr(x, y))
+    size = F.sqrt(F.var_pop(x) * F.var_pop(y))
+    return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(F.covar_pop(x, y), size))
 
 
 PAIRS_PER_JOB = 60

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabfeat.functions.columns import let, numeric, probit, q
+from tabfeat.functions.columns import count_below, let, numeric, probit, q
 from tabfeat.operators.iterate import kept
 from tabfeat.operators.ranks import exact_quantiles
 from tabfeat.operators.scale import Scaler, row_normalize
@@ -228,17 +228,6 @@ NORMAL_BOUND = 5.199337582605575
 END_DISTANCE = 1e-7
 
 
-def _count_up_to(value: Column, marks: Column, n: int, strict: bool) -> Column:
-    """How many of the sorted marks are < or <= the value, by binary search."""
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
-
-    def probe(at, s):
-        mark = F.get(marks, at + s - 1)
-        return F.when(F.coalesce(mark < value if strict else mark <= value, F.lit(False)), at + s).otherwise(at)
-
-    return F.aggregate(steps, F.lit(0), probe)
-
-
 @dataclass(frozen=True)
 class QuantileTransform:
     marks: Sequence[float]
@@ -248,7 +237,7 @@ class QuantileTransform:
         n = len(self.marks)
         marks = F.split(F.lit(" ".join(map(repr, self.marks))), " ").cast("array<double>")
         places = F.struct(
-            x.alias("x"), _count_up_to(x, marks, n, False).alias("upto"), _count_up_to(x, marks, n, True).alias("below"))
+            x.alias("x"), count_below(x, marks, n, False).alias("upto"), count_below(x, marks, n, True).alias("below"))
 
         def value(at: Column) -> Column:
             left, right = F.get(marks, at["upto"] - 1), F.get(marks, at["upto"])

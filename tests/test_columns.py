@@ -210,3 +210,14 @@ def test_quantile_transform_ties_and_ends(spark):
     assert np.allclose(column(df.withColumn("u", fitted.uniform(F.col("x"))), "u"), want)
     normal = column(df.withColumn("n", fitted.normal(F.col("x"))), "n")
     assert min(normal) == -transforms.NORMAL_BOUND and max(normal) == transforms.NORMAL_BOUND
+
+
+def test_quantile_transform_by_ranks(spark, monkeypatch):
+    """Many marks over a column too large for one buffer come from the distributed ranks."""
+    from tabfeat.operators import ranks
+
+    x = np.random.default_rng(6).gamma(2, 3, 3000).round(2)
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    monkeypatch.setattr(ranks.exact_quantiles, "__defaults__", (200,))
+    fitted = transforms.fit_quantiles(df, ["x"], marks=100)["x"]
+    assert np.allclose(fitted.marks, np.quantile(x, np.linspace(0, 1, 100)))
