@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabfeat.llm import decontaminate, mixing, quality_rules, token_output, url_filter
+from tabfeat.llm import decontaminate, mixing, near_dedup, quality_rules, token_output, url_filter
 from tabfeat.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,11 @@ def quality(spark, load):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+@query("op5_near_dedup")
+def near_duplicates(spark, load):
+    return near_dedup.near_duplicates(load("documents"))
+
+
 #: The rules of the contract.
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
