@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabfeat.llm import decontaminate, mixing, near_dedup, quality_rules, token_output, url_filter
+from tabfeat.llm import bloom_lm, decontaminate, mixing, near_dedup, quality_rules, token_output, toxicity, url_filter
 from tabfeat.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def token_ids(spark, load):
     return token_output.token_digest(load("documents"), tokenizer_path(), end_id=2)
 
 
+@query("op3_toxicity")
+def toxic(spark, load):
+    docs = load("documents")
+    return toxicity.score(docs, toxicity.learn(docs, load("labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op4_quality_rules")
 def quality(spark, load):
     return quality_rules.judge(load("documents")).select(
@@ -50,6 +56,13 @@ def near_duplicates(spark, load):
     return near_dedup.near_duplicates(load("documents"))
 
 
+@query("op6_bloom_lm")
+def language_model(spark, load):
+    docs = load("documents")
+    return bloom_lm.scored(docs, bloom_lm.training_rows(docs)).select(
+        "doc_id", (bloom_lm.crc_mod5("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: The rules of the contract.
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 

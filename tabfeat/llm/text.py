@@ -37,12 +37,24 @@ def texts_of(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
+#: Bytes of an Arrow batch that a function gets at once.
+PIECE_BYTES = 16 << 20
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, large ones cut by rows."""
+    for batch in batches:
+        step = max(1, batch.num_rows // (batch.nbytes // PIECE_BYTES + 1))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
+
+
 def by_batch(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict[str, list]]) -> DataFrame:
     """``mapInArrow`` for a function from one batch to columns."""
     arrow = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield to_batch(fn(batch), arrow)
 
     return df.mapInArrow(run, schema)
@@ -53,7 +65,7 @@ def by_partition(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBat
     arrow = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in fn(batches):
+        for columns in fn(pieces(batches)):
             yield to_batch(columns, arrow)
 
     return df.mapInArrow(run, schema)
