@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabfeat.llm import bloom_lm, decontaminate, mixing, near_dedup, quality_rules, token_output, toxicity, url_filter
+from tabfeat.llm import bloom_lm, decontaminate, mixing, near_dedup, quality_rules, substring_dedup, token_output, toxicity, url_filter
 from tabfeat.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_suffix_array_dedup")
+def repeated_strings(spark, load):
+    return substring_dedup.without_repeats(load("documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query("op2_token_output")
 def token_ids(spark, load):
     return token_output.token_digest(load("documents"), tokenizer_path(), end_id=2)
