@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabfeat.llm import bloom_lm, decontaminate, mixing, near_dedup, quality_rules, substring_dedup, token_output, toxicity, url_filter
+from tabfeat.llm import bloom_lm, decontaminate, kneser_ney, mixing, near_dedup, quality_rules, substring_dedup, token_output, toxicity, url_filter
 from tabfeat.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,6 +68,12 @@ def language_model(spark, load):
         "doc_id", (bloom_lm.crc_mod5("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query("op7_kneser_ney")
+def trusted_style(spark, load):
+    docs = load("documents")
+    return kneser_ney.classify(docs, kneser_ney.learn(docs, load("labels")))
+
+
 #: The rules of the contract.
 URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
 
