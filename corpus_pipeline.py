@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabfeat.llm import decontaminate, mixing, quality_rules, token_output
+from tabfeat.llm import decontaminate, mixing, near_dedup, quality_rules, token_output
 from tabfeat.llm.queries import tokenizer_path
 from tabfeat.session import scratch_path, ship_package
 
@@ -14,6 +14,11 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality_rules.keep_good(docs)
 
 
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return near_dedup.one_of_each(docs)
+
+
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -31,6 +36,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_rules", good_documents),
+    ("near_duplicates", distinct_documents),
     ("decontamination", clean_documents),
     ("mixing", mixed_documents),
     ("token_output", token_ids),

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabfeat.llm.text import by_batch, texts_of
+from tabfeat.llm.text import by_batch, bytes_of, keep_rows, texts_of
 
 #: Words in a window; an item of fewer words is one window.
 WINDOW = 10
@@ -158,6 +158,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` without a hit word."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The rows of ``docs`` without a hit word, each judged by itself, with all their columns."""
+    for shard in _shards(benchmark, window):
+        sent = docs.sparkSession.sparkContext.broadcast(shard)
+
+        def untouched(batch, sent=sent):
+            automaton = sent.value.automaton()
+            return [not hits(t, automaton)[2] for t in bytes_of(batch.column("text"))]
+
+        docs = keep_rows(docs, untouched)
+    return docs

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabfeat.llm.text import WordHashes, by_batch, texts_of, window_hashes
+from tabfeat.llm.text import WordHashes, by_batch, bytes_of, keep_rows, texts_of, window_hashes
 from tabfeat.session import cut_lineage
 
 #: What counts as a symbol.
@@ -33,6 +33,9 @@ SUPPORT, STEPS, TAIL = 0.75, 3, 1e-9
 #: A group's moments count against this many rows with its language's moments, so that small groups have sound ones.
 PRIOR_ROWS = 50.0
 
+#: Groups whose estimates (some 0.5 KB each) are broadcast.
+MOST_GROUPS = 10_000
+
 _WHITE = (9, 10, 11, 12, 13, 32)
 _BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_capitals long"
 
@@ -57,28 +60,37 @@ def text_statistics(text: bytes, hashes: WordHashes) -> tuple[int, ...]:
             int(counts[65:91].sum()))
 
 
+def features_of(rows: np.ndarray) -> np.ndarray:
+    """FEATURES of rows of ``text_statistics``: logarithms of lengths and of shares in percent."""
+    words, chars, symbols, lines_again, repeats, lines, capitals = rows.reshape(-1, 7).T.astype(float)
+    share = lambda a, b: np.log1p(100.0 * a / np.maximum(b, 1))
+    return np.stack([np.log1p(words), np.log(np.maximum(chars, 1) / np.maximum(words, 1)), share(symbols, chars), share(repeats, words),
+                     share(capitals, chars), share(lines_again, lines)], axis=1)
+
+
+def base_failed(rows: np.ndarray) -> np.ndarray:
+    return (rows[:, 0] < MIN_WORDS) | (100 * rows[:, 4] > MAX_REPEAT_PERCENT * rows[:, 0])
+
+
+def group_name(value: str | None) -> str:
+    """Of a language or source, so that null is a name of its own."""
+    return "" if value is None else f"={value}"
+
+
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the statistics of every row; all 0 for null and empty texts."""
+    """doc_id, lang, source, the statistics, base_failed and FEATURES of every row; null and empty texts have no words."""
     hashes = WordHashes()
     names = [c.split()[0] for c in _BASE.split(", ")]
+    schema = f"doc_id long, lang string, source string, _lang string, _source string, {_BASE}, base_failed boolean, " + ", ".join(
+        f"{f} double" for f in FEATURES)
 
     def run(batch):
-        rows = [text_statistics(t, hashes) for t in batch.column("text").to_pylist()]
-        own = dict(zip(names, zip(*rows), strict=True)) if rows else {c: [] for c in names}
-        return {c: batch.column(c).to_pylist() for c in ("doc_id", "lang", "source")} | own
-
-    return by_batch(texts_of(docs, "doc_id", "lang", "source"), f"doc_id long, lang string, source string, {_BASE}", run)
-
+        rows = np.array([text_statistics(t, hashes) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, len(names))
+        out = {c: batch.column(c).to_pylist() for c in ("doc_id", "lang", "source")}
+        out |= {f"_{c}": [group_name(v) for v in out[c]] for c in ("lang", "source")}
+        return out | dict(zip(names, rows.T, strict=True)) | {"base_failed": base_failed(rows)} | dict(zip(FEATURES, features_of(rows).T, strict=True))
 
-def with_features(stats: DataFrame) -> DataFrame:
-    """The statistics transformed: logarithms of lengths and of shares in percent."""
-    share = lambda a, b: F.log1p(100.0 * F.col(a) / F.greatest(F.col(b), F.lit(1)))
-    return stats.withColumns({
-        "words": F.log1p("n_words"),
-        "word_length": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / F.greatest(F.col("n_words"), F.lit(1))),
-        "symbols": share("n_symbols", "word_chars"), "repeats": share("n_repeat_words", "n_words"),
-        "capitals": share("n_capitals", "word_chars"), "lines": share("n_dup_lines", "n_lines"),
-    })
+    return by_batch(texts_of(docs, "doc_id", "lang", "source"), schema, run)
 
 
 def chi2_cdf(x: float, even: int) -> float:
@@ -180,10 +192,7 @@ def judge(docs: DataFrame) -> DataFrame:
     and fail; null languages and sources are groups of their own; repeated rows are judged alike; an empty table gives
     none. Columns other than doc_id, text, lang and source are not read.
     """
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
-    features = cut_lineage(with_features(statistics(docs)).withColumns({
-        "base_failed": failed, "_lang": named("lang"), "_source": named("source")}))
+    features = cut_lineage(statistics(docs))
     fit = minimum_covariance(features)
     distance = features.join(fit, ["_lang", "_source"]).withColumn("distance", _squared_distance())
     kept = ~F.col("base_failed") & (F.col("distance") <= chi2_quantile(TAIL, len(FEATURES)))
@@ -191,6 +200,31 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept; rows that share a doc_id go together if one of them is rejected."""
-    bad = judge(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The rows of ``docs`` that are kept, each judged by itself, with all their columns.
+
+    The estimates are one row per group; up to MOST_GROUPS of them go to every task, which judges texts where they lie.
+    Beyond that the verdicts are joined by doc_id, so that rows that share one go together if one is rejected.
+    """
+    fit = minimum_covariance(cut_lineage(statistics(docs)))
+    rows = fit.limit(MOST_GROUPS + 1).collect()
+    if len(rows) > MOST_GROUPS:
+        bad = judge(docs).where(~F.col("kept")).select("doc_id").distinct()
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    triangle = np.triu_indices(len(FEATURES))
+    estimates = {}
+    for row in rows:
+        inverse = np.zeros((len(FEATURES),) * 2)
+        inverse[triangle] = row.inverse
+        estimates[row._lang, row._source] = np.array(row.centre), inverse + np.triu(inverse, 1).T
+    sent, hashes = docs.sparkSession.sparkContext.broadcast(estimates), WordHashes()
+    most = chi2_quantile(TAIL, len(FEATURES))
+
+    def good(batch):
+        stats = np.array([text_statistics(t, hashes) for t in bytes_of(batch.column("text"))], np.int64).reshape(-1, 7)
+        groups = zip(*([group_name(v) for v in batch.column(c).to_pylist()] for c in ("lang", "source")), strict=True)
+        fits = [sent.value[g] for g in groups]
+        gaps = features_of(stats) - np.array([c for c, _ in fits]).reshape(-1, len(FEATURES))
+        inverses = np.array([i for _, i in fits]).reshape(-1, len(FEATURES), len(FEATURES))
+        return ~base_failed(stats) & (np.einsum("ni,nij,nj->n", gaps, inverses, gaps) <= most)
+
+    return keep_rows(docs, good)

@@ -60,6 +60,21 @@ def by_batch(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict[str
     return df.mapInArrow(run, schema)
 
 
+def bytes_of(column: pa.Array) -> list[bytes]:
+    """Texts of an Arrow column as UTF-8 bytes, null as none."""
+    return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
+
+
+def keep_rows(docs: DataFrame, fn: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that a function of a batch says yes to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            yield batch.filter(pa.array(fn(batch), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def by_partition(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, list]]]) -> DataFrame:
     """``mapInArrow`` for a function from all batches of a task to columns."""
     arrow = _arrow_schema(df.sparkSession, schema)
