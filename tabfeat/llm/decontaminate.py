@@ -138,7 +138,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     A document word inside any occurrence of a window of an item is hit. Null and empty texts have no words and are clean;
     items without words match nothing; repeated items and shared windows count each item_id once, a null item_id as an
-    empty one. Repeated documents are judged each (with several shards, rows that share a doc_id are judged together).
+    empty one. Repeated documents are judged each (with several shards, rows that share a doc_id are judged together, and
+    spans of different shards may overlap).
     Other columns of either table are not read.
     """
     shards = _shards(benchmark, window)
@@ -149,7 +150,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         scanned = scanned.groupBy("doc_id").agg(
             F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.flatten(F.collect_list("span_starts")).alias("span_starts"), F.flatten(F.collect_list("span_ends")).alias("span_ends"))
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("span_starts", "span_ends"))))).alias("_spans"))
+        scanned = scanned.withColumns({"span_starts": F.col("_spans.span_starts"), "span_ends": F.col("_spans.span_ends")})
     n_hit = F.size("hit").cast("long")
     return scanned.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),

@@ -168,7 +168,8 @@ class LogIndex:
             owner[hit] = d[at[hit]]
             new &= ~hit
         matched = (owner[group] < doc) & (check[group] == two)
-        self.levels.append((key[new], check[new], owner[new]))
+        if new.any():
+            self.levels.append((key[new], check[new], owner[new]))
         while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
             a, b = self.levels.pop(), self.levels.pop()
             merged = [np.concatenate(x) for x in zip(b, a, strict=True)]
@@ -195,11 +196,8 @@ def search_bucket(rows: list[dict]) -> Iterator[dict[str, list]]:
     use = np.flatnonzero((low < high)[group])
     use = use[np.argsort(owner[use], kind="stable")]
     index, out = LogIndex(), defaultdict(list)
-    done = np.searchsorted(np.cumsum(size[use]), np.arange(BATCH_SUFFIXES, size[use].sum() + BATCH_SUFFIXES, BATCH_SUFFIXES))
-    for a, b in zip(np.append(0, done[:-1]), done, strict=True):
-        own = use[a:b + 1] if b == done[-1] else use[a:b]
-        if not len(own):
-            continue
+    batch = np.cumsum(size[use]) // BATCH_SUFFIXES
+    for own in np.split(use, np.flatnonzero(np.diff(batch)) + 1) if len(use) else []:
         places = np.cumsum(size[own]) - size[own]
         text = data[np.repeat(offset[own] - places, size[own]) + np.arange(size[own].sum())]
         valid = np.ones(len(text), bool)
