@@ -188,11 +188,11 @@ def linear_spline(load):
 
 @query("a11_group_pc1", f"""SELECT o_orderkey, {r('s * (cos(t) * (x - mx) + sin(t) * (y - my))')} AS pc1 FROM (
   SELECT *, CASE WHEN abs(cos(t)) >= abs(sin(t)) THEN sign(cos(t)) ELSE sign(sin(t)) END AS s FROM (
-    SELECT o_orderkey, o_custkey * 100.0 AS x, o_totalprice AS y FROM orders), (
+    SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey * 100.0 END AS x, o_totalprice AS y FROM orders), (
     SELECT avg(o_custkey * 100.0) AS mx, avg(o_totalprice) AS my, 0.5 * atan2(2 * covar_samp(o_custkey * 100.0, o_totalprice),
-      var_samp(o_custkey * 100.0) - var_samp(o_totalprice)) AS t FROM orders))""")
+      var_samp(o_custkey * 100.0) - var_samp(o_totalprice)) AS t FROM orders WHERE o_orderkey % 7 <> 0))""")
 def group_pc1(load):
-    df = load("orders").withColumn("x", F.col("o_custkey") * 100.0)
+    df = load("orders").withColumn("x", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey") * 100.0))
     return rounded(derive.group_pc1(df, {"pc1": ["x", "o_totalprice"]}).select("o_orderkey", "pc1"))
 
 

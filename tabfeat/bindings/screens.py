@@ -80,7 +80,7 @@ def corr_screen(load):
     f"SELECT '{a}' AS feature, corr({a}, label) AS c, count(*) AS n FROM {NET_LINEITEM}" for a in [*NET_FEATURES, "l_extendedprice"])
     + ") WHERE abs(c) > 0.7 AND abs(c) * sqrt((n - 2) / (1 - c * c)) > 1.961")
 def select_by_pearson(load):
-    screened = screen.corr_screen(net_lineitem(load), "label", [*NET_FEATURES, "l_extendedprice"])
+    screened = screen.corr_screen(net_lineitem(load), "label", [*NET_FEATURES, "l_extendedprice"], coefficients=["pearson"])
     return screen.select_by_pearson(screened)
 
 

@@ -113,12 +113,13 @@ def unpivot(load):
 
 
 @query("j1_align_columns", f"""SELECT coalesce(o_custkey, c_custkey) AS c_custkey, n, {r('total', 2)} AS total, c_acctbal, c_mktsegment FROM
-  (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey)
-  FULL JOIN customer ON o_custkey = c_custkey""")
+  (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey)
+  FULL JOIN (SELECT c_custkey + 100 AS c_custkey, c_acctbal, c_mktsegment FROM customer) ON o_custkey = c_custkey""")
 def align_columns(load):
-    sums = load("orders").where("o_orderstatus = 'F'").groupBy(q("o_custkey").alias("c_custkey")).agg(
+    sums = load("orders").groupBy(q("o_custkey").alias("c_custkey")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
-    out = reshape.align_columns(sums, load("customer").select("c_custkey", "c_acctbal", "c_mktsegment"), "c_custkey")
+    # shifted, so that either side has keys without a partner
+    out = reshape.align_columns(sums, load("customer").select((F.col("c_custkey") + 100).alias("c_custkey"), "c_acctbal", "c_mktsegment"), "c_custkey")
     return rounded(out, 2)
 
 

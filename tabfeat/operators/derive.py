@@ -63,8 +63,8 @@ class ModelMatrix:
             self.knots |= {c: sorted(set(v)) for c, v in found.items()}
         return self
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """Intercept, every term as a double, and the target if present."""
+    def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """The kept columns, intercept, every term as a double, and the target if present."""
         terms = {"intercept": F.lit(1.0)}
         terms |= {c: numeric(df, c) for c in self.main}
         terms |= {f"log1p_{c}": F.log1p(numeric(df, c)) for c in self.log1p}
@@ -77,18 +77,20 @@ class ModelMatrix:
             terms |= {f"bs_{c}_{i + 1}": b for i, b in enumerate(hat_basis(value, knots))}
         if self.target in df.columns:
             terms[self.target] = numeric(df, self.target)
-        return df.select(*[e.alias(n) for n, e in terms.items()])
+        return df.select(*[q(c) for c in keep], *[e.alias(n) for n, e in terms.items()])
 
 
 def group_pc1(df: DataFrame, groups: Mapping[str, Sequence[str]]) -> DataFrame:
     """First principal component of each centred column group, as a new column.
 
-    The largest loading of a component is positive.
+    The largest loading of a component is positive. It is fitted on complete rows;
+    a row with a missing value in a group has no score for it.
     """
     from tabfeat.operators.gram import moments, pca_of
 
     cols = sorted({c for group in groups.values() for c in group})
     m = moments(df, cols)[None]
     return df.withColumns({
-        out: pca_of(m, list(group), 1, standardize=False).score(df, 0) for out, group in groups.items()
+        out: F.when(~any_of(*[numeric(df, c).isNull() for c in group]), pca_of(m, list(group), 1, standardize=False).score(df, 0))
+        for out, group in groups.items()
     })

@@ -100,6 +100,6 @@ def appearance_encode(
         levels = present.groupBy(q(c).alias("_level")).agg(score.alias("_score"))
         ranked = add_rank(levels, "_score", salt=["_level"])
         table = ranked.select(F.col("_level").alias(c), (F.col("_score_before") + 1).cast("long").alias(f"{c}_E"))
-        out = lookup_join(out, table, [c], spread=[key])
+        out = lookup_join(out, table, [c])
     return out
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tabfeat.functions.columns import numeric, q
 from tabfeat.operators.gram import moments
 from tabfeat.operators.iterate import kept
-from tabfeat.operators.linear import SOLVERS, LinearModel, solve_ols
+from tabfeat.operators.linear import SOLVERS, LinearModel, r2_from, solve, solve_ols
 from tabfeat.operators.ranks import exact_quantiles
 from tabfeat.operators.search import TREES
 from tabfeat.operators.trees import assemble, tree_estimator
@@ -92,7 +92,7 @@ def bagging(
         drawn = copies.withColumn("_w", weight(F.col("_replica"))).where("_w > 0")
         parts = moments(drawn, [*features, "_y"], by="_replica", weight=F.col("_w"))
         models = [
-            SOLVERS[family](parts[i].of([*[features[j] for j in subsets[i]], "_y"]), **params) for i in range(n_estimators)
+            solve(family, parts[i].of([*[features[j] for j in subsets[i]], "_y"]), params) for i in range(n_estimators)
         ]
         return Average(models, features)
     models = []
@@ -297,7 +297,7 @@ def search_weights(
     scores = []
     for m in parts.values():
         sse = np.einsum("ij,jk,ik->i", v, m.scatter, v) + m.n * (v @ m.mean) ** 2
-        scores.append(1 - sse / m.scatter[-1, -1])
+        scores.append([r2_from(e, m) for e in sse])
     scores = np.array(scores)
     rows = [([float(x) for x in given], float(a), float(b))
             for given, a, b in zip(weights, scores.mean(0), scores.std(0))]

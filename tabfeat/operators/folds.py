@@ -44,7 +44,8 @@ def metric_exprs(label: Column, prediction: Column) -> list[Column]:
     sse = F.sum((y - p) * (y - p))
     return [
         F.count(y).alias("n"),
-        (1 - F.try_divide(sse, F.var_pop(y) * F.count(y))).alias("r2"),
+        F.when(F.var_pop(y) == 0, F.when(sse == 0, 1.0).otherwise(0.0)).otherwise(
+            1 - F.try_divide(sse, F.var_pop(y) * F.count(y))).alias("r2"),
         F.avg(F.abs(F.exp(y) - F.exp(p))).alias("mae"),
         F.sqrt(F.try_divide(sse, F.count(y))).alias("rmse"),
     ]

@@ -20,7 +20,6 @@ from tabfeat.functions.columns import numeric, q
 
 # Up to this many columns the sums are plain aggregates that stay in generated code.
 NARROW = 12
-CENTRE_ROWS = 10_000
 FAN_IN = 256
 
 
@@ -78,15 +77,14 @@ def moments(
 ) -> dict:
     """Moments per value of ``by`` (key None without it). Rows with a missing value are left out.
 
-    ``centre`` may be any value near the middle of the columns; without it the
-    mean of some rows is taken.
+    ``centre`` may be any value near the middle of the columns; without it a
+    first scan takes their means.
     """
     cols = list(cols)
     p = len(cols)
     x = [numeric(df, c) for c in cols]
     if centre is None:
-        rough = df.select(*[v.alias(f"x{i}") for i, v in enumerate(x)]).limit(CENTRE_ROWS)
-        row = rough.agg(*[F.avg(f"x{i}").alias(f"x{i}") for i in range(p)]).first()
+        row = df.select(*[F.avg(v).alias(f"x{i}") for i, v in enumerate(x)]).first()
         centre = np.array([0.0 if v is None else v for v in row])
     work = df.select(
         (q(by) if by else F.lit(None).cast("string")).alias("g"),

@@ -10,21 +10,9 @@ from pyspark.sql import DataFrame
 
 @contextmanager
 def kept(df: DataFrame) -> Iterator[DataFrame]:
-    """The frame cached for the duration of the block, in at least as many partitions as there are cores.
-
-    A small table that arrives in a few partitions is dealt out once, so that
-    every later pass runs in parallel; a large one stays as it is.
-    """
+    """The frame cached for the duration of the block, partitioned as it is: results must not depend on the cores."""
     cached = df.persist()
-    cores = df.sparkSession.sparkContext.defaultParallelism
     try:
-        if cached.rdd.getNumPartitions() >= cores:
-            yield cached
-        else:
-            dealt = cached.repartition(cores).persist()
-            try:
-                yield dealt
-            finally:
-                dealt.unpersist()
+        yield cached
     finally:
         cached.unpersist()

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import inspect
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,7 +68,7 @@ def _unit_scale(a: np.ndarray, normalize: bool, fit_intercept: bool) -> np.ndarr
     return d
 
 
-def solve_ridge(m: Moments, alpha: float = 1.0, fit_intercept: bool = True, normalize: bool = False, **_) -> LinearModel:
+def solve_ridge(m: Moments, alpha: float = 1.0, fit_intercept: bool = True, normalize: bool = False) -> LinearModel:
     a, b, _yy = _system(m, fit_intercept)
     d = _unit_scale(a, normalize, fit_intercept)
     scaled = a / np.outer(d, d) + alpha * np.eye(len(a))
@@ -75,7 +76,7 @@ def solve_ridge(m: Moments, alpha: float = 1.0, fit_intercept: bool = True, norm
     return _finish(m, coef, fit_intercept)
 
 
-def solve_ols(m: Moments, fit_intercept: bool = True, normalize: bool = False, **_) -> LinearModel:
+def solve_ols(m: Moments, fit_intercept: bool = True, normalize: bool = False) -> LinearModel:
     a, b, _yy = _system(m, fit_intercept)
     return _finish(m, np.linalg.pinv(a, hermitian=True) @ b, fit_intercept)
 
@@ -111,7 +112,6 @@ def solve_elastic_net(
     positive: bool = False,
     max_iter: int = 1000,
     tol: float = 1e-4,
-    **_,
 ) -> LinearModel:
     """Squared error / 2n + alpha * (l1_ratio * L1 + (1 - l1_ratio) * L2 / 2).
 
@@ -137,7 +137,6 @@ def solve_bayes(
     n_iter: int = 300,
     tol: float = 1e-3,
     fit_intercept: bool = True,
-    **_,
 ) -> LinearModel:
     """Ridge whose noise and weight precisions maximise the evidence."""
     a, b, yy = _system(m, fit_intercept)
@@ -168,15 +167,47 @@ SOLVERS = {
 }
 
 
+#: Names that change nothing here: the solution is the same whichever way it is reached.
+NO_EFFECT = {
+    "solver", "tol", "max_iter", "selection", "precompute", "warm_start", "copy_X", "random_state", "n_jobs", "verbose", "compute_score",
+    "intercept_scaling", "dual", "average", "learning_rate", "eta0", "power_t", "shuffle", "early_stopping", "n_iter_no_change",
+    "validation_fraction", "gamma", "cache_size",
+}
+
+
+def usable(fn: Callable, params: Mapping, fixed: Sequence[str] = ()) -> dict:
+    """The parameters that ``fn`` takes; those without effect are left out, all other names are an error."""
+    known = {n for n, p in inspect.signature(fn).parameters.items() if p.default is not inspect.Parameter.empty} - set(fixed)
+    wrong = sorted(n for n in params if n not in known and n not in NO_EFFECT)
+    if wrong:
+        raise ValueError(f"unknown parameters {wrong}")
+    return {n: v for n, v in params.items() if n in known}
+
+
+def solve(family: str, m: Moments, params: Mapping) -> LinearModel:
+    """Solve one of the families of ``SOLVERS`` with checked parameters."""
+    if family == "lasso":
+        return solve_lasso(m, **usable(solve_elastic_net, params, ["l1_ratio"]))
+    return SOLVERS[family](m, **usable(SOLVERS[family], params))
+
+
 def fit_linear(df: DataFrame, features: Sequence[str], label: str, family: str, **params) -> LinearModel:
-    return SOLVERS[family](moments(df, [*features, label])[None], **params)
+    return solve(family, moments(df, [*features, label])[None], params)
 
 
 def r2_of(model: LinearModel, m: Moments) -> float:
-    """R2 of a model on rows known only by their moments."""
+    """R2 of a model on rows known only by their moments; on a constant label 1 without an error, else 0."""
     v = np.append(-np.asarray(model.coef), 1.0)
     sse = v @ m.scatter @ v + m.n * (v @ m.mean - model.intercept) ** 2
-    return float(1 - sse / m.scatter[-1, -1])
+    return r2_from(sse, m)
+
+
+def r2_from(sse: float, m: Moments) -> float:
+    """1 - sse / spread of the last column, with a spread of rounding errors counted as none."""
+    spread, size = m.scatter[-1, -1], m.raw[-1, -1] + 1e-300
+    if spread <= 1e-14 * size:
+        return 1.0 if sse <= 1e-14 * size else 0.0
+    return float(1 - sse / spread)
 
 
 # ---- robust and insensitive losses -----------------------------------------------------------

@@ -5,29 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 500_000
-SALTS = 32
 
+def lookup_join(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join ``table`` to ``df`` without a hint.
 
-def lookup_join(
-    df: DataFrame,
-    table: DataFrame,
-    keys: Sequence[str],
-    spread: Sequence[str],
-    how: str = "left",
-    limit: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Join ``table`` to ``df``; broadcast while its counted size allows it.
-
-    Beyond that every table row is copied to ``SALTS`` salts and the rows of
-    ``df`` are dealt over them by the ``spread`` columns, so that a key with a
-    large part of the rows is joined by many tasks.
+    Adaptive execution sees the sizes: it broadcasts a small ``table`` and splits
+    the rows of a hot key over several tasks.
     """
-    keys = list(keys)
-    if table.limit(limit + 1).count() <= limit:
-        return df.join(F.broadcast(table), keys, how)
-    salts = F.explode(F.array(*map(F.lit, range(SALTS))))
-    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in spread]), F.lit(SALTS)).cast("int"))
-    return dealt.join(table.withColumn("_salt", salts), [*keys, "_salt"], how).drop("_salt")
+    return df.join(table, list(keys), how)

@@ -114,8 +114,9 @@ def value_counts(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return long.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def histogram(df: DataFrame, features: Sequence[str], bins: int | None = None, limit: int | None = None) -> DataFrame:
-    """Rows per equal-width bin. Without ``bins`` the Freedman-Diaconis width applies, at most 50 bins.
+def histogram(df: DataFrame, features: Sequence[str], bins: int | None = None, limit: int | None = None,
+              max_bins: int = MAX_BINS) -> DataFrame:
+    """Rows per equal-width bin. Without ``bins`` the Freedman-Diaconis width applies, at most ``max_bins`` bins.
 
     The last bin is closed on the right.
     """
@@ -135,7 +136,7 @@ def histogram(df: DataFrame, features: Sequence[str], bins: int | None = None, l
         if k is None:
             h = 2 * (quart[f][1] - quart[f][0]) / n ** (1 / 3)
             wanted = -(-(hi - lo) // h) if h > 0 else n**0.5
-            k = int(max(1, min(MAX_BINS, wanted)))
+            k = int(max(1, min(max_bins, wanted)))
         if hi == lo:  # constant column: a unit-wide range around it
             lo, hi = lo - 0.5, hi + 0.5
         width = (hi - lo) / k
@@ -162,7 +163,7 @@ def box_summary(df: DataFrame, target: str, features: Sequence[str], limit: int
         *keys,
         *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))],
     )
-    joined = lookup_join(long, boxes, keys, spread=["_target"])
+    joined = lookup_join(long, boxes, keys)
     y, iqr = F.col("_target"), F.col("q3") - F.col("q1")
     inside = (y >= F.col("q1") - iqr * 1.5) & (y <= F.col("q3") + iqr * 1.5)
     return joined.groupBy(*keys).agg(

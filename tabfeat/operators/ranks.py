@@ -261,7 +261,7 @@ def grouped_quantiles(
     most = 2 * len(probs)
     covers = count_below(upto, F.col("_ranks"), most, True) > count_below(first, F.col("_ranks"), most, True)
     hits = (
-        lookup_join(ranked, per_key, keys, spread=[value])
+        lookup_join(ranked, per_key, keys)
         .where(covers)
         .select(*keys, value, F.explode(
             F.filter("_t", lambda t: (t["rank"] >= first) & (t["rank"] < upto))).alias("t"))

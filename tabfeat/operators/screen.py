@@ -266,23 +266,49 @@ def _kendall(ranked: DataFrame, rows: int) -> DataFrame:
 
 
 def corr_screen(
-    df: DataFrame, target: str, features: Sequence[str], bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, target: str, features: Sequence[str], bucket_rows: int = BUCKET_ROWS,
+    coefficients: Sequence[str] = ("kendall", "pearson", "spearman"),
 ) -> DataFrame:
-    """Kendall tau-b, Pearson and Spearman with two-sided p-values, one row per feature."""
+    """Kendall tau-b, Pearson and Spearman with two-sided p-values, one row per feature.
+
+    Coefficients that are not asked for are not computed and NULL; Pearson alone
+    needs no ranks.
+    """
+    if set(coefficients) == {"pearson"}:
+        return _pearson_screen(df, target, features)
     nan, out = math.nan, []
-    for f, r in _rank_statistics(df, target, features, bucket_rows).items():
+    wanted = {c: c in coefficients for c in ("kendall", "pearson", "spearman")}
+    for f, r in _rank_statistics(df, target, features, bucket_rows, **wanted).items():
         if "n" not in r:  # no row with both values
             out.append((f, *[None] * 6))
             continue
         n = int(r["n"])
-        p, s = r["pearson"], r["spearman"]
-        out.append((f, *_tau(r), nan if p is None else p, nan if p is None else correlation_p(p, n),
+        p, s = r.get("pearson"), r.get("spearman")
+        out.append((f, *(_tau(r) if wanted["kendall"] else (None, None)), nan if p is None else p, nan if p is None else correlation_p(p, n),
                     nan if s is None else s, nan if s is None else correlation_p(s, n)))
     return df.sparkSession.createDataFrame(
         out, "feature string, kendall_tau double, kendall_p double, pearson double, pearson_p double, "
              "spearman double, spearman_p double")
 
 
+def _pearson_screen(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
+    """One aggregate over the rows: each feature's rows with both values."""
+    y, aggs = numeric(df, target), []
+    for i, f in enumerate(features):
+        x = numeric(df, f)
+        both = x.isNotNull() & y.isNotNull()
+        aggs += [F.corr(F.when(both, x), F.when(both, y)).alias(f"p{i}"), F.count(F.when(both, 1)).alias(f"n{i}")]
+    row, out = df.agg(*aggs).first(), []
+    for i, f in enumerate(features):
+        p, n = row[f"p{i}"], row[f"n{i}"]
+        known = p is not None and not math.isnan(p)
+        pair = (p, correlation_p(p, n)) if known else (math.nan, math.nan) if n else (None, None)
+        out.append((f, None, None, *pair, None, None))
+    return df.sparkSession.createDataFrame(
+        out, "feature string, kendall_tau double, kendall_p double, pearson double, pearson_p double, "
+             "spearman double, spearman_p double")
+
+
 def _tau(r):
     n = r["n"]
     pairs = n * (n - 1) / 2
@@ -430,18 +456,43 @@ def all_normal(screen: DataFrame) -> DataFrame:
 # ---- segments --------------------------------------------------------------------------------
 
 
-def kmeans_segments(df: DataFrame, key: str, features: Sequence[str], components: int = 30, k: int = 5, seed: int = 0):
+def kmeans_segments(
+    df: DataFrame, key: str, features: Sequence[str], components: int = 30, k: int = 5, seed: int = 0, max_iter: int = 20,
+    tol: float = 1e-4,
+):
     """Standardise, project on principal components, cluster; returns labelled keys and the components.
 
-    Missing values count as 0.
+    Missing values count as 0. The first centres are rows drawn by a hash of the key, far ones likelier (each draw is one
+    aggregate), so the clusters depend neither on the partitioning nor on the cores.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     fitted = fit_pca(df, features, min(components, len(features)))
     scores = fitted.transform(df, keep=[key])
     names = [c for c in scores.columns if c != key]
-    ready = scores.select(q(key), array_to_vector(F.array(*[F.col(c) for c in names])).alias("_pc"))
-    with kept(ready) as rows:
-        model = KMeans(k=k, seed=seed, featuresCol="_pc", predictionCol="cluster").fit(rows)
-    return model.transform(ready).select(q(key), "cluster"), fitted
+
+    def squared(centre):
+        return sum(((F.col(c) - F.lit(float(v))) ** 2 for c, v in zip(names, centre)), F.lit(0.0))
+
+    def nearest(centres):
+        gaps = [squared(c) for c in centres]
+        return F.array_position(F.array(*gaps), F.array_min(F.array(*gaps))).cast("int") - 1
+
+    with kept(scores) as rows:
+        centres: list = []
+        for turn in range(k):
+            near = F.array_min(F.array(*[squared(c) for c in centres])) if centres else F.lit(1.0)
+            draw = (F.pmod(F.xxhash64(q(key), F.lit(seed), F.lit(turn)), F.lit(1 << 52)) + 0.5) / (1 << 52)
+            race = F.struct((-F.log(draw) / near).alias("wait"), q(key).alias("key"))
+            row = rows.where(near > 0).agg(F.min_by(F.struct(*names), race).alias("c")).first()["c"]
+            if row is None:  # fewer distinct rows than clusters
+                break
+            centres.append(list(row))
+        for _ in range(max_iter):
+            means = rows.groupBy(nearest(centres).alias("cluster")).agg(*[F.avg(c).alias(c) for c in names]).collect()
+            new = list(centres)
+            for m in means:
+                new[m["cluster"]] = [m[c] for c in names]
+            moved = max((sum((a - b) ** 2 for a, b in zip(x, y)) for x, y in zip(new, centres)), default=0.0)
+            centres = new
+            if moved <= tol * tol:
+                break
+    return scores.select(q(key), nearest(centres).alias("cluster")), fitted

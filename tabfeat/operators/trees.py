@@ -17,6 +17,23 @@ MAX_DEPTH = 30
 # Losses and feature subset names as users write them.
 LOSSES = {"ls": "squared", "least_squares": "squared", "lad": "absolute"}
 SUBSETS = {None: "all", "auto": "all", "sqrt": "sqrt", "log2": "log2"}
+SQUARED = {"mse", "friedman_mse", "squared_error"}
+# Names that change nothing in Spark's trees: how splits are looked for, stopping rules they lack, and penalties on leaf values.
+NO_EFFECT = {
+    "splitter", "presort", "min_impurity_split", "scoring", "tol", "n_iter_no_change", "validation_fraction", "random_state", "n_jobs",
+    "verbose", "warm_start", "oob_score", "l2_regularization", "reg_alpha", "reg_lambda", "subsample_for_bin", "subsample_freq", "ccp_alpha",
+    "silent", "nthread", "objective",
+}
+# Names with a Spark form, for all kinds and for those that draw.
+MAPPED = {
+    "max_depth", "max_leaf_nodes", "num_leaves", "min_samples_leaf", "min_child_samples", "min_child_weight", "min_samples_split",
+    "min_weight_fraction_leaf", "min_impurity_decrease", "min_split_gain", "gamma", "max_bins", "max_features", "colsample_bytree",
+    "criterion", "booster", "boosting_type",
+}
+DRAWN = {
+    "decision_tree": set(), "random_forest": {"n_estimators", "bootstrap", "max_samples"},
+    "gradient_boosting": {"n_estimators", "max_iter", "learning_rate", "subsample", "loss"},
+}
 
 
 def assemble(df: DataFrame, features: Sequence[str], label: str | None, keep: Sequence[str] = ()) -> DataFrame:
@@ -28,9 +45,26 @@ def assemble(df: DataFrame, features: Sequence[str], label: str | None, keep: Se
     return VectorAssembler(inputCols=names, outputCol="features").transform(rows).drop(*names)
 
 
+def unknown_names(kind: str, params: Mapping) -> None:
+    """ValueError for names that are neither mapped nor without effect."""
+    wrong = sorted(set(params) - MAPPED - NO_EFFECT - DRAWN[kind])
+    if wrong:
+        raise ValueError(f"no equivalent for {wrong}")
+
+
 def tree_estimator(kind: str, params: Mapping | None = None, weight: str | None = None, seed: int = 0):
-    """'decision_tree', 'random_forest' or 'gradient_boosting'; unknown parameters are an error."""
-    p = dict(params or {})
+    """'decision_tree', 'random_forest' or 'gradient_boosting'; unknown parameters, and values without a Spark form, are an error.
+
+    ``min_samples_split`` asks for half as many rows on either side of a split,
+    ``min_child_weight`` for that many.
+    """
+    if kind not in DRAWN:
+        raise ValueError(f"unknown tree kind {kind}")
+    unknown_names(kind, params or {})
+    p = {k: v for k, v in (params or {}).items() if k not in NO_EFFECT}
+    for name, forms in (("criterion", SQUARED), ("booster", {"gbtree"}), ("boosting_type", {"gbdt"})):
+        if p.pop(name, next(iter(forms))) not in forms:
+            raise ValueError(f"{name} has no Spark form but {sorted(forms)}")
     depth = p.pop("max_depth", None)
     args = {"seed": seed, "maxDepth": MAX_DEPTH if depth in (None, -1, 0) else int(depth)}
     if kind == "gradient_boosting" and depth is None:
@@ -39,16 +73,20 @@ def tree_estimator(kind: str, params: Mapping | None = None, weight: str | None
     if leaves:
         args["maxDepth"] = min(args["maxDepth"], depth_for_leaves(leaves))
     leaf = p.pop("min_samples_leaf", p.pop("min_child_samples", 1))
+    split = p.pop("min_samples_split", 2)
+    weight_of_child = p.pop("min_child_weight", 1)
     share = p.pop("min_weight_fraction_leaf", 0.0)
     if isinstance(leaf, float) and leaf < 1:
         share = max(share, leaf)
     else:
-        args["minInstancesPerNode"] = int(leaf)
+        half = math.ceil(split / 2) if split >= 1 and not (isinstance(split, float) and split == 1.0) else 1
+        args["minInstancesPerNode"] = max(int(leaf), half, math.ceil(weight_of_child))
     if share:
         args["minWeightFractionPerNode"] = float(share)
-    args["minInfoGain"] = float(p.pop("min_impurity_decrease", p.pop("min_split_gain", 0.0)))
+    args["minInfoGain"] = float(p.pop("min_impurity_decrease", p.pop("min_split_gain", p.pop("gamma", 0.0))))
     args["maxBins"] = int(p.pop("max_bins", 32))
-    subset = p.pop("max_features", None)
+    subset = p.pop("max_features", p.pop("colsample_bytree", None))
+    subset = None if subset == 1.0 else subset
     if weight:
         args["weightCol"] = weight
     if kind == "decision_tree":
@@ -58,18 +96,20 @@ def tree_estimator(kind: str, params: Mapping | None = None, weight: str | None
         args |= {"numTrees": int(p.pop("n_estimators", 100)), "bootstrap": bool(p.pop("bootstrap", True)),
                  "featureSubsetStrategy": SUBSETS.get(subset, str(subset)),
                  "subsamplingRate": float(p.pop("max_samples", None) or 1.0)}
-    elif kind == "gradient_boosting":
+    else:
         estimator = GBTRegressor
         args |= {"maxIter": int(p.pop("n_estimators", p.pop("max_iter", 100))), "stepSize": float(p.pop("learning_rate", 0.1)),
-                 "subsamplingRate": float(p.pop("subsample", 1.0)), "lossType": LOSSES[p.pop("loss", "ls")],
+                 "subsamplingRate": float(p.pop("subsample", 1.0)), "lossType": _loss(p.pop("loss", "ls")),
                  "featureSubsetStrategy": SUBSETS.get(subset, str(subset))}
-    else:
-        raise ValueError(f"unknown tree kind {kind}")
-    if p:
-        raise ValueError(f"no equivalent for {sorted(p)}")
     return estimator(**args)
 
 
+def _loss(name: str) -> str:
+    if name not in LOSSES:
+        raise ValueError(f"no Spark form of the loss {name}")
+    return LOSSES[name]
+
+
 def depth_for_leaves(leaves: int) -> int:
     """Smallest depth whose full tree has at least that many leaves."""
     return max(1, min(MAX_DEPTH, math.ceil(math.log2(leaves))))

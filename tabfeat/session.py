@@ -10,9 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
-    """Session for tests and the bench; a cluster brings its own."""
-    return (
+def local_session(cores: int | str = "*", partitions: int = 8, scratch: str | None = None) -> SparkSession:
+    """Session for tests and the bench, with ``scratch`` as its checkpoint folder; a cluster brings its own."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tabfeat")
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -20,29 +20,31 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
-        .getOrCreate()
     )
+    return (builder.config("spark.checkpoint.dir", scratch) if scratch else builder).getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir``.
-
-    Only a local master, where driver and executors are one process, may fall
-    back to a temporary folder.
-    """
+    """The folder every executor sees: ``spark.checkpoint.dir``, else one of this application under the warehouse."""
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        configured = sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if configured is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="tabfeat-")
+        if not sc.master.startswith("local") and sc.getConf().get("spark.sql.warehouse.dir") is None:
+            raise RuntimeError("set spark.checkpoint.dir or spark.sql.warehouse.dir to a folder all executors share")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch-{sc.applicationId}"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
     return configured
 
 
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to its own folder under the warehouse; a configured folder is left alone."""
+    sc = spark.sparkContext
+    if spark.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is not None:
+        path = sc._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+        path.getParent().getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 import traceback
 
@@ -51,7 +52,9 @@ def compare(df, con, sql):
 
 
 def main(argv):
-    from tabfeat.bindings import ORACLES, QUERIES
+    import __spark_entry__
+
+    QUERIES, ORACLES = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     from tabfeat.session import local_session
 
     sf_dir = "/root/testdata/sf0.01"
@@ -59,7 +62,7 @@ def main(argv):
         i = argv.index("--sf")
         sf_dir = argv[i + 1]
         del argv[i:i + 2]
-    spark = local_session(8)
+    spark = local_session(8, scratch=tempfile.mkdtemp(prefix="check-"))
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
     failed = []

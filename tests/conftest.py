@@ -11,8 +11,8 @@ from tabfeat.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, 4)
+def spark(tmp_path_factory):
+    session = local_session(4, 4, str(tmp_path_factory.mktemp("scratch")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
