@@ -80,7 +80,7 @@ def tree_estimator(kind: str, params: Mapping | None = None, weight: str | None
         share = max(share, leaf)
     else:
         half = math.ceil(split / 2) if split >= 1 and not (isinstance(split, float) and split == 1.0) else 1
-        args["minInstancesPerNode"] = max(int(leaf), half, math.ceil(weight_of_child))
+        args["minInstancesPerNode"] = int(leaf) if leaf < 1 else max(int(leaf), half, math.ceil(weight_of_child))
     if share:
         args["minWeightFractionPerNode"] = float(share)
     args["minInfoGain"] = float(p.pop("min_impurity_decrease", p.pop("min_split_gain", p.pop("gamma", 0.0))))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.sql import functions as F
 
-from tabfeat.operators import ensemble, linear, neighbors, search, trees
+from tabfeat.operators import ensemble, gram, linear, neighbors, screen, search, trees
 from tabfeat.operators.folds import holdout_split, metrics
 from tabfeat.operators.gram import moments, total
 
@@ -128,6 +128,48 @@ def test_grid_search_scores_bad_candidates_zero(data):
     assert found.predict(df, ["id"]).count() == df.count()
 
 
+def test_unknown_names_fail_before_any_job(data):
+    df, _ = data
+    for family, params in (("ridge", {"alhpa": [5.0]}), ("decision_tree", {"depth": [3]}), ("huber", {"eps": [1.0]}), ("no_such", {"a": [1]})):
+        with pytest.raises(ValueError):
+            search.grid_search(df, family, params, COLS, "y")
+    with pytest.raises(ValueError):
+        linear.fit_linear(df, COLS, "y", "ridge", alhpa=1.0)
+    grids = {
+        "decision_tree": {"criterion": ["mse"], "max_depth": [3], "min_samples_split": [4], "splitter": ["best"], "presort": [True], "min_impurity_split": [None]},
+        "gradient_boosting": {"booster": ["gbtree"], "max_depth": [2], "n_estimators": [2], "min_child_weight": [3], "reg_lambda": [1.0], "colsample_bytree": [1.0],
+                              "subsample": [1.0], "boosting_type": ["gbdt"], "subsample_for_bin": [200000], "scoring": ["r2"], "l2_regularization": [0.1]},
+        "ridge": {"alpha": [1.0], "solver": ["svd"], "random_state": [3]},
+    }
+    for family, grid in grids.items():
+        assert search.grid_search(df, family, grid, COLS, "y").best_score > 0
+
+
+def test_constant_labels_score_one_or_zero(spark):
+    rows = spark.createDataFrame([(i % 4, float(i), 5.0 if i % 4 == 0 else float(i)) for i in range(40)], "fold int, a double, y double")
+    found = search.grid_search(rows, "ridge", {"alpha": [0.1]}, ["a"], "y").leaderboard.first()
+    assert found["mean_score"] > -50  # the constant fold counts as 0
+    same = rows.withColumn("prediction", F.lit(5.0)).withColumn("label", F.lit(5.0))
+    assert metrics(same).first()["r2"] == 1.0
+
+
+def test_moments_do_not_depend_on_order_or_partitions(data, spark):
+    _, pdf = data
+    far = pdf.assign(a=pdf["a"] + 1e9)
+    want = None
+    for frame, n in ((far, 1), (far.sort_values("a"), 4), (far.sample(frac=1, random_state=1), 13)):
+        m = gram.moments(spark.createDataFrame(frame).repartition(n), ["a", "b", "y"])[None]
+        got = np.append(m.scatter.ravel(), m.mean)
+        want = got if want is None else want
+        assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_clusters_do_not_depend_on_partitions(data):
+    df, _ = data
+    found = [{r["id"]: r["cluster"] for r in screen.kmeans_segments(df.repartition(n), "id", COLS, 3, 4)[0].collect()} for n in (1, 4, 13)]
+    assert found[0] == found[1] == found[2] and len(set(found[0].values())) == 4
+
+
 def test_equal_candidates_share_a_rank(data):
     df, _ = data
     found = search.grid_search(df, "ridge", {"alpha": [1.0], "tol": [1e-3, 1e-2]}, COLS, "y")
