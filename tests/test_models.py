@@ -164,6 +164,20 @@ def test_moments_do_not_depend_on_order_or_partitions(data, spark):
         assert np.allclose(got, want, rtol=1e-9)
 
 
+def test_trees_do_not_depend_on_partitions(data):
+    df, _ = data
+    fits = {
+        "random_forest": lambda d: trees.fit_tree(d, COLS, "y", "random_forest", {"n_estimators": 4, "max_depth": 4}),
+        "gradient_boosting": lambda d: trees.fit_tree(d, COLS, "y", "gradient_boosting", {"n_estimators": 4, "max_depth": 3, "subsample": 0.7}),
+    }
+    for name, fit in fits.items():
+        found = []
+        for n in (1, 4, 13):
+            rows = fit(df.repartition(n)).transform(trees.assemble(df, COLS, "y", ["id"]))
+            found.append([r["prediction"] for r in rows.orderBy("id").select("prediction").collect()])
+        assert np.allclose(found[0], found[1]) and np.allclose(found[0], found[2]), name
+
+
 def test_clusters_do_not_depend_on_partitions(data):
     df, _ = data
     found = [{r["id"]: r["cluster"] for r in screen.kmeans_segments(df.repartition(n), "id", COLS, 3, 4)[0].collect()} for n in (1, 4, 13)]
