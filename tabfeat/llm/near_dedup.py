@@ -2,8 +2,8 @@
 
 Documents with equal shingle sets are one class and compared once. Classes whose minima agree in a band share a bucket.
 A bucket first compares its members with the smallest one only; after the components of those links, members of different
-components that were not compared yet are compared in blocks of bounded size by their signatures. So no bucket emits all
-its pairs, and none loses one that could join two components.
+components that were not compared yet are compared in blocks of bounded size, by sketches that hold most sets whole. So no
+bucket emits all its pairs, and none loses one that could join two components.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ HASHES = BANDS * ROWS
 #: Share of equal minima below which a pair is not confirmed: five standard deviations under 0.75.
 LEAST_AGREEMENT = 0.56
 
-#: Members of a bucket in one block of the second comparison.
-BLOCK = 256
+#: Members of a bucket in one block of the second comparison, and hashes of a set that it compares at most.
+BLOCK, SKETCH = 1024, 1024
 
 _random = np.random.default_rng(5)
 _A = (_random.integers(0, 1 << 31, HASHES, np.uint64) * 2 + 1).astype(np.uint32)[:, None]
@@ -142,36 +142,74 @@ def _packed_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3)
         return {"node": batch.column("node").to_pylist(), "packed": [pack.compress(t) for t in batch.column("text").to_pylist()]}
 
-    packed = by_batch(texts_of(docs.withColumnRenamed("doc_id", "node"), "node"), "node long, packed binary", run)
+    packed = by_batch(texts_of(docs.select(F.col("doc_id").alias("node"), "text"), "node"), "node long, packed binary", run)
     return packed.join(nodes, "node").groupBy("node").agg(F.max("packed").alias("packed"))
 
 
-def _across(members: DataFrame, links: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs a < b of one bucket, neither its smallest member, in different components, with agreeing signatures."""
+def _sketches(texts: DataFrame) -> DataFrame:
+    """node, level and sketch: the 32-bit hashes of the set below 2^(32 - level), all of them (level 0) or at most SKETCH."""
+    hashes = WordHashes()
+
+    def run(batch):
+        out = {"node": batch.column("node").to_pylist(), "level": [], "sketch": []}
+        for packed in batch.column("packed").to_pylist():
+            values, level = (shingle_hashes(zstandard.decompress(packed), hashes) >> np.uint64(32)).astype(np.uint32), 0
+            while len(values) > SKETCH:
+                level += 1
+                values = values[values < 1 << (32 - level)]
+            out["level"].append(level)
+            out["sketch"].append(values.tobytes())
+        return out
+
+    return by_batch(texts, "node long, level int, sketch binary", run)
+
+
+def similar_in_block(sketches: list[np.ndarray], levels: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs of left and right members may be similar enough: exactly for whole sets, by estimate (five deviations) for sketches."""
+    out = np.zeros((len(left), len(right)), bool)
+    owner, value = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches]), np.concatenate(sketches)
+    for level in np.unique(levels):
+        use = (levels[owner] <= level) & (value < 1 << (32 - int(level)))
+        size = np.bincount(owner[use], minlength=len(sketches)).astype(np.float32)
+        _, column, times = np.unique(value[use], return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(times[column] > 1)
+        member, column = owner[use][shared], np.unique(column[shared], return_inverse=True)[1]
+        common = np.zeros(out.shape, np.float32)
+        order = np.argsort(column, kind="stable")
+        member, column = member[order], column[order]
+        for at in range(0, int(column.max(initial=-1)) + 1, 4096):
+            a, b = np.searchsorted(column, [at, at + 4096])
+            table = np.zeros((len(sketches), 4096), np.float32)
+            table[member[a:b], column[a:b] - at] = 1
+            common += table[left] @ table[right].T
+        union = size[left][:, None] + size[right][None, :] - common
+        least = 75.0 * union - 200.0 if level == 0 else 65.5 * union
+        out |= (np.maximum(levels[left][:, None], levels[right][None, :]) == level) & (100.0 * common >= least)
+    return out
+
+
+def _across(members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs a < b of one bucket, neither its smallest member, in different components and similar by their sketches."""
     placed = members.where("node <> pivot").join(components(links), "node", "left").select(
         "band", "node", F.coalesce("component", "node").alias("component"))
     open_bands = placed.groupBy("band").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_n")).where(
         "_low < _high").select("band", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks"))
-    rows = placed.join(open_bands, "band").join(classes.select("node", "signature"), "node")
+    rows = cut_lineage(placed.join(open_bands, "band"))
+    rows = rows.join(_sketches(texts.join(rows.select("node").distinct(), "node", "left_semi")), "node")
     own = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
     rows = rows.withColumns({"_own": own, "_other": F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))})
-    rows = rows.select("band", "node", "component", "signature", "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
+    rows = rows.select("band", "node", "component", "level", "sketch", "_own", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"))
 
     def compare(frame):
         import pandas as pd
 
         node, component = frame["node"].to_numpy(), frame["component"].to_numpy()
-        left = frame["_own"].to_numpy() == frame["_i"].to_numpy()
-        right = frame["_own"].to_numpy() == frame["_j"].to_numpy()
-        rows_minima = np.frombuffer(b"".join(frame["signature"]), np.uint16).reshape(-1, HASHES)
-        one_block = left.all() and right.all()
-        a, b = [], []
-        for k in np.flatnonzero(left):
-            at = np.flatnonzero(right & (component != component[k]) & ((node > node[k]) | (not one_block)))
-            good = at[(rows_minima[at] == rows_minima[k]).mean(axis=1) >= LEAST_AGREEMENT]
-            a.append(np.minimum(node[good], node[k]))
-            b.append(np.maximum(node[good], node[k]))
-        return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64").drop_duplicates()
+        left, right = (np.flatnonzero(frame["_own"] == frame[c]) for c in ("_i", "_j"))
+        similar = similar_in_block([np.frombuffer(s, np.uint32) for s in frame["sketch"]], frame["level"].to_numpy(), left, right)
+        similar &= component[left][:, None] != component[right][None, :]
+        i, j = np.nonzero(similar)
+        a, b = node[left[i]], node[right[j]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return rows.groupBy("band", "_i", "_j").applyInPandas(compare, "a long, b long").distinct()
 
@@ -203,7 +241,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     tried = cut_lineage(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     links = cut_lineage(_linked(_agreeing(tried, classes), texts))
-    more = _across(members, links, classes).join(tried, ["a", "b"], "left_anti")
+    more = _across(members, links, texts).join(tried, ["a", "b"], "left_anti")
     links = cut_lineage(links.unionByName(_linked(more, texts)))
 
     found = components(links)

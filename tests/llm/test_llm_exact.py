@@ -65,13 +65,18 @@ def test_index_levels_and_cuts_keep_the_result(edge_rows, monkeypatch):
         found += [{c: v[0] for c, v in row.items()} for row in substring_dedup.search_bucket(bucket)]
     for row in found:
         ids = sorted(d for d, _ in rows[row["batch"]::3])
-        for i, s, n in zip(substring_dedup._loose(row["doc"], "<i4"), substring_dedup._loose(row["start"], "<i8"), substring_dedup._loose(row["size"], "<i4")):
+        for i, s, n in zip(*substring_dedup._from_places(row["place"]), substring_dedup._loose(row["size"], "<i4"), strict=True):
             spans[ids[i]].append((s, s + n))
     for doc, _, n_removed, n_spans, _ in removed_by_force(edge_rows):
         start, end = substring_dedup.united(*(np.array(x, np.int64) for x in zip(*spans[doc]))) if spans[doc] else ([], [])
         assert (sum(end) - sum(start), len(start)) == (n_removed, n_spans), doc
 
 
+def test_batches_without_any_repeat(spark):
+    docs = spark.createDataFrame([(i, chr(97 + i) * 60 + f"{i}" * 60) for i in range(8)], "doc_id long, text string").repartition(4)
+    assert {r.n_removed for r in substring_dedup.without_repeats(docs).collect()} == {0}
+
+
 def test_log_index_has_geometric_levels():
     index, rng = substring_dedup.LogIndex(), np.random.default_rng(0)
     for doc in range(40):
