@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,9 +28,9 @@ BLOCK_TOKENS = 1 << 16
 #: Lengths of the four values of every control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
-#: Latin letters that no normal form changes, single digits, and other printable ASCII but the apostrophe: words of these
-#: are cut as the tokenizer cuts them.
-_PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+#: Anything but Latin letters that no normal form changes and printable ASCII without the apostrophe: words without it are
+#: cut into pieces here just as the tokenizer cuts them.
+_ODD = re.compile(r"[^!-&(-~À-ÖØ-öø-ÿ]")
 _PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
@@ -44,50 +45,73 @@ def _byte_characters() -> dict[int, str]:
     return table
 
 
-class WordEncoder(dict):
-    """Token ids of words, as bytes; the library encodes a word once for all its occurrences that a worker remembers.
+class Remembered(dict):
+    """What a function says of each word, as long as a worker remembers it: the latest ``most`` distinct ones."""
+
+    def __init__(self, fn, most: int):
+        self.fn, self.most, self.older = fn, most, {}
+
+    def __missing__(self, word):
+        value = self.older.get(word)
+        if value is None:
+            value = self.fn(word)
+        if 2 * len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[word] = value
+        return value
+
+
+class Encoder:
+    """Token ids of texts, as bytes; the library encodes a word once for all its occurrences that a worker remembers.
 
     White space never joins or changes tokens of a lower-casing vocabulary with word ends, so a text's ids are those of
-    its words. Plain words go to the library's model piece by piece, which skips its work on offsets; all other words, and
-    all words of a vocabulary of another kind, through its whole encoding.
+    its words. Pieces of plain words go to the library's model by themselves, which skips its work on offsets; all other
+    words, and whole texts for a vocabulary of another kind, go through its complete encoding.
     """
 
-    _loaded: dict[str, WordEncoder] = {}
+    _loaded: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.marks = [t["content"] for t in spec.get("added_tokens", [])]
-        self.split = (spec.get("model") or {}).get("end_of_word_suffix") == "</w>"
+        self.marks = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or r"(?!)")
+        self.by_word = (spec.get("model") or {}).get("end_of_word_suffix") == "</w>"
         self.table = str.maketrans({chr(b): c for b, c in _byte_characters().items()})
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
+        self.pieces, self.words = Remembered(self._piece, REMEMBERED_WORDS // 2), Remembered(self._word, REMEMBERED_WORDS)
 
     @classmethod
-    def load(cls, path: str) -> WordEncoder:
+    def load(cls, path: str) -> Encoder:
         if path not in cls._loaded:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED_WORDS:
-            self.clear()
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode("utf-8").decode("latin-1").translate(self.table)
+        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
-        if self.split and _PLAIN.fullmatch(text) and not any(m in text for m in self.marks):
-            model, ids = self.tokenizer.model, []
-            for piece in _PIECES.findall(text.lower()):
-                ids += [t.id for t in model.tokenize(piece.encode("utf-8").decode("latin-1").translate(self.table))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        value = self[word] = np.array(ids, self.dtype).tobytes()
-        return value
+        if _ODD.search(text) or self.marks.search(text):
+            return self._whole(text)
+        if text.isalpha():
+            return self.pieces[text.lower()]
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
 
     def ids(self, text: bytes) -> bytes:
-        if self.split:
-            return b"".join(map(self.__getitem__, text.split()))
-        return np.array(self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids, self.dtype).tobytes()
+        if not self.by_word:
+            return self._whole(text.decode("utf-8"))
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def id_type(vocabulary: int) -> np.dtype:
@@ -98,7 +122,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id and the ids of the whole text with the end id, as bytes of ``id_type``."""
 
     def run(batch):
-        encoder = WordEncoder.load(tokenizer)
+        encoder = Encoder.load(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
         return {"doc_id": batch.column("doc_id").to_pylist(), "ids": [encoder.ids(t) + end for t in batch.column("text").to_pylist()]}
 
@@ -147,7 +171,7 @@ BLOCKS = "part int, first long, doc_ids array<long>, lengths array<long>, contro
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encode all documents and write them under ``path``; each text is encoded once, its ids kept in a table meanwhile."""
     spark = docs.sparkSession
-    dtype = WordEncoder.load(tokenizer).dtype
+    dtype = Encoder.load(tokenizer).dtype
     table = f"{path}/ids"
     encoded(docs, tokenizer, end_id).write.option("compression", "zstd").parquet(table)
     ids = spark.read.parquet(table)
