@@ -1,7 +1,7 @@
 """Suffix-array dedup: bytes under a 50-byte string that also starts in a document with a smaller doc_id.
 
 The suffixes of all texts are dealt out by content: a 50-byte string belongs to the bucket of the smallest hash among its
-16-byte parts, so equal strings meet wherever they stand, and neighbouring strings with the same smallest part travel as
+12-byte parts, so equal strings meet wherever they stand, and neighbouring strings with the same smallest part travel as
 one stretch of text. A task drops the stretches that repeat one of an earlier document of its batch and sends the rest.
 
 A bucket is an index of the logarithmic family. Its stretches come in order of documents and in batches; a batch gets its
@@ -25,10 +25,10 @@ from tabfeat.llm.text import by_batch, by_partition, mixed, texts_of
 from tabfeat.session import scratch_path
 
 #: Bytes of a removed string, and of the parts that choose its bucket.
-LENGTH, PART = 50, 16
+LENGTH, PART = 50, 12
 
 #: Bytes of the table behind a bucket, and suffixes in a batch of a bucket's index.
-BUCKET_BYTES, BATCH_SUFFIXES = 12 << 20, 1 << 18
+BUCKET_BYTES, BATCH_SUFFIXES = 6 << 20, 1 << 18
 
 #: Longer texts are cut here, with LENGTH - 1 bytes in both parts.
 CUT = 1 << 20
@@ -92,7 +92,7 @@ def stretches(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return least[starts], starts, ends, prints.at(starts, ends)
 
 
-_SENT = "bucket int, stage int, batch long, docs binary, digests binary, doc binary, start binary, size binary, key binary, text binary"
+_SENT = "bucket int, stage int, batch long, docs binary, digests binary, place binary, size binary, key binary, text binary"
 _COLUMNS = [c.split()[0] for c in _SENT.split(", ")]
 
 
@@ -101,11 +101,30 @@ def _row(**values) -> dict[str, list]:
 
 
 def _squeezed(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+    """Integers compressed byte by byte of their width: the high ones are mostly alike."""
+    planes = values.view(np.uint8).reshape(-1, values.dtype.itemsize).T
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def _loose(blob: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob), kind)
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(width, -1).T.copy().view(kind).reshape(-1)
+
+
+def _places(doc: np.ndarray, start: np.ndarray) -> bytes:
+    """Numbers of documents and offsets in them, as steps from one to the next."""
+    return _squeezed(np.diff(doc.astype("<i8") << 32 | start.astype("<i8"), prepend=0))
+
+
+def _from_places(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.cumsum(_loose(blob, "<i8"))
+    return both >> 32, both & 0xFFFFFFFF
+
+
+def runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where each run of equal values starts and ends."""
+    cuts = np.flatnonzero(np.diff(values, prepend=-1)) if len(values) else values
+    yield from zip(cuts.tolist(), [*cuts[1:].tolist(), len(values)] if len(values) else [], strict=True)
 
 
 def text_digest(text: bytes) -> int:
@@ -132,18 +151,17 @@ def pack_batch(ids: list[int], texts: list[bytes], batch: int, buckets: int) ->
         r = first[k]
         send[k] = texts[doc[k]][start[k]:end[k]] != texts[doc[r]][start[r]:end[r]]
     digests = np.array([text_digest(t) for t in texts], np.int64)
-    yield _row(bucket=batch % buckets, stage=2, batch=batch, docs=_squeezed(ids_), digests=_squeezed(digests), doc=_squeezed(doc[~send].astype("<i4")),
-               start=_squeezed(start[~send].astype("<i8")), size=_squeezed((end - start)[~send].astype("<i4")))
+    yield _row(bucket=batch % buckets, stage=2, batch=batch, docs=_squeezed(ids_), digests=_squeezed(digests),
+               place=_places(doc[~send], start[~send]), size=_squeezed((end - start)[~send].astype("<i4")))
     bucket = (mixed(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
     send = np.flatnonzero(send)
     send = send[np.argsort(bucket[send], kind="stable")]
-    cuts = np.flatnonzero(np.diff(bucket[send], prepend=-1))
-    for a, b in zip(cuts, np.append(cuts[1:], len(send)), strict=True):
+    for a, b in runs(bucket[send]):
         own = send[a:b]
         stretch = b"".join([texts[i][s:e] for i, s, e in zip(doc[own].tolist(), start[own].tolist(), end[own].tolist(), strict=True)])
-        yield _row(bucket=int(bucket[own[0]]), stage=1, batch=batch, docs=_squeezed(ids_), doc=_squeezed(doc[own].astype("<i4")),
-                   start=_squeezed(start[own].astype("<i8")), size=_squeezed((end - start)[own].astype("<i4")),
-                   key=(key[own].astype(np.uint64) >> np.uint64(16)).astype("<u4").tobytes(), text=zstandard.ZstdCompressor(level=3).compress(stretch))
+        yield _row(bucket=int(bucket[own[0]]), stage=1, batch=batch, docs=_squeezed(ids_), place=_places(doc[own], start[own]),
+                   size=_squeezed((end - start)[own].astype("<i4")), key=key[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :3].tobytes(),
+                   text=zstandard.ZstdCompressor(level=6).compress(stretch))
 
 
 class LogIndex:
@@ -182,13 +200,14 @@ def search_bucket(rows: list[dict]) -> Iterator[dict[str, list]]:
     """Stage 1 rows of a bucket as the spans of each batch's documents that repeat an earlier one."""
     parts, data = [], []
     for r, row in enumerate(rows):
-        doc, size = _loose(row["doc"], "<i4"), _loose(row["size"], "<i4")
-        parts.append((np.full(len(doc), r), doc, _loose(row["docs"], "<i8")[doc], _loose(row["start"], "<i8"), size, np.frombuffer(row["key"], "<u4")))
+        (doc, start), size = _from_places(row["place"]), _loose(row["size"], "<i4")
+        key = np.frombuffer(row["key"], np.uint8).reshape(-1, 3).astype(np.int64) @ np.array([1, 1 << 8, 1 << 16])
+        parts.append((np.full(len(doc), r), doc, _loose(row["docs"], "<i8")[doc], start, size, key))
         data.append(np.frombuffer(zstandard.decompress(row["text"]), np.uint8))
     which, doc, owner, start, size, key = (np.concatenate(x) for x in zip(*parts, strict=True))
     data = np.concatenate(data)
     offset = np.cumsum(size) - size
-    # Only stretches whose key stands in two documents can repeat anything.
+    # Only stretches whose key (three bytes of it) stands in two documents can repeat anything.
     distinct, group = np.unique(key, return_inverse=True)
     low, high = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), np.iinfo(np.int64).min)
     np.minimum.at(low, group, owner)
@@ -217,8 +236,8 @@ def search_bucket(rows: list[dict]) -> Iterator[dict[str, list]]:
         cols = {c: np.concatenate(v) for c, v in out.items()}
         for r in np.unique(cols["which"]):
             mine = cols["which"] == r
-            yield _row(bucket=rows[r]["bucket"], stage=1, batch=rows[r]["batch"], doc=_squeezed(cols["doc"][mine].astype("<i4")),
-                       start=_squeezed(cols["start"][mine].astype("<i8")), size=_squeezed(cols["size"][mine].astype("<i4")))
+            yield _row(bucket=rows[r]["bucket"], stage=1, batch=rows[r]["batch"], place=_places(cols["doc"][mine], cols["start"][mine]),
+                       size=_squeezed(cols["size"][mine].astype("<i4")))
 
 
 def united(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,16 +277,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         parts = []
         for batch in batches:
             for row in batch.to_pylist():
-                parts.append([_loose(row["doc"], "<i4"), _loose(row["start"], "<i8"), _loose(row["size"], "<i4")])
+                parts.append((*_from_places(row["place"]), _loose(row["size"], "<i4")))
                 if row["stage"] == 1:
                     continue
                 doc, start, size = (np.concatenate(x) for x in zip(*parts, strict=True))
                 ids, digests = _loose(row["docs"], "<i8"), _loose(row["digests"], "<i8")
                 order = np.argsort(doc, kind="stable")
                 doc, start, size = doc[order], start[order], size[order]
-                cuts = np.flatnonzero(np.diff(doc, prepend=-1))
                 out = {"doc_id": [], "digest": [], "starts": [], "ends": []}
-                for a, b in zip(cuts, np.append(cuts[1:], len(doc)), strict=True):
+                for a, b in runs(doc):
                     begin, stop = united(start[a:b], start[a:b] + size[a:b])
                     for c, v in zip(out, (ids[doc[a]], digests[doc[a]], begin, stop), strict=True):
                         out[c].append(v)
@@ -294,7 +312,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     spans = spark.read.parquet(path).groupBy("doc_id", "digest").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends"))
 
     def squeeze(batch):
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         texts = batch.column("text").to_pylist()
         return {"doc_id": batch.column("doc_id").to_pylist(), "digest": [text_digest(t) for t in texts], "text": [pack.compress(t) for t in texts]}
 

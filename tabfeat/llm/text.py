@@ -1,6 +1,6 @@
 """Words, hashes and Arrow batches shared by the operators that read whole texts.
 
-Spark bounds an Arrow batch by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``), so very long texts come in few.
+Arrow batches are bounded by bytes, so very long texts come in few.
 """
 
 from __future__ import annotations
@@ -41,6 +41,11 @@ def texts_of(docs: DataFrame, *keep: str) -> DataFrame:
 PIECE_BYTES = 16 << 20
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most that many bytes from now on: they are held by both the JVM and Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(PIECE_BYTES))
+
+
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches, large ones cut by rows."""
     for batch in batches:
@@ -51,6 +56,7 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def by_batch(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict[str, list]]) -> DataFrame:
     """``mapInArrow`` for a function from one batch to columns."""
+    bound_batches(df.sparkSession)
     arrow = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,6 +74,8 @@ def bytes_of(column: pa.Array) -> list[bytes]:
 def keep_rows(docs: DataFrame, fn: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
     """The rows of ``docs``, with all their columns, that a function of a batch says yes to."""
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             yield batch.filter(pa.array(fn(batch), pa.bool_()))
@@ -77,6 +85,7 @@ def keep_rows(docs: DataFrame, fn: Callable[[pa.RecordBatch], list[bool]]) -> Da
 
 def by_partition(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, list]]]) -> DataFrame:
     """``mapInArrow`` for a function from all batches of a task to columns."""
+    bound_batches(df.sparkSession)
     arrow = _arrow_schema(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
