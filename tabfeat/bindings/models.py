@@ -294,7 +294,11 @@ def weight_search(load):
     return rounded(board.select(*named, "mean_score", "std_score"), 6)
 
 
-@query("n4_weight_search_grid")
+@query("n4_weight_search_grid", f"""SELECT weights, {r('avg(score)', 6)} AS mean_score, {r('stddev_pop(score)', 6)} AS std_score FROM (
+  SELECT printf('%.1f,%.1f,%.1f', i / 10.0, j / 10.0, k / 10.0) AS weights, fold,
+    1 - sum((label - (i * a + j * b + k * c) / (i + j + k)) ** 2) / (var_pop(label) * count(*)) AS score
+  FROM {MEMBERS}, (SELECT x.range AS i, y.range AS j, z.range AS k FROM range(11) x, range(11) y, range(11) z) WHERE i + j + k > 0 GROUP BY i, j, k, fold)
+  GROUP BY weights""")
 def weight_search_grid(load):
     """All 1330 weight vectors from one scan."""
     board = ensemble.search_weights(_members(load), ["a", "b", "c"], "label", "fold", ensemble.weight_grid(3))
