@@ -468,26 +468,33 @@ def kmeans_segments(
     fitted = fit_pca(df, features, min(components, len(features)))
     scores = fitted.transform(df, keep=[key])
     names = [c for c in scores.columns if c != key]
+    points = scores.select(q(key).alias("_key"), F.array(*[q(c) for c in names]).alias("_pc"))
+    schema = f"_key {points.schema['_key'].dataType.simpleString()}, _pc array<double>, cluster int, near double"
 
-    def squared(centre):
-        return sum(((F.col(c) - F.lit(float(v))) ** 2 for c, v in zip(names, centre)), F.lit(0.0))
+    def nearest(rows, centres):
+        """Every point with its nearest centre and the squared distance to it."""
+        centres = np.array(centres)
 
-    def nearest(centres):
-        gaps = [squared(c) for c in centres]
-        return F.array_position(F.array(*gaps), F.array_min(F.array(*gaps))).cast("int") - 1
+        def assign(batches):
+            for b in batches:
+                x = b.column("_pc").flatten().to_numpy().reshape(b.num_rows, -1)
+                gaps = np.stack([((x - c) ** 2).sum(1) for c in centres], axis=1)
+                columns = [b.column("_key"), b.column("_pc"), pa.array(gaps.argmin(1), pa.int32()), pa.array(gaps.min(1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_key", "_pc", "cluster", "near"])
 
-    with kept(scores) as rows:
+        return rows.mapInArrow(assign, schema)
+
+    with kept(points) as rows:
         centres: list = []
         for turn in range(k):
-            near = F.array_min(F.array(*[squared(c) for c in centres])) if centres else F.lit(1.0)
-            draw = (F.pmod(F.xxhash64(q(key), F.lit(seed), F.lit(turn)), F.lit(1 << 52)) + 0.5) / (1 << 52)
-            race = F.struct((-F.log(draw) / near).alias("wait"), q(key).alias("key"))
-            row = rows.where(near > 0).agg(F.min_by(F.struct(*names), race).alias("c")).first()["c"]
-            if row is None:  # fewer distinct rows than clusters
+            far = nearest(rows, centres).where("near > 0") if centres else rows.withColumn("near", F.lit(1.0))
+            draw = (F.pmod(F.xxhash64("_key", F.lit(seed), F.lit(turn)), F.lit(1 << 52)) + 0.5) / (1 << 52)
+            row = far.agg(F.min_by("_pc", F.struct((-F.log(draw) / F.col("near")).alias("wait"), F.col("_key"))).alias("c")).first()["c"]
+            if row is None:  # fewer distinct points than clusters
                 break
-            centres.append(list(row))
+            centres.append(row)
         for _ in range(max_iter):
-            means = rows.groupBy(nearest(centres).alias("cluster")).agg(*[F.avg(c).alias(c) for c in names]).collect()
+            means = nearest(rows, centres).groupBy("cluster").agg(*[F.avg(F.col("_pc")[i]).alias(c) for i, c in enumerate(names)]).collect()
             new = list(centres)
             for m in means:
                 new[m["cluster"]] = [m[c] for c in names]
@@ -495,4 +502,4 @@ def kmeans_segments(
             centres = new
             if moved <= tol * tol:
                 break
-    return scores.select(q(key), nearest(centres).alias("cluster")), fitted
+    return nearest(points, centres).select(q("_key").alias(key), "cluster"), fitted
