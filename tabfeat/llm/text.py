@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Distinct words a worker remembers; beyond that it starts anew, so its memory is bounded.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 100_000
 
 #: White space between words in every contract: space and \x09 to \x0D, which is what ``bytes.split`` cuts at.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -62,6 +62,7 @@ def by_batch(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             yield to_batch(fn(batch), arrow)
+        pa.default_memory_pool().release_unused()  # workers wait for other tasks with what they hold
 
     return df.mapInArrow(run, schema)
 
@@ -91,6 +92,7 @@ def by_partition(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in fn(pieces(batches)):
             yield to_batch(columns, arrow)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -19,12 +19,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabfeat.llm.text import REMEMBERED_WORDS, by_batch, by_partition, texts_of
+from tabfeat.llm.text import by_batch, by_partition, texts_of
 from tabfeat.session import scratch_path
 
 #: Tokens in a block, unless one document has more.
 BLOCK_TOKENS = 1 << 16
 
+#: Words whose ids a worker remembers; encoding one costs more than hashing it.
+ENCODED_WORDS = 300_000
+
 #: Lengths of the four values of every control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -84,7 +87,7 @@ class Encoder:
         self.by_word = (spec.get("model") or {}).get("end_of_word_suffix") == "</w>"
         self.table = str.maketrans({chr(b): c for b, c in _byte_characters().items()})
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
-        self.pieces, self.words = Remembered(self._piece, REMEMBERED_WORDS // 2), Remembered(self._word, REMEMBERED_WORDS)
+        self.pieces, self.words = Remembered(self._piece, ENCODED_WORDS // 2), Remembered(self._word, ENCODED_WORDS)
 
     @classmethod
     def load(cls, path: str) -> Encoder:
