@@ -24,11 +24,15 @@ MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
 #: The statistics of a document that are compared, each transformed to spread evenly.
 FEATURES = ("words", "word_length", "symbols", "repeats", "capitals", "lines")
 
-#: Least standard deviation of each of them: differences below it are never what makes a document an outlier.
-FLOORS = (0.5, 0.08, 0.6, 0.7, 0.6, 0.6)
+#: Least standard deviation of each of them, about its robust spread over all rows (0.9, 0.05, 0, 0, 0.17, 0 by median
+#: deviations): well under what junk is away by. Repeated words and lines, which a rule or honest texts have too, count less.
+FLOORS = (0.5, 0.05, 0.25, 1.0, 0.25, 1.0)
 
 #: Share of a group that the concentration steps keep, number of steps, and tail probability of the distance that rejects.
-SUPPORT, STEPS, TAIL = 0.75, 3, 1e-9
+SUPPORT, STEPS, TAIL = 0.75, 3, 1e-4
+
+#: Added to a share and to what is left of it, so that its log-odds are finite.
+SMOOTH = 0.01
 
 #: A group's moments count against this many rows with its language's moments, so that small groups have sound ones.
 PRIOR_ROWS = 50.0
@@ -61,9 +65,13 @@ def text_statistics(text: bytes, hashes: WordHashes) -> tuple[int, ...]:
 
 
 def features_of(rows: np.ndarray) -> np.ndarray:
-    """FEATURES of rows of ``text_statistics``: logarithms of lengths and of shares in percent."""
+    """FEATURES of rows of ``text_statistics``: logarithms of lengths and log-odds of shares, which do not level off at high ones."""
     words, chars, symbols, lines_again, repeats, lines, capitals = rows.reshape(-1, 7).T.astype(float)
-    share = lambda a, b: np.log1p(100.0 * a / np.maximum(b, 1))
+
+    def share(a, b):
+        part = np.minimum(a / np.maximum(b, 1), 1.0)
+        return np.log((part + SMOOTH) / (1 - part + SMOOTH))
+
     return np.stack([np.log1p(words), np.log(np.maximum(chars, 1) / np.maximum(words, 1)), share(symbols, chars), share(repeats, words),
                      share(capitals, chars), share(lines_again, lines)], axis=1)
 
@@ -188,7 +196,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, the statistics, base_failed, distance (squared, Mahalanobis) and kept of every row.
 
     base_failed: fewer than 10 words, or over 20 % of the words in repeated windows. All others are kept unless their
-    distance from their group has a tail probability under 1e-9 were the group normal. Null and empty texts have no words
+    distance from their group has a tail probability under 1e-4 were the group normal. Null and empty texts have no words
     and fail; null languages and sources are groups of their own; repeated rows are judged alike; an empty table gives
     none. Columns other than doc_id, text, lang and source are not read.
     """

@@ -141,6 +141,25 @@ def test_quality_statistics_and_base(edge_docs, edge_rows):
     assert kept == sorted(r.doc_id for r in quality_rules.keep_good(edge_docs).collect())
 
 
+def test_quality_rejects_symbol_capital_and_table_junk(spark):
+    """Among documents with some capitals and symbols of their own, in a group and in one of few rows."""
+    import random
+
+    rng = random.Random(5)
+
+    def prose(words=80):
+        text = " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 8))) for _ in range(words))
+        return ". ".join(text[i:i + 60].capitalize() for i in range(0, len(text), 60)) + (" & more" if rng.random() < 0.1 else "")
+
+    rows = [(i, prose(rng.randrange(30, 200)), "en", "a" if i % 10 else "b") for i in range(300)]
+    junk = [" ".join(w + "###" for w in prose().split()), prose().upper(), " | ".join(prose().split()), prose() + " | ".join(prose(60).split())]
+    rows += [(1000 + 10 * i + k, text, "en", source) for i, source in enumerate("ab") for k, text in enumerate(junk)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality_rules.judge(docs).where("kept").collect()}
+    assert not [d for d in kept if d >= 1000] and len(kept) >= 0.98 * 300
+    assert kept == {r.doc_id for r in quality_rules.keep_good(docs).collect()}
+
+
 # ---- 5: near duplicates ----------------------------------------------------------------------
 
 
