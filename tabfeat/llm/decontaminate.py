@@ -1,7 +1,8 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the windows of all benchmark items, one scan of each text.
 
 The automaton is broadcast. Its size is bounded: the benchmark is measured first, and a benchmark above the bound is cut
-into shards of bounded size, one automaton and one scan each.
+into shards of bounded size, one automaton and one scan each. The texts then get a row key first, by which the words that
+the shards hit are united, so every size gives the same rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabfeat.llm.text import by_batch, bytes_of, keep_rows, texts_of
+from tabfeat.session import numbered
 
 #: Words in a window; an item of fewer words is one window.
 WINDOW = 10
@@ -110,6 +112,15 @@ def _shards(benchmark: DataFrame, window: int) -> list[Shard]:
 
 SCHEMA = "doc_id long, n_words long, hit array<int>, items array<string>, span_starts array<long>, span_ends array<long>"
 
+#: What one shard finds in a row: the words that are hit, and where each starts and ends.
+_PART = "_row long, doc_id long, n_words long, hit array<int>, items array<string>, starts array<long>, ends array<long>"
+
+
+def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last position in ``at`` of each run of adjacent words."""
+    first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    return first, np.append(first[1:], len(at))[:len(first)] - 1
+
 
 def _scan(docs: DataFrame, shard: Shard) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(shard)
@@ -120,38 +131,72 @@ def _scan(docs: DataFrame, shard: Shard) -> DataFrame:
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             n, hit, items = hits(text, automaton)
             at = np.flatnonzero(hit)
-            out["doc_id"].append(doc)
-            out["n_words"].append(n)
-            out["hit"].append(at.astype(np.int32))
-            out["items"].append(sorted(items))
-            runs = np.flatnonzero(np.diff(hit, prepend=False, append=False)) if len(at) else at
+            first, last = _runs(at)
             starts, ends = word_offsets(text) if len(at) else (at, at)
-            out["span_starts"].append(starts[runs[::2]])
-            out["span_ends"].append(ends[runs[1::2] - 1])
+            for name, value in zip(_NAMES, (doc, n, at.astype(np.int32), sorted(items), starts[at[first]], ends[at[last]]), strict=True):
+                out[name].append(value)
         return out
 
     return by_batch(texts_of(docs, "doc_id"), SCHEMA, run)
 
 
+_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
+_PARTS = [c.split()[0] for c in _PART.split(", ")]
+
+
+def _scan_part(keyed: DataFrame, shard: Shard, every: bool) -> DataFrame:
+    """Rows of a shard: all of them or those with a hit."""
+    sent = keyed.sparkSession.sparkContext.broadcast(shard)
+
+    def run(batch):
+        automaton = sent.value.automaton()
+        out = {name: [] for name in _PARTS}
+        for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("_row", "doc_id", "text")), strict=True):
+            n, hit, items = hits(text, automaton)
+            at = np.flatnonzero(hit)
+            if every or len(at):
+                starts, ends = word_offsets(text) if len(at) else (at, at)
+                for name, value in zip(_PARTS, (row, doc, n, at.astype(np.int32), sorted(items), starts[at], ends[at]), strict=True):
+                    out[name].append(value)
+        return out
+
+    return by_batch(keyed, _PART, run)
+
+
+def _scan_shards(docs: DataFrame, shards: list[Shard]) -> DataFrame:
+    """Every row with what any shard finds in it, united by row key; the first shard gives all rows, the others hits."""
+    keyed = numbered(texts_of(docs, "doc_id"), "decontamination")
+    parts = _scan_part(keyed, shards[0], True)
+    for shard in shards[1:]:
+        parts = parts.unionByName(_scan_part(keyed, shard, False))
+    united = parts.groupBy("_row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+        F.collect_list(F.struct("hit", "items", "starts", "ends")).alias("_found")).select(
+        "doc_id", "n_words", *[F.flatten(F.col("_found")[c]).alias(c) for c in ("hit", "items", "starts", "ends")])
+
+    def run(batch):
+        out = defaultdict(list)
+        for row in batch.to_pylist():
+            at, which = np.unique(np.array(row["hit"], np.int32), return_index=True)
+            starts, ends = (np.array(row[c], np.int64)[which] for c in ("starts", "ends"))
+            first, last = _runs(at)
+            for name, value in zip(_NAMES, (row["doc_id"], row["n_words"], at, sorted(set(row["items"])), starts[first], ends[last]), strict=True):
+                out[name].append(value)
+        return out
+
+    return by_batch(united, SCHEMA, run)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated, items, and the hit spans in bytes of the original text.
 
     A document word inside any occurrence of a window of an item is hit. Null and empty texts have no words and are clean;
     items without words match nothing; repeated items and shared windows count each item_id once, a null item_id as an
-    empty one. Repeated documents are judged each (with several shards, rows that share a doc_id are judged together, and
-    spans of different shards may overlap).
-    Other columns of either table are not read.
+    empty one. Every row is judged by itself, whatever its doc_id, with any number of shards. Other columns of either table
+    are not read.
     """
     shards = _shards(benchmark, window)
-    scanned = _scan(docs, shards[0])
-    if len(shards) > 1:
-        for shard in shards[1:]:
-            scanned = scanned.unionByName(_scan(docs, shard))
-        scanned = scanned.groupBy("doc_id").agg(
-            F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("span_starts", "span_ends"))))).alias("_spans"))
-        scanned = scanned.withColumns({"span_starts": F.col("_spans.span_starts"), "span_ends": F.col("_spans.span_ends")})
+    scanned = _scan(docs, shards[0]) if len(shards) == 1 else _scan_shards(docs, shards)
     n_hit = F.size("hit").cast("long")
     return scanned.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, scratch: str | None = None) -> SparkSession:
@@ -55,6 +56,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number of each row in ``_row``, written once, so that every scan of it finds the same numbers."""
+    path = scratch_path(df.sparkSession, name)
+    df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 _shipped: set[str] = set()
 
 

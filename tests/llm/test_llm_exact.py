@@ -301,6 +301,26 @@ def test_contamination_matches_brute_force(spark, edge_docs, edge_rows, monkeypa
     assert [raw("Two words")[a:b] for a, b in zip(starts, ends)] == [b"Two words"]
 
 
+def test_contamination_by_several_automata_judges_every_row(spark, monkeypatch):
+    """Rows that share a doc_id or have none; windows of two shards overlap and adjoin in one text."""
+    words = [f"w{i}" for i in range(40)]
+    items = [(1, " ".join(words[3:13])), (2, " ".join(words[8:20])), (3, " ".join(words[20:30]))]
+    rows = [(None, " ".join(words)), (None, "clean words only"), (None, None), (5, " ".join(words[:14])), (5, " ".join(words[18:33])),
+            (5, " ".join(words[:14])), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    cols = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "span_starts", "span_ends")
+
+    def found():
+        return sorted(map(str, decontaminate.contamination(docs, benchmark).select(*cols).collect()))
+
+    whole = found()
+    assert len(whole) == len(rows) and sum("n_hit=27" in r for r in whole) == 1
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 15)
+    assert len(decontaminate._shards(benchmark, decontaminate.WINDOW)) > 3
+    assert found() == whole
+
+
 # ---- empty tables ----------------------------------------------------------------------------
 
 
