@@ -12,16 +12,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabfeat.llm.text import WORD_PATTERN
-from tabfeat.session import cut_lineage
+from tabfeat.session import cut_lineage, numbered
 
 #: Rows of one source that one window sorts, on average.
 SLICE_ROWS = 20_000
 
 
-def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size: the number of words of the whole text, none for null."""
+def document_sizes(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, source, the kept columns and size: the number of words of the whole text, none for null."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", words.alias("size"))
+    return docs.select("doc_id", "source", *keep, words.alias("size"))
 
 
 def cyclic_weights(sources: DataFrame, cycle: tuple[float, ...]) -> DataFrame:
@@ -64,9 +64,17 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.
     have size 0; null sources are one source of their own; rows repeated in the input are rows of their own; an empty
     table gives none; a source without words has target 0 and repeats nothing.
     """
-    sizes = cut_lineage(document_sizes(docs))
+    return _mixed(document_sizes(docs), cycle, share, max_epochs, seed)
+
+
+def _mixed(sizes: DataFrame, cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2.0, seed: int = 0,
+           row: str | None = None) -> DataFrame:
+    """The mix of documents by size; a column that numbers the rows parts those that share a doc_id or have none."""
+    own = [row] if row else []
+    sizes = cut_lineage(sizes)
+    nameless = F.concat(F.lit("row "), F.col(row).cast("string")) if row else F.lit("")
     key = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), nameless)).cast("binary"))
     rows = sizes.count()
     digits = max(1, math.ceil(math.log(max(rows, 1) / SLICE_ROWS, 16))) if rows > SLICE_ROWS else 1
     sizes = sizes.withColumns({"_key": key, "_order": order, "_slice": F.substring(order, 1, digits)})
@@ -78,23 +86,23 @@ def mix(docs: DataFrame, cycle: tuple[float, ...] = (3, 1, 2), share: float = 1.
     starts = sliced.withColumn("_before", F.coalesce(before, F.lit(0))).join(targets, "_key").select(
         "_key", "_slice", "_before", "source_size", "target")
 
-    upto = F.sum("size").over(Window.partitionBy("_key", "_slice").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum("size").over(Window.partitionBy("_key", "_slice").orderBy("_order", "doc_id", "size", *own).rowsBetween(Window.unboundedPreceding, 0))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("target") - F.col("_whole") * F.col("source_size")
     middle = F.col("_before") + F.col("_upto") - F.col("size") / F.lit(2.0)
     mixed = sizes.join(starts, ["_key", "_slice"]).withColumns({"_upto": upto, "_whole": whole})
     repeats = F.col("_whole") + F.when((F.col("size") > 0) & (middle <= rest), 1).otherwise(0)
     return mixed.withColumn("repeats", repeats.cast("long")).select(
-        "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+        *own, "doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; documents it takes no time go.
 
-    Decisions are joined back by doc_id, so rows that share one are judged together: each is repeated as often as the
-    first of them by the mix.
+    The rows are numbered first and decisions are joined back by number, so each is judged by itself whatever its doc_id;
+    rows without one are ordered by a hash of their number.
     """
-    decided = mix(docs, **how).where("repeats > 0").groupBy("doc_id").agg(F.max("repeats").alias("_repeats"))
-    joined = docs.join(decided, docs["doc_id"].eqNullSafe(decided["doc_id"])).drop(decided["doc_id"])
+    keyed = numbered(docs, "mixing")
+    decided = _mixed(document_sizes(keyed, "_row"), row="_row", **how).where("repeats > 0").select("_row", F.col("repeats").alias("_repeats"))
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_repeats")))
-    return joined.withColumn("_copy", copies).select(*[joined[c] for c in docs.columns])
+    return keyed.join(decided, "_row").withColumn("_copy", copies).select(*docs.columns)

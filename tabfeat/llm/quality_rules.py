@@ -207,32 +207,52 @@ def judge(docs: DataFrame) -> DataFrame:
     return distance.select("doc_id", "lang", "source", *[c.split()[0] for c in _BASE.split(", ")], "base_failed", "distance", kept.alias("kept"))
 
 
+def _full(upper: list[float]) -> np.ndarray:
+    """A symmetric matrix from its upper triangle by rows."""
+    out = np.zeros((len(FEATURES),) * 2)
+    out[np.triu_indices(len(FEATURES))] = upper
+    return out + np.triu(out, 1).T
+
+
+def _good(texts: list[bytes], fits: list[tuple[np.ndarray, np.ndarray]], most: float, hashes: WordHashes) -> np.ndarray:
+    """Which texts pass the base rule and lie within ``most`` of the centre and inverse covariance of their group."""
+    stats = np.array([text_statistics(t, hashes) for t in texts], np.int64).reshape(-1, 7)
+    gaps = features_of(stats) - np.array([c for c, _ in fits]).reshape(-1, len(FEATURES))
+    inverses = np.array([i for _, i in fits]).reshape(-1, len(FEATURES), len(FEATURES))
+    return ~base_failed(stats) & (np.einsum("ni,nij,nj->n", gaps, inverses, gaps) <= most)
+
+
+def _kept_by_fit(joined: DataFrame, columns: list[str], most: float) -> DataFrame:
+    """The kept rows of documents that have the estimates of their group beside them, in ``_fit``."""
+    hashes = WordHashes()
+
+    def good(batch):
+        fits = [(np.array(f["centre"]), _full(f["inverse"])) for f in batch.column("_fit").to_pylist()]
+        return _good(bytes_of(batch.column("text")), fits, most, hashes)
+
+    return keep_rows(joined, good).select(*columns)
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, each judged by itself, with all their columns.
 
     The estimates are one row per group; up to MOST_GROUPS of them go to every task, which judges texts where they lie.
-    Beyond that the verdicts are joined by doc_id, so that rows that share one go together if one is rejected.
+    Beyond that each row is joined with the estimates of its own group. Either way no doc_id is looked at.
     """
     fit = minimum_covariance(cut_lineage(statistics(docs)))
     rows = fit.limit(MOST_GROUPS + 1).collect()
+    most = chi2_quantile(TAIL, len(FEATURES))
     if len(rows) > MOST_GROUPS:
-        bad = judge(docs).where(~F.col("kept")).select("doc_id").distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
-    triangle = np.triu_indices(len(FEATURES))
-    estimates = {}
-    for row in rows:
-        inverse = np.zeros((len(FEATURES),) * 2)
-        inverse[triangle] = row.inverse
-        estimates[row._lang, row._source] = np.array(row.centre), inverse + np.triu(inverse, 1).T
+        names = {f"_{c}_of": F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in ("lang", "source")}
+        joined = docs.withColumns(names).join(
+            fit.select(F.col("_lang").alias("_lang_of"), F.col("_source").alias("_source_of"), F.struct("centre", "inverse").alias("_fit")),
+            list(names), "left")
+        return _kept_by_fit(joined, docs.columns, most)
+    estimates = {(row._lang, row._source): (np.array(row.centre), _full(row.inverse)) for row in rows}
     sent, hashes = docs.sparkSession.sparkContext.broadcast(estimates), WordHashes()
-    most = chi2_quantile(TAIL, len(FEATURES))
 
     def good(batch):
-        stats = np.array([text_statistics(t, hashes) for t in bytes_of(batch.column("text"))], np.int64).reshape(-1, 7)
         groups = zip(*([group_name(v) for v in batch.column(c).to_pylist()] for c in ("lang", "source")), strict=True)
-        fits = [sent.value[g] for g in groups]
-        gaps = features_of(stats) - np.array([c for c, _ in fits]).reshape(-1, len(FEATURES))
-        inverses = np.array([i for _, i in fits]).reshape(-1, len(FEATURES), len(FEATURES))
-        return ~base_failed(stats) & (np.einsum("ni,nij,nj->n", gaps, inverses, gaps) <= most)
+        return _good(bytes_of(batch.column("text")), [sent.value[g] for g in groups], most, hashes)
 
     return keep_rows(docs, good)

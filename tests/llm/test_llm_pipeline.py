@@ -1,5 +1,8 @@
 """The pipeline's stages, each against what its operator says of the stage's input."""
 
+import random
+from collections import Counter
+
 import corpus_pipeline
 from tabfeat.llm import decontaminate, mixing, near_dedup, quality_rules
 from tabfeat.session import scratch_path
@@ -32,3 +35,22 @@ def test_empty_documents(spark, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_stages_judge_rows_without_or_with_shared_doc_ids(spark, monkeypatch):
+    """A rejected row takes no other along, and the mix meets its targets, whatever the doc_ids."""
+    rng = random.Random(11)
+    prose = [" ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 7))) for _ in range(rng.randrange(20, 60))) for _ in range(120)]
+    rows = [(None if i % 3 else 7, text, "en", "ab"[i % 2], i) for i, text in enumerate(prose)] + [(None, "", "en", "a", -1), (7, None, "en", None, -2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    few = sorted(r.n_chars for r in quality_rules.keep_good(docs).collect())
+    monkeypatch.setattr(quality_rules, "MOST_GROUPS", 1)
+    joined = quality_rules.keep_good(docs)
+    assert joined.columns == docs.columns and sorted(r.n_chars for r in joined.collect()) == few and len(few) > 100
+
+    mixed, targets = mixing.repeated(docs, share=0.4), {r.source: r.target for r in mixing.mix(docs, share=0.4).collect()}
+    taken = Counter()
+    for r in mixed.collect():
+        taken[r.source] += len((r.text or "").split())
+    for source in "ab":
+        assert abs(taken[source] - targets[source]) <= 30, source
