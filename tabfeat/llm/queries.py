@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabfeat.llm import bloom_lm, decontaminate, kneser_ney, mixing, near_dedup, quality_rules, substring_dedup, token_output, toxicity, url_filter
+from tabfeat.llm import bloom_lm, decontaminate, kneser_ney, merkle, mixing, near_dedup, quality_rules, substring_dedup, token_output, toxicity, url_filter
 from tabfeat.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,59 @@ FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN owners USING (doc_id)"""
 def leaks(spark, load):
     return decontaminate.contamination(load("documents"), load("benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+# ---- 11: Merkle manifest ---------------------------------------------------------------------
+
+#: crc32 of a doc_id in decimal, by the usual table of 256 steps.
+CRC_SQL = """crc_steps AS (SELECT list(list_reduce([i] || list_value(0, 0, 0, 0, 0, 0, 0, 0), lambda x, _: CASE WHEN x & 1 = 1
+    THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS steps FROM (SELECT CAST(range AS BIGINT) AS i FROM range(256))),
+  crcs AS (SELECT doc_id, xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda x, b: xor(x >> 8, steps[(xor(x, b) & 255) + 1])), 4294967295) AS crc FROM (SELECT DISTINCT doc_id FROM documents), crc_steps)"""
+
+
+def _tree_sql(name: str, levels: int) -> str:
+    """CTEs that turn ``{name}0`` (key, pos, digest) into the runs of each level and ``{name}{levels}``, one root per key."""
+    return ",\n  ".join(f"""{name}_runs{k} AS (SELECT key, pos // 16 AS pos, any_value(n) > 1 AS many, list(digest ORDER BY pos) AS m
+    FROM (SELECT *, count(*) OVER (PARTITION BY key) AS n FROM {name}{k}) GROUP BY key, pos // 16),
+  {name}{k + 1} AS (SELECT key, pos, CASE WHEN many THEN sha256(array_to_string(m, '')) ELSE m[1] END AS digest FROM {name}_runs{k})"""
+                        for k in range(levels))
+
+
+def _climb_sql(name: str, start: str, levels: int) -> str:
+    """CTEs ``{name}_up1`` on: proof and folded digest of each row of ``start`` (key, pos, folded, proof, others) above each level."""
+    at, left, right = "CAST(c.pos % 16 AS BIGINT)", "array_to_string(m[1:i], '')", "array_to_string(m[i + 2:], '')"
+    return ",\n  ".join(f"""{name}_up{k + 1} AS (SELECT * EXCLUDE (many, m, i) REPLACE (pos // 16 AS pos,
+    CASE WHEN many THEN proof || {left} || {right} ELSE proof END AS proof,
+    CASE WHEN many THEN sha256({left} || folded || {right}) ELSE folded END AS folded)
+    FROM (SELECT c.*, {at} AS i, r.many, r.m FROM {start if k == 0 else f"{name}_up{k}"} c JOIN {name}_runs{k} r ON c.key = r.key AND c.pos // 16 = r.pos))"""
+                        for k in range(levels))
+
+
+def merkle_sql(levels: int = 6, top_levels: int = 3) -> str:
+    """Enough levels for 16 million rows of a source and 4,096 sources."""
+    def field(c):
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(strlen(CAST({c} AS VARCHAR)), ':', {c}) END"
+
+    head = ", ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    return f"""WITH {CRC_SQL},
+  received AS (SELECT d.*, CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS got
+    FROM documents d LEFT JOIN crcs USING (doc_id)),
+  leaves AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, digest) - 1 AS pos FROM (SELECT doc_id, coalesce('=' || source, '') AS key,
+    sha256(concat({head}, {field('text')})) AS digest, sha256(concat({head}, {field('got')})) AS folded FROM received)),
+  own0 AS (SELECT key, pos, digest FROM leaves),
+  {_tree_sql('own', levels)},
+  all0 AS (SELECT '' AS key, row_number() OVER (ORDER BY key) - 1 AS pos, digest FROM own{levels}),
+  {_tree_sql('all', top_levels)},
+  own_up0 AS (SELECT key, pos, doc_id, digest AS leaf, folded, '' AS proof FROM leaves),
+  {_climb_sql('own', 'own_up0', levels)},
+  all_up0 AS (SELECT '' AS key, s.pos, u.doc_id, u.leaf, s.digest AS subroot, u.folded, u.proof FROM own_up{levels} u
+    JOIN (SELECT key, row_number() OVER (ORDER BY key) - 1 AS pos, digest FROM own{levels}) s ON u.key = s.key),
+  {_climb_sql('all', 'all_up0', top_levels)}
+SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = digest AS verified
+FROM all_up{top_levels}, all{top_levels}"""
+
+
+@query("op11_merkle_manifest", merkle_sql())
+def manifest(spark, load):
+    return merkle.audit(load("documents"), merkle.lowered_where(5))

@@ -57,7 +57,7 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def by_batch(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict[str, list]]) -> DataFrame:
     """``mapInArrow`` for a function from one batch to columns."""
     bound_batches(df.sparkSession)
-    arrow = _arrow_schema(df.sparkSession, schema)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -87,7 +87,7 @@ def keep_rows(docs: DataFrame, fn: Callable[[pa.RecordBatch], list[bool]]) -> Da
 def by_partition(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, list]]]) -> DataFrame:
     """``mapInArrow`` for a function from all batches of a task to columns."""
     bound_batches(df.sparkSession)
-    arrow = _arrow_schema(df.sparkSession, schema)
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in fn(pieces(batches)):
@@ -101,7 +101,7 @@ def to_batch(columns: dict[str, list], arrow: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
