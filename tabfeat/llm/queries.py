@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabfeat.llm import bloom_lm, decontaminate, kneser_ney, merkle, mixing, near_dedup, quality_rules, substring_dedup, token_output, toxicity, url_filter
+from tabfeat.llm import bloom_lm, decontaminate, fingerprints, kneser_ney, merkle, mixing, near_dedup, periodic_runs, quality_rules, substring_dedup, token_output, toxicity, url_filter
 from tabfeat.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,3 +187,39 @@ FROM all_up{top_levels}, all{top_levels}"""
 @query("op11_merkle_manifest", merkle_sql())
 def manifest(spark, load):
     return merkle.audit(load("documents"), merkle.lowered_where(5))
+
+
+# ---- 12: periodic runs -----------------------------------------------------------------------
+
+RUNS_SQL = rf"""WITH {CRC_SQL},
+  texts AS (SELECT d.doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w, crc % 10 = 0 AS chosen, crc // 10 AS g
+    FROM documents d LEFT JOIN crcs USING (doc_id)),
+  tails AS (SELECT *, len(w) AS n, CASE WHEN chosen AND len(w) > 0 THEN g % len(w) ELSE len(w) END AS a FROM texts),
+  periods AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM tails),
+  words AS (SELECT doc_id, n, i, CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END AS word FROM (SELECT *, unnest(range(n)) AS i FROM periods)),
+  pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+  stretches AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs)
+    GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+  runs AS (SELECT doc_id, s, l, min(q) AS q FROM stretches GROUP BY doc_id, s, l),
+  listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(s, ',', l, ',', q, chr(10)), '' ORDER BY s, q) AS list FROM runs GROUP BY doc_id),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l / q DESC, s, q) AS k FROM runs) WHERE k = 1),
+  rest AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM words v
+    WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = v.doc_id AND v.i >= r.s + r.q AND v.i < r.s + r.l) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(s AS BIGINT) AS start, CAST(l AS BIGINT) AS length, CAST(q AS BIGINT) AS period,
+  CAST(1000 * l // q AS BIGINT) AS exponent_milli, sha256(coalesce(list, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN rest USING (doc_id)"""
+
+
+@query("op12_periodic_runs", RUNS_SQL)
+def repeated_stretches(spark, load):
+    return periodic_runs.periodic_runs(load("documents"), implant=True).drop("runs")
+
+
+# ---- 13: fingerprints ------------------------------------------------------------------------
+
+
+@query("op13_fingerprints")
+def prints(spark, load):
+    return fingerprints.fingerprints(load("documents")).select(
+        "doc_id", "n_chars", "edited_sha256", fingerprints.as_text("signature").alias("fingerprint"),
+        fingerprints.as_text("edited").alias("edited_fingerprint"), "near_edited", "near_next")
