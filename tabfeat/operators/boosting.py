@@ -115,7 +115,7 @@ class BoostedModel:
         return ready.mapInArrow(run, StructType([*fields, StructField("prediction", DoubleType())]))
 
 
-def _uniform(hashes: np.ndarray, seed: int) -> np.ndarray:
+def uniform(hashes: np.ndarray, seed: int) -> np.ndarray:
     """A number in [0, 1) for each row and seed, from the row's hash."""
     x = hashes.view(np.uint64) ^ np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) % (1 << 64))
     for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
@@ -132,7 +132,7 @@ def _seed(plan: Plan, kind: int, round_: int = 0) -> int:
 
 
 def _held(batch: pa.RecordBatch, plan: Plan) -> np.ndarray:
-    return _uniform(batch.column("_hash").to_numpy(zero_copy_only=False), _seed(plan, _HELD)) < plan.validation
+    return uniform(batch.column("_hash").to_numpy(zero_copy_only=False), _seed(plan, _HELD)) < plan.validation
 
 
 def _negative_gradient(plan: Plan, residual: np.ndarray, delta: float) -> np.ndarray:
@@ -240,10 +240,10 @@ class _State:
             down = _negative_gradient(plan, residual, delta)
             weight = (~_held(batch, plan)).astype(float)
             if plan.subsample < 1:
-                weight *= _uniform(hashes, _seed(plan, _ROWS, round_)) < plan.subsample
+                weight *= uniform(hashes, _seed(plan, _ROWS, round_)) < plan.subsample
             if large is not None:
                 rest = np.abs(down) < large
-                drawn = _uniform(hashes, _seed(plan, _REST, round_)) < plan.other_rate / (1 - plan.top_rate)
+                drawn = uniform(hashes, _seed(plan, _REST, round_)) < plan.other_rate / (1 - plan.top_rate)
                 weight *= np.where(rest, drawn * (1 - plan.top_rate) / plan.other_rate, 1.0) if plan.other_rate else ~rest
             return -down, np.ones(len(down)), weight
 
@@ -343,15 +343,17 @@ _SAME = {"n_estimators": "rounds", "max_iter": "rounds", "learning_rate": "rate"
          "skip_drop": "skip_drop", "validation_fraction": "validation", "n_iter_no_change": "stop_after", "tol": "tolerance", "random_state": "seed"}
 _RULES = {"max_leaf_nodes": "max_leaves", "num_leaves": "max_leaves", "max_leaves": "max_leaves", "max_depth": "max_depth",
           "min_samples_leaf": "min_rows", "min_child_samples": "min_rows", "min_child_weight": "min_hessian", "reg_lambda": "reg_lambda",
-          "l2_regularization": "reg_lambda", "reg_alpha": "reg_alpha", "min_split_gain": "min_gain"}
-_INTEGERS = {"rounds", "max_leaves", "max_depth", "min_rows", "most_dropped", "stop_after", "seed"}
+          "l2_regularization": "reg_lambda", "reg_alpha": "reg_alpha", "min_split_gain": "min_gain", "min_samples_split": "min_split",
+          "min_impurity_split": "min_impurity"}
+_INTEGERS = {"rounds", "max_leaves", "max_depth", "min_rows", "most_dropped", "stop_after", "seed", "min_split"}
 # Names that only say how a library runs, or what it prints.
 QUIET = {"scoring", "n_jobs", "nthread", "verbose", "verbosity", "silent", "warm_start", "presort", "subsample_for_bin", "objective"}
-OTHERS = {"loss", "booster", "boosting_type", "gamma", "max_bins", "max_features", "colsample_bytree", "subsample_freq"}
+OTHERS = {"loss", "booster", "boosting_type", "gamma", "max_bins", "max_features", "colsample_bytree", "subsample_freq", "criterion"}
+NAMES = {*_SAME, *_RULES, *QUIET, *OTHERS}
 
 
 def unknown_names(params: Mapping) -> None:
-    wrong = sorted(set(params) - set(_SAME) - set(_RULES) - QUIET - OTHERS)
+    wrong = sorted(set(params) - NAMES)
     if wrong:
         raise ValueError(f"no equivalent for {wrong}")
 
@@ -369,7 +371,8 @@ def plan_of(params: Mapping, n_features: int) -> tuple[Plan, int]:
         rules = {"max_leaves": None, "max_depth": 6, "min_hessian": 1.0, "reg_lambda": 1.0}
     elif "max_leaf_nodes" in params or "max_iter" in params:
         rules = {"max_leaves": 31, "max_depth": None, "min_rows": 20}
-    p.pop("booster", None)
+    if p.pop("booster", None) not in (None, "gbtree", "dart") or p.pop("criterion", "mse") not in ("mse", "friedman_mse", "squared_error"):
+        raise ValueError("no such booster or criterion")
     if kind == "dart":
         values["drop_rate"] = 0.1
     elif kind == "goss":

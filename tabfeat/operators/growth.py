@@ -12,6 +12,7 @@ Spark, and only the best split of each comes to the driver. A regression tree is
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -23,15 +24,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tabfeat.functions.columns import numeric, q
-from tabfeat.operators.ranks import exact_quantiles
 
 MAX_BINS = 256
 
+#: Rows whose values place the borders of features with many values.
+BIN_SAMPLE = 200_000
+
 #: Bytes of histograms that a task sums up in one scan; more open nodes take further scans.
 HISTOGRAM_BYTES = 64 << 20
 
-#: Rows of an Arrow batch and parts of a sum are bounded; keys of the second sum are (node, feature).
-STATS = 3  # gradient, Hessian, rows
+#: Sums of a bin: gradient, Hessian, rows, squared gradient.
+STATS = 4
 
 
 # ---- bins ------------------------------------------------------------------------------------
@@ -56,14 +59,15 @@ class Bins:
         return float(self.edges[feature][bin_])
 
 
-def fit_bins(df: DataFrame, features: Sequence[str], max_bins: int = MAX_BINS) -> Bins:
-    """Every distinct value a bin of its own where a feature has few, else borders at exact quantiles of all rows.
+def fit_bins(df: DataFrame, features: Sequence[str], max_bins: int = MAX_BINS, sample: int = BIN_SAMPLE) -> Bins:
+    """Every distinct value a bin of its own where a feature has few, else borders at quantiles.
 
-    Borders lie on values, so that rows go left when they are not above one.
+    Borders lie on values, so that rows go left when they are not above one. Quantiles are those of about ``sample`` rows,
+    chosen by a hash of their values and so the same however the input is partitioned; of all rows if there are no more.
     """
     named = {f"f{i}": numeric(df, f) for i, f in enumerate(features)}
     rows = df.select(*[v.alias(k) for k, v in named.items()])
-    counted = rows.agg(*[F.approx_count_distinct(k).alias(k) for k in named]).first().asDict()
+    counted = rows.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(k).alias(k) for k in named]).first().asDict()
     few = [k for k in named if counted[k] <= max_bins]
     edges: dict[str, np.ndarray] = {}
     if few:
@@ -71,8 +75,13 @@ def fit_bins(df: DataFrame, features: Sequence[str], max_bins: int = MAX_BINS) -
         edges = {k: np.array(sets[k][:-1], float) for k in few if len(sets[k]) <= max_bins}
     many = [k for k in named if k not in edges]
     if many:
-        found = exact_quantiles(rows, many, [i / max_bins for i in range(1, max_bins)])
-        edges |= {k: np.unique(np.array([x for x in found[k] if x is not None], float)) for k in many}
+        if counted["n"] > sample:
+            share = int(sample / counted["n"] * (1 << 40))
+            rows = rows.where(F.pmod(F.xxhash64(*named), F.lit(1 << 40)) < share)
+        probs = F.array(*[F.lit(i / max_bins) for i in range(1, max_bins)])
+        # so fine a sketch holds every value, so it does not depend on their order
+        found = rows.agg(*[F.percentile_approx(k, probs, F.lit(10 * sample)).alias(k) for k in many]).first()
+        edges |= {k: np.unique(np.array(found[k] or [], float)) for k in many}
     return Bins(list(features), [edges[k] for k in named])
 
 
@@ -157,7 +166,8 @@ class Tree:
 
 @dataclass(frozen=True)
 class Rules:
-    """What bounds a tree. ``min_gain`` is compared with the drop of the loss as ``gain_of`` has it, for all rows of the node."""
+    """What bounds a tree. A split must drop twice the loss by more than ``min_gain``; a node is split if it has ``min_split``
+    rows and if the variance of its gradients is above ``min_impurity``."""
 
     max_leaves: int | None = 31
     max_depth: int | None = None
@@ -166,6 +176,8 @@ class Rules:
     reg_lambda: float = 0.0
     reg_alpha: float = 0.0
     min_gain: float = 0.0
+    min_split: int = 2
+    min_impurity: float | None = None
 
 
 def shrunk(gradient, alpha: float):
@@ -228,21 +240,27 @@ def _node_histograms(rows: DataFrame, bins: Bins, tree: Tree, nodes: list[int],
             g, h, w = gradients(batch, codes)
             use = np.flatnonzero((own >= 0) & (w > 0))
             cells = ((own[use, None] * len(chosen) + np.arange(len(chosen))) * width + codes[np.ix_(use, chosen)]).ravel()
-            for k, x in enumerate((g * w, h * w, (w > 0).astype(float))):
+            for k, x in enumerate((g * w, h * w, (w > 0).astype(float), g * g * w)):
                 total[k] += np.bincount(cells, np.repeat(x[use], len(chosen)), size)
         per = total.reshape(STATS, len(nodes) * len(chosen), width)
         some = np.flatnonzero(per[2].any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([per[:, i].T.tobytes() for i in some], pa.binary())], ["cell", "sums"])
 
-    def split(key, table):
-        histogram = sum(np.frombuffer(b, float).reshape(width, STATS) for b in sorted(table["sums"].to_pylist()))
-        found = best_split(histogram, rules)
-        out = {"cell": [key[0].as_py()], "bin": [found[0] if found else -1], "gain": [found[1] if found else 0.0],
-               "left": [found[2].tobytes() if found else b""], "whole": [histogram.sum(axis=0).tobytes()]}
+    def split(table):
+        parts: dict[int, list[bytes]] = {}
+        for cell, data in zip(table["cell"].to_pylist(), table["sums"].to_pylist()):
+            parts.setdefault(cell, []).append(data)
+        out: dict[str, list] = {"cell": [], "bin": [], "gain": [], "left": [], "whole": []}
+        for cell, data in parts.items():
+            histogram = sum(np.frombuffer(b, float).reshape(width, STATS) for b in sorted(data))
+            at, gain, left = best_split(histogram, rules) or (-1, 0.0, np.empty(0))
+            for name, x in zip(out, (cell, at, gain, left.tobytes(), histogram.sum(axis=0).tobytes())):
+                out[name].append(x)
         return pa.table(out, schema=pa.schema([("cell", pa.int64()), ("bin", pa.int32()), ("gain", pa.float64()), ("left", pa.binary()), ("whole", pa.binary())]))
 
     out: dict[int, tuple[np.ndarray, tuple | None]] = {}
-    per_cell = rows.mapInArrow(sums, "cell long, sums binary").groupBy("cell").applyInArrow(
+    dealt = F.pmod("cell", F.lit(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    per_cell = rows.mapInArrow(sums, "cell long, sums binary").groupBy(dealt).applyInArrow(
         split, "cell long, bin int, gain double, left binary, whole binary")
     for r in sorted(per_cell.collect(), key=lambda r: r["cell"]):  # one row for each open node and feature at most
         node, feature = nodes[r["cell"] // len(chosen)], int(chosen[r["cell"] % len(chosen)])
@@ -268,7 +286,9 @@ def grow(rows: DataFrame, bins: Bins, rules: Rules, gradients: Gradients = label
     least_gain = max(rules.min_gain, 1e-12 * max(1.0, float(score(whole[0], whole[1], rules))))
 
     def may_split(node: int) -> bool:
-        return (rules.max_depth is None or depth[node] < rules.max_depth) and stats[node][2] >= 2 * max(1, rules.min_rows)
+        gradient, weight, n, squares = stats[node]
+        impure = rules.min_impurity is None or weight > 0 and squares / weight - (gradient / weight) ** 2 > rules.min_impurity
+        return impure and (rules.max_depth is None or depth[node] < rules.max_depth) and n >= max(2 * max(1, rules.min_rows), rules.min_split)
 
     def look(nodes: list[int]) -> None:
         for i in range(0, len(nodes), at_once):
@@ -321,32 +341,39 @@ def grow(rows: DataFrame, bins: Bins, rules: Rules, gradients: Gradients = label
     return tree
 
 
-def errors_by_size(rows: DataFrame, bins: Bins, tree: Tree, sizes: Sequence[int]) -> dict[int, float]:
-    """Mean absolute error over ``rows`` of the tree cut back to each number of leaves, from one scan.
+def errors_by_size(rows: DataFrame, bins: Bins, trees: Sequence[Tree], sizes: Sequence[int]) -> dict[int, float]:
+    """Mean absolute error over ``rows`` of the trees' mean, each tree cut back to that many leaves; one scan for all sizes.
 
-    Every row adds its error at each node on its path; the error of a smaller tree is the sum over its leaves.
+    A row's value at a size is that of the deepest node on its path that the smaller tree has, so every tree is walked once.
     """
-    value, left = np.array(tree.value), np.array(tree.left)
+    asked = np.array(sorted(set(sizes)))
 
     def sums(batches):
-        total, n = np.zeros(len(value)), 0
+        total, n = np.zeros(len(asked)), 0
         for batch in batches:
             codes, y = codes_of(batch, bins), batch.column("label").to_numpy(zero_copy_only=False)
-            at, live = np.zeros(len(y), np.int64), np.arange(len(y))
-            while len(live):
-                node = at[live]
-                total += np.bincount(node, np.abs(y[live] - value[node]), len(value))
-                live = live[left[node] >= 0]
-                node = at[live]
-                at[live] = left[node] + (codes[live, np.array(tree.feature)[node]] > np.array(tree.bin)[node])
+            for i in range(0, len(y), 2048):
+                part = codes[i:i + 2048]
+                total += np.abs(y[i:i + 2048, None] - sum(_values_by_size(t, part, asked) for t in trees) / len(trees)).sum(axis=0)
             n += len(y)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["n", "sums"])
 
     parts = sorted((r["n"], bytes(r["sums"])) for r in rows.mapInArrow(sums, "n long, sums binary").collect())  # one row a task
     n, error = sum(p[0] for p in parts), sum(np.frombuffer(p[1], float) for p in parts)
-    by_leaves, current = [error[0]], error[0]
-    for first in sorted(x for x in tree.left if x >= 0):
-        parent = tree.left.index(first)
-        current = current + error[first] + error[first + 1] - error[parent]
-        by_leaves.append(current)
-    return {s: float(by_leaves[min(s, len(by_leaves)) - 1] / n) if n else float("nan") for s in sizes}
+    return {int(s): float(e / n) if n else math.nan for s, e in zip(asked, error)}
+
+
+def _values_by_size(tree: Tree, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """rows x sizes: the value of each row in the tree of each number of leaves."""
+    left, feature, cut, value = (np.array(x) for x in (tree.left, tree.feature, tree.bin, tree.value))
+    out = np.full((len(codes), len(sizes)), value[0])
+    at, live = np.zeros(len(codes), np.int64), np.arange(len(codes))
+    while True:
+        live = live[left[at[live]] >= 0]
+        if not len(live):
+            return out
+        node = at[live]
+        at[live] = left[node] + (codes[live, feature[node]] > cut[node])
+        # a pair of children is there from (its place + 3) / 2 leaves on
+        reached = sizes[None, :] >= ((left[node] + 3) // 2)[:, None]
+        out[live] = np.where(reached, value[at[live]][:, None], out[live])

@@ -94,7 +94,7 @@ def test_one_growth_serves_all_sizes(data):
     with growth.binned(df, bins, "y", ["id"]) as rows:
         tree = growth.grow(rows.where("id % 4 <> 0"), bins, Rules(max_leaves=60))
         sizes = [1, 2, 3, 10, 33, 60, 500]
-        found = growth.errors_by_size(rows.where("id % 4 = 0"), bins, tree, sizes)
+        found = growth.errors_by_size(rows.where("id % 4 = 0"), bins, [tree], sizes)
     train, held = np.arange(len(y)) % 4 != 0, np.arange(len(y)) % 4 == 0
     codes = bins.codes(list(x[held].T))
     for size in sizes:
@@ -184,7 +184,7 @@ def test_early_stopping_is_read_off_the_losses(data):
     assert len(model.trees) == best and len(model.losses) - 1 - best == 3 < 57
     held = np.zeros(len(y), bool)
     hashes = {r["id"]: r["_hash"] for r in kept}
-    held[:] = boosting._uniform(np.array([hashes[i] for i in range(len(y))], np.int64), boosting._seed(plan, boosting._HELD)) < 0.3
+    held[:] = boosting.uniform(np.array([hashes[i] for i in range(len(y))], np.int64), boosting._seed(plan, boosting._HELD)) < 0.3
     codes = bins.codes(list(x.T))
     for i in range(best + 1):
         f = model.base + sum(w * t.predict(codes) for w, t in zip(model.weights[:i], model.trees[:i]))

@@ -214,13 +214,39 @@ def test_tree_parameters():
     assert [trees.depth_for_leaves(s) for s in (2, 10, 16, 17)] == [1, 4, 4, 5]
 
 
-def test_tree_size_search_shares_fits(data):
+def test_tree_size_search_bounds_leaves(data):
+    """Sizes are numbers of leaves: a size has the error of a tree fitted with just that bound."""
     df, _ = data
     split = holdout_split(df, ["id"])
     rows = trees.tree_size_search(split, COLS, "y", sizes=[2, 10, 16, 60]).collect()
     assert rows[0]["mae"] == min(r["mae"] for r in rows)
     by = {r["size"]: r["mae"] for r in rows}
-    assert by[10] == by[16] and by[60] < by[2]
+    assert len(set(by.values())) == 4 and by[60] < by[16] < by[10] < by[2]
+    for size in (2, 16):
+        model = trees.fit_tree(split.where("is_train"), COLS, "y", "decision_tree", {"max_leaf_nodes": size})
+        held = trees.predict(model, split.where("not is_train"), COLS, ["y"])
+        assert model.trees[0].leaves == size
+        assert by[size] == pytest.approx(held.agg(F.avg(F.abs(F.col("y") - F.col("prediction")))).first()[0])
+
+
+def test_tree_size_search_of_a_forest(data):
+    df, _ = data
+    split = holdout_split(df, ["id"])
+    alone, forest = (trees.tree_size_search(split, COLS, "y", kind, [4, 40], params=p).collect()
+                     for kind, p in (("decision_tree", {}), ("random_forest", {"n_estimators": 5})))
+    assert {r["size"] for r in forest} == {4, 40} and forest[0]["size"] == 40
+    assert forest[0]["mae"] < alone[0]["mae"]
+
+
+def test_search_over_leaves_and_penalties(data):
+    df, _ = data
+    found = search.grid_search(df, "decision_tree", {"max_leaf_nodes": [2, 30, 1], "min_impurity_split": [None, 1e-7]}, COLS, "y")
+    board = {(json.loads(r["params"])["max_leaf_nodes"], json.loads(r["params"])["min_impurity_split"]): r["mean_score"] for r in found.leaderboard.collect()}
+    assert board[30, None] > board[2, None] and board[1, None] == 0.0 and found.best_params["max_leaf_nodes"] == 30
+    found = search.grid_search(df, "gradient_boosting", {"n_estimators": [8], "learning_rate": [0.4], "reg_lambda": [0.0, 1e6], "loss": ["ls", "huber"]}, COLS, "y")
+    board = {(json.loads(r["params"])["reg_lambda"], json.loads(r["params"])["loss"]): r["mean_score"] for r in found.leaderboard.collect()}
+    assert board[0.0, "ls"] > 0.5 > board[1e6, "ls"] and board[0.0, "huber"] > 0.5
+    assert found.predict(df, ["id"]).count() == df.count() and found.metrics(df).first()["r2"] > 0.5
 
 
 def test_holdout_is_stable_under_repartition(data):
