@@ -38,7 +38,8 @@ class Plan:
     """One boosting fit. ``alpha`` is the quantile of the quantile loss, and of the residuals that bound the Huber loss.
 
     ``drop_rate`` > 0 is boosting with dropout; ``top_rate`` + ``other_rate`` < 1 samples by gradients; ``stop_after`` rounds
-    without a loss better by ``tolerance`` on the hashed ``validation`` share end the fit at the best round.
+    without a loss better by ``tolerance`` on the hashed ``validation`` share, or on the rows where the boolean column
+    ``held`` is true, end the fit at the best round.
     """
 
     loss: str = "squared"
@@ -55,6 +56,7 @@ class Plan:
     top_rate: float = 1.0
     other_rate: float = 0.0
     validation: float = 0.0
+    held: str | None = None
     stop_after: int | None = None
     tolerance: float = 1e-7
     seed: int = 0
@@ -67,7 +69,7 @@ class Plan:
                 raise ValueError(f"{name} must lie between {low} and {high}")
         if not self.rate > 0 or self.subsample == 0:
             raise ValueError("learning rate and subsample must be above 0")
-        if self.stop_after is not None and not 0 < self.validation < 1:
+        if self.stop_after is not None and not 0 < self.validation < 1 and self.held is None:
             raise ValueError("early stopping needs a validation share")
 
 
@@ -132,6 +134,8 @@ def _seed(plan: Plan, kind: int, round_: int = 0) -> int:
 
 
 def _held(batch: pa.RecordBatch, plan: Plan) -> np.ndarray:
+    if plan.held is not None:
+        return batch.column(plan.held).fill_null(False).to_numpy(zero_copy_only=False)
     return uniform(batch.column("_hash").to_numpy(zero_copy_only=False), _seed(plan, _HELD)) < plan.validation
 
 
