@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tabfeat.bindings.registry import NET_FEATURES, NET_LINEITEM, net_lineitem, query, r, rounded
@@ -202,6 +204,43 @@ def grid_search_trees(load):
     return rounded(found.leaderboard, 4)
 
 
+def _neighbor_board(candidates: str, prediction: str, pairs: dict[int, str]) -> str:
+    """R2 of leave-one-fold-out predictions by candidate (params, p, size, weights) and fold; 0 where a row has no prediction."""
+    rows = "(SELECT vec_id, label, vec_id % 4 AS fold FROM embeddings)"
+    near = "\n  UNION ALL ".join(f"SELECT {p} AS p, id, other, y, d FROM {sql} WHERE id % 4 <> other % 4" for p, sql in pairs.items())
+    return f"""SELECT params, {r('avg(score)', 6)} AS mean_score, {r('stddev_pop(score)', 6)} AS std_score FROM (
+  SELECT params, fold, CASE WHEN count(prediction) < count(*) THEN 0 ELSE 1 - sum((label - prediction) ** 2) / (var_pop(label) * count(*)) END AS score
+  FROM {rows} CROSS JOIN ({candidates}) c LEFT JOIN (
+    SELECT params, id, {prediction} AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY p, id ORDER BY d, other) AS rn FROM ({near})) n
+    JOIN ({candidates}) c USING (p) WHERE {{limit}} GROUP BY params, id) f ON f.id = vec_id AND f.params = c.params GROUP BY c.params, fold) GROUP BY params"""
+
+
+def _listed(candidates) -> str:
+    return " UNION ALL ".join(f"SELECT '{json.dumps(c, sort_keys=True)}' AS params, {c['p']} AS p, {c.get('n_neighbors', c.get('radius'))} AS size, '{c['weights']}' AS weights"
+                              for c in candidates)
+
+
+MEAN_OF_NEAR = "CASE WHEN any_value(weights) = 'uniform' THEN avg(y) ELSE sum(y / d) / sum(1 / d) END"
+KNN_GRID = {"n_neighbors": [3, 8, 14], "weights": ["uniform", "distance"], "p": [1, 2]}
+RADIUS_GRID = {"radius": [1.1, 1.25, 1.5], "weights": ["uniform", "distance"], "p": [2]}
+
+
+@query("m2_grid_search_knn", _neighbor_board(_listed(search.expand_grid(KNN_GRID)), MEAN_OF_NEAR, {1: L1, 2: L2}).replace("{limit}", "rn <= size").replace(
+    "SELECT params, fold", "SELECT c.params, fold"))
+def grid_search_knn(load):
+    """Twelve candidates from one search for each distance."""
+    e = load("embeddings").withColumn("fold", q("vec_id") % 4)
+    return rounded(search.grid_search(e, "knn", KNN_GRID, ["embedding"], "label", key="vec_id").leaderboard.drop("candidate", "rank"), 6)
+
+
+@query("m2_grid_search_radius", _neighbor_board(_listed(search.expand_grid(RADIUS_GRID)), MEAN_OF_NEAR, {2: L2}).replace("{limit}", "d <= size").replace(
+    "SELECT params, fold", "SELECT c.params, fold"))
+def grid_search_radius(load):
+    """Radii from one search of the greatest; the smallest leaves rows without a neighbour, which scores 0."""
+    e = load("embeddings").withColumn("fold", q("vec_id") % 4)
+    return rounded(search.grid_search(e, "radius", RADIUS_GRID, ["embedding"], "label", key="vec_id").leaderboard.drop("candidate", "rank"), 6)
+
+
 @query("m3_random_search")
 def random_search(load):
     space = {"alpha": lambda g: g.expovariate(1.0) * 0.01, "l1_ratio": lambda g: g.random(), "positive": [True, False]}
