@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabfeat.bindings.registry import NET_FEATURES, NET_LINEITEM, NUMBERS, net_lineitem, query, r, rounded, union
-from tabfeat.operators import screen
+from tabfeat.functions import columns
+from tabfeat.operators import normality, screen
 from tabfeat.operators.gram import fit_pca, moments
 
 GRAM = ["l_quantity", "l_discount", "l_tax", "l_extendedprice"]
@@ -142,6 +143,46 @@ def all_normal(load):
     return screen.all_normal(screen.normality_screen(load("lineitem"), NUMBERS))
 
 
+def _horner(coefficients, x):
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _probit_sql(p):
+    """The rational approximation that the library uses."""
+    def tail(t):
+        return f"{_horner(columns.PROBIT_C, t)} / {_horner(columns.PROBIT_D, t)}"
+
+    low, high, middle = (f"(sqrt(-2 * ln({p})))", f"(sqrt(-2 * ln(1 - {p})))", f"(({p} - 0.5) * ({p} - 0.5))")
+    return f"""CASE WHEN {p} < {columns.PROBIT_TAIL} THEN {tail(low)} WHEN {p} > 1 - {columns.PROBIT_TAIL} THEN -{tail(high)}
+    ELSE ({p} - 0.5) * {_horner(columns.PROBIT_A, middle)} / {_horner(columns.PROBIT_B, middle)} END"""
+
+
+def _power_sql(coefficients, x):
+    return "(" + " + ".join(f"{c!r} * pow({x}, {i})" for i, c in enumerate(coefficients)) + ")"
+
+
+SHAPIRO = f"""WITH long AS ({union(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM lineitem" for c in NUMBERS)}),
+  ranked AS (SELECT feature, x - avg(x) OVER (PARTITION BY feature) AS x, row_number() OVER (PARTITION BY feature ORDER BY x) AS i,
+    CAST(count(*) OVER (PARTITION BY feature) AS DOUBLE) AS n FROM long),
+  placed AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) AS p FROM ranked),
+  scored AS (SELECT *, {_probit_sql('p')} AS m FROM placed),
+  sums AS (SELECT feature, any_value(n) AS n, sum(m * x) AS mx, sum(m * m) AS ss, sum(x * x) AS xx, max(x) FILTER (i = 1) AS x1, max(x) FILTER (i = 2) AS x2,
+    max(x) FILTER (i = n - 1) AS y2, max(x) FILTER (i = n) AS y1, max(m) FILTER (i = n) AS m1, max(m) FILTER (i = n - 1) AS m2 FROM scored GROUP BY feature),
+  ends AS (SELECT *, {_power_sql(normality.LARGEST, '(1 / sqrt(n))')} + m1 / sqrt(ss) AS a1, {_power_sql(normality.SECOND, '(1 / sqrt(n))')} + m2 / sqrt(ss) AS a2 FROM sums),
+  done AS (SELECT feature, n, pow((mx - m1 * (y1 - x1) - m2 * (y2 - x2)) / sqrt((ss - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2))
+    + a1 * (y1 - x1) + a2 * (y2 - x2), 2) / xx AS w FROM ends),
+  tested AS (SELECT *, (ln(1 - w) - {_power_sql(normality.MEAN, 'ln(n)')}) / exp({_power_sql(normality.DEVIATION, 'ln(n)')}) AS z FROM done)
+SELECT feature, CAST(n AS BIGINT) AS n, {r('w', 6)} AS w, {r('z', 3)} AS z, CASE WHEN z > 2.3263478740408408 THEN 1 ELSE 0 END AS rejected FROM tested"""
+
+
+@query("g8_shapiro_wilk", SHAPIRO)
+def shapiro_wilk(load):
+    return rounded(normality.shapiro_wilk(load("lineitem"), NUMBERS).drop("p"), w=6, z=3)
+
+
 @query("d1_pca", f"SELECT 1 AS component, {r('(1 + abs(c)) / 2', 6)} AS ratio FROM (SELECT corr(l_quantity, net) AS c FROM {NET_LINEITEM})")
 def pca(load):
     df = net_lineitem(load)
