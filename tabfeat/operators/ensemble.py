@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabfeat.functions.columns import numeric, q
-from tabfeat.operators.gram import moments
+from tabfeat.operators.folds import metric_exprs
+from tabfeat.operators.gram import Moments, moments, total
 from tabfeat.operators.iterate import kept
-from tabfeat.operators.linear import SOLVERS, LinearModel, r2_from, solve, solve_ols
+from tabfeat.operators.linear import SOLVERS, LinearModel, fit_weighted_huber, r2_from, solve, usable
 from tabfeat.operators.ranks import exact_quantiles
 from tabfeat.operators.search import TREES
-from tabfeat.operators.trees import assemble, tree_estimator
+from tabfeat.operators.trees import assemble, fit_tree, predict, tree_estimator
 from tabfeat.session import cut_lineage
 
 # ---- bagging ---------------------------------------------------------------------------------
@@ -51,29 +52,68 @@ class Average:
 
     models: list
     features: list[str]
+    weight: Callable[[Column], Column] | None = None
+
+    def members(self, df: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+        """Kept columns and a prediction column for each member, and their names."""
+        names = [f"_p{i}" for i in range(len(self.models))]
+        if isinstance(self.models[0], LinearModel):
+            found = df.select(*[q(c) for c in keep], *[m.predict(df).alias(n) for m, n in zip(self.models, names)])
+            return found.dropna(subset=names), names
+        rows = assemble(df, self.features, None, keep)
+        for n, m in zip(names, self.models):
+            rows = m.setPredictionCol(n).transform(rows)
+        return rows, names
 
     def predict(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         if isinstance(self.models[0], LinearModel):
             mean = sum((m.predict(df) for m in self.models), F.lit(0.0)) / len(self.models)
             return df.select(*[q(c) for c in keep], mean.alias("prediction"))
-        rows = assemble(df, self.features, None, keep)
-        names = []
-        for i, m in enumerate(self.models):
-            names.append(f"_p{i}")
-            rows = m.setPredictionCol(f"_p{i}").transform(rows)
+        rows, names = self.members(df, keep)
         mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(names)
         return rows.select(*[q(c) for c in keep], mean.alias("prediction"))
 
 
+Draw = Callable[[Column], Column]
+
+
+def replica_moments(df: DataFrame, cols: Sequence[str], weights: Column, replicas: int) -> list[Moments]:
+    """Moments of the rows under each of the weights in an array column, from one scan; a row is not copied per replica.
+
+    A task multiplies each batch by the weights of one replica after the other and sends one row of sums a replica.
+    """
+    cols, p = list(cols), len(cols)
+    x = [numeric(df, c).cast("double") for c in cols]
+    row = df.select(*[F.avg(v).alias(f"x{i}") for i, v in enumerate(x)]).first()
+    centre = np.array([0.0 if v is None else v for v in row])
+    work = df.select(weights.alias("w"), *[(v - F.lit(float(c))).alias(f"x{i}") for i, (v, c) in enumerate(zip(x, centre))]).dropna()
+
+    def multiply(batches):
+        out = np.zeros((replicas, 1 + p + p * p))
+        for batch in batches:
+            w = batch.column("w").flatten().to_numpy(zero_copy_only=False).reshape(-1, replicas)
+            block = np.column_stack([batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(p)])
+            for k in range(replicas):
+                scaled = block * w[:, k:k + 1]
+                out[k] += np.concatenate([[w[:, k].sum()], scaled.sum(axis=0), (scaled.T @ block).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicas)), pa.array(out.tolist(), pa.list_(pa.float64()))], ["k", "s"])
+
+    summed = work.mapInArrow(multiply, "k long, s array<double>").select("k", F.posexplode("s")).groupBy("k", "pos").agg(F.sum("col").alias("v"))
+    table = np.zeros((replicas, 1 + p + p * p))
+    for r in summed.collect():  # replicas x columns² sums
+        table[r["k"], r["pos"]] = r["v"]
+    return [Moments(cols, centre, t[0], t[1:1 + p], t[1 + p:].reshape(p, p)) for t in table]
+
+
 def bagging(
     df: DataFrame, key: Sequence[str], features: Sequence[str], label: str, family: str = "ridge",
     params: Mapping | None = None, n_estimators: int = 10, max_samples: float = 1.0, max_features: float = 1.0,
-    bootstrap: bool = True, seed: int = 0,
+    bootstrap: bool = True, seed: int = 0, draw: Draw | None = None,
 ) -> Average:
     """Base models on hash-drawn samples of the rows and of the columns.
 
-    Linear bases need one scan for all replicas: the rows are weighted per
-    replica and summed into one moment matrix each.
+    Linear bases need one scan for all replicas. ``draw`` may give another number in [0, 1) for a replica than the hash of the
+    key. The model remembers its draws, so ``oob_score`` can replay them.
     """
     features, params = list(features), dict(params or {})
     if not 0 < max_samples <= 1 or not 0 < max_features <= 1:
@@ -83,18 +123,20 @@ def bagging(
     subsets = [sorted(rng.choice(len(features), width, replace=False).tolist()) for _ in range(n_estimators)]
 
     def weight(replica: Column) -> Column:
-        u = draw_uniform(key, replica, seed)
+        u = draw(replica) if draw else draw_uniform(key, replica, seed)
         return poisson_weight(u, max_samples) if bootstrap else (u < max_samples).cast("double")
 
     if family in SOLVERS:
-        rows = df.select(*[numeric(df, f).alias(f) for f in features], numeric(df, label).alias("_y"), *[q(k) for k in key])
-        copies = rows.withColumn("_replica", F.explode(F.array(*map(F.lit, range(n_estimators)))))
-        drawn = copies.withColumn("_w", weight(F.col("_replica"))).where("_w > 0")
-        parts = moments(drawn, [*features, "_y"], by="_replica", weight=F.col("_w"))
-        models = [
-            solve(family, parts[i].of([*[features[j] for j in subsets[i]], "_y"]), params) for i in range(n_estimators)
-        ]
-        return Average(models, features)
+        drawn = F.array(*[weight(F.lit(i)) for i in range(n_estimators)])
+        rows = df.select(*[numeric(df, f).alias(f"x{i}") for i, f in enumerate(features)], numeric(df, label).alias("y"), drawn.alias("w"))
+        parts = replica_moments(rows, [*[f"x{i}" for i in range(len(features))], "y"], F.col("w"), n_estimators)
+        models = []
+        for part, chosen in zip(parts, subsets):
+            if part.n <= 0:
+                raise ValueError("a replica has drawn no row")
+            found = solve(family, part.of([*[f"x{j}" for j in chosen], "y"]), params)
+            models.append(LinearModel([features[j] for j in chosen], found.coef, found.intercept))
+        return Average(models, features, weight)
     models = []
     with kept(assemble(df, features, label, keep=key)) as ready:
         for i in range(n_estimators):
@@ -104,8 +146,26 @@ def bagging(
                 drawn = slicer.transform(drawn).drop("features").withColumnRenamed("_s", "features")
             models.append((tree_estimator(family, params, weight="_w", seed=seed + i).fit(drawn), subsets[i]))
     if width == len(features):
-        return Average([m for m, _ in models], features)
-    return SlicedAverage(models, features)
+        return Average([m for m, _ in models], features, weight)
+    return SlicedAverage(models, features, weight)
+
+
+def oob_predictions(model: Average | SlicedAverage, df: DataFrame, key: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Kept columns and ``prediction``: the mean of the members that did not draw the row; rows that all have drawn are left out."""
+    columns = list(dict.fromkeys([*keep, *key]))
+    rows, names = model.members(df, columns)
+    missed = [model.weight(F.lit(i)) == 0 for i in range(len(names))]
+    total = sum((F.when(out, F.col(n)).otherwise(0.0) for out, n in zip(missed, names)), F.lit(0.0))
+    count = sum((out.cast("int") for out in missed), F.lit(0))
+    return rows.select(*[q(c) for c in keep], total.alias("_t"), count.alias("_c")).where("_c > 0").select(
+        *[q(c) for c in keep], (F.col("_t") / F.col("_c")).alias("prediction"))
+
+
+def oob_score(model: Average | SlicedAverage, df: DataFrame, key: Sequence[str], label: str) -> tuple[int, float]:
+    """Rows that some member has not drawn, and the R2 of the out-of-bag predictions on them."""
+    named = df.withColumn("_label", numeric(df, label).cast("double"))
+    r = oob_predictions(model, named, key, ["_label"]).agg(*metric_exprs(F.col("_label"), F.col("prediction"))).first()
+    return r["n"], r["r2"]
 
 
 @dataclass
@@ -114,13 +174,18 @@ class SlicedAverage:
 
     models: list
     features: list[str]
+    weight: Callable[[Column], Column] | None = None
 
-    def predict(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    def members(self, df: DataFrame, keep: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
         rows = assemble(df, self.features, None, keep)
         for i, (m, subset) in enumerate(self.models):
             rows = VectorSlicer(inputCol="features", outputCol=f"_s{i}", indices=subset).transform(rows)
             rows = m.setFeaturesCol(f"_s{i}").setPredictionCol(f"_p{i}").transform(rows)
-        mean = sum((F.col(f"_p{i}") for i in range(len(self.models))), F.lit(0.0)) / len(self.models)
+        return rows, [f"_p{i}" for i in range(len(self.models))]
+
+    def predict(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        rows, names = self.members(df, keep)
+        mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(self.models)
         return rows.select(*[q(c) for c in keep], mean.alias("prediction"))
 
 
@@ -138,9 +203,7 @@ class WeightedMedian:
     features: list[str]
 
     def predict(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        rows = assemble(df, self.features, None, keep)
-        for i, m in enumerate(self.models):
-            rows = m.setPredictionCol(f"_p{i}").transform(rows)
+        rows, _ = Average(self.models, self.features).members(df, keep)
         pairs = F.array_sort(F.array(*[
             F.struct(F.col(f"_p{i}").alias("p"), F.lit(float(w)).alias("w")) for i, w in enumerate(self.weights)
         ]))
@@ -160,18 +223,32 @@ def adaboost_r2(
     df: DataFrame, features: Sequence[str], label: str, family: str = "decision_tree", params: Mapping | None = None,
     n_estimators: int = 50, learning_rate: float = 1.0, loss: str = "linear", seed: int = 0,
 ) -> WeightedMedian:
-    """AdaBoost.R2 (Drucker 1997) with row weights handed to the base learner."""
+    """AdaBoost.R2 (Drucker 1997) with row weights handed to the base learner: a tree, Huber regression, or a linear family."""
     shape = {"linear": lambda e: e, "square": lambda e: e * e, "exponential": lambda e: 1 - F.exp(-e)}[loss]
-    if family not in TREES:
-        raise ValueError("boosting needs a tree base learner")
+    features = list(features)
+    if family in TREES:
+        ready, inputs = assemble(df, features, label), ["features"]
+
+        def fit(rows, i):
+            return tree_estimator(family, {"max_depth": 3, **(params or {})}, weight="_w", seed=seed + i).fit(rows)
+    elif family == "huber" or family in SOLVERS:
+        ready = df.select(*[numeric(df, f).cast("double").alias(f) for f in features], numeric(df, label).cast("double").alias("label")).dropna()
+        inputs = features
+
+        def fit(rows, i):
+            if family == "huber":
+                return fit_weighted_huber(rows, features, "label", "_w", **usable(fit_weighted_huber, params or {}, ["weight"])).model
+            return solve(family, moments(rows, [*features, "label"], weight=F.col("_w"))[None], params or {})
+    else:
+        raise ValueError(f"boosting needs trees, Huber regression or a linear base, not {family!r}")
     models, weights = [], []
-    with kept(assemble(df, features, label)) as base:
+    with kept(ready) as base:
         rows = base.withColumn("_w", F.lit(1.0))
         held = None
         for i in range(n_estimators):
-            model = tree_estimator(family, {"max_depth": 3, **(params or {})}, weight="_w", seed=seed + i).fit(rows)
+            model = fit(rows, i)
             gap = F.abs(F.col("label") - F.col("prediction"))
-            scored = model.transform(rows).select("features", "label", "_w", gap.alias("_e"))
+            scored = model.transform(rows).select(*[q(c) for c in inputs], "label", "_w", gap.alias("_e"))
             top, mass = scored.agg(F.max("_e"), F.sum("_w")).first()
             e = shape(F.col("_e") / F.lit(top)) if top else F.lit(0.0)
             error = scored.agg(F.sum(F.col("_w") * e)).first()[0] / mass if top else 0.0
@@ -184,7 +261,7 @@ def adaboost_r2(
                 break
             # the worst row keeps its weight, the others lose some; all are brought back to mean one at every checkpoint
             raised = F.col("_w") * F.pow(F.lit(beta), (1 - e) * learning_rate)
-            rows = scored.select("features", "label", raised.alias("_w"))
+            rows = scored.select(*[q(c) for c in inputs], "label", raised.alias("_w"))
             if (i + 1) % CHECKPOINT_EVERY == 0:
                 mean = rows.agg(F.avg("_w")).first()[0]
                 rows = cut_lineage(rows.withColumn("_w", F.col("_w") / F.lit(mean)))
@@ -206,23 +283,35 @@ class Consensus:
     model: LinearModel
     inliers: int
     threshold: float
+    trials: int = 0
 
     def is_inlier(self, df: DataFrame, label: str) -> Column:
         return F.abs(numeric(df, label) - self.model.predict(df)) <= self.threshold
 
 
 def ransac(
-    df: DataFrame, key: Sequence[str], features: Sequence[str], label: str, min_samples: int | None = None,
-    residual_threshold: float | None = None, max_trials: int = 100, loss: str = "absolute_loss", seed: int = 0,
+    df: DataFrame, key: Sequence[str], features: Sequence[str], label: str, min_samples: int | float | None = None,
+    residual_threshold: float | None = None, max_trials: int = 100, loss: str = "absolute_loss", seed: int = 0, family: str = "linear",
+    params: Mapping | None = None, stop_n_inliers: float = math.inf, stop_score: float = math.inf, stop_probability: float = 0.99,
+    draw: Draw | None = None,
 ) -> Consensus:
-    """Least squares on the largest consensus of randomly drawn minimal fits.
+    """A linear family on the largest consensus of randomly drawn fits.
 
-    The trial samples are the rows of smallest hash, a bounded number; all
-    candidate fits are judged in one pass over the table.
+    Trial samples of a number of rows are the rows of smallest hash, a bounded number; those of a share are drawn by a hash
+    for each trial, and fitted from moments of one scan. All fits are judged in one pass; the trials are then gone through in
+    their order, and end where enough rows agree, or where so many trials would have met a sample of inliers alone with
+    ``stop_probability``. ``draw`` may give another number in [0, 1) for a trial than the hash of the key.
     """
     features = list(features)
     p = len(features)
-    size = min_samples or p + 1
+    if family not in SOLVERS:
+        raise ValueError(f"consensus needs a linear family, not {family!r}")
+    if min_samples is not None and (min_samples <= 0 or isinstance(min_samples, float) and min_samples > 1 and min_samples != int(min_samples)):
+        raise ValueError("min_samples is a share in (0, 1] or a number of rows")
+    if not 0 <= stop_probability <= 1:
+        raise ValueError("stop_probability must lie between 0 and 1")
+    share = float(min_samples) if isinstance(min_samples, float) and min_samples <= 1 else None
+    size = p + 1 if min_samples is None else int(min_samples) if share is None else None
     rows = df.select(*[numeric(df, f).alias(f"x{i}") for i, f in enumerate(features)], numeric(df, label).alias("y"),
                      *[q(k) for k in key]).dropna()
     if residual_threshold is None:  # median absolute deviation of the label
@@ -230,13 +319,17 @@ def ransac(
         spread = rows.select(F.abs(F.col("y") - mid).alias("d"))
         residual_threshold = exact_quantiles(spread, ["d"], [0.5])["d"][0]
     names = [f"x{i}" for i in range(p)]
-    drawn = rows.orderBy(F.xxhash64(*[q(k) for k in key], F.lit(seed)), *[q(k) for k in key]).limit(size * max_trials)
-    pool = np.array([tuple(r) for r in drawn.select(*names, "y").collect()])
     fits = []
-    for t in range(min(max_trials, len(pool) // size)):
-        part = pool[t * size:(t + 1) * size]
-        design = np.column_stack([part[:, :p], np.ones(size)])
-        fits.append(np.linalg.lstsq(design, part[:, p], rcond=None)[0])
+    if share is not None:
+        chosen = F.array(*[((draw(F.lit(t)) if draw else draw_uniform(key, F.lit(t), seed)) < share).cast("double") for t in range(max_trials)])
+        parts = [m for m in replica_moments(rows.withColumn("_w", chosen), [*names, "y"], F.col("_w"), max_trials) if m.n > p]
+    else:
+        drawn = rows.orderBy(F.xxhash64(*[q(k) for k in key], F.lit(seed)), *[q(k) for k in key]).limit(size * max_trials)
+        pool = np.array([tuple(r) for r in drawn.select(*names, "y").collect()]).reshape(-1, p + 1)  # size x trials rows
+        parts = [_small_moments([*names, "y"], pool[t * size:(t + 1) * size]) for t in range(min(max_trials, len(pool) // size))]
+    for m in parts:
+        found = solve(family, m, params or {})
+        fits.append(np.append(found.coef, found.intercept))
     if not fits:
         raise ValueError("fewer rows than min_samples")
     coef = np.array(fits).T  # (p + 1) x trials
@@ -256,17 +349,42 @@ def ransac(
     judged = rows.select(*names, "y").mapInArrow(judge, "t int, n double, sy double, syy double, sse double")
     table = judged.groupBy("t").agg(*[F.sum(c).alias(c) for c in ("n", "sy", "syy", "sse")]).collect()
 
-    def merit(r):
+    def r2(r):
         spread = r["syy"] - r["sy"] ** 2 / r["n"] if r["n"] else 0.0
-        return (r["n"], 1 - r["sse"] / spread if spread > 0 else -math.inf, -r["t"])
-
-    best = max(table, key=merit)
-    if not best["n"]:
+        return 1 - r["sse"] / spread if spread > 0 else -math.inf
+
+    everyone, by_trial = float(rows.count()), {r["t"]: r for r in table}
+    best, tried, enough = None, 0, float(len(fits))
+    while tried < min(enough, len(fits)):
+        r = by_trial[tried]
+        tried += 1
+        if not r["n"] or best is not None and (r["n"], r2(r)) <= (best["n"], r2(best)):
+            continue
+        best = r
+        enough = min(enough, trials_needed(best["n"] / everyone, share * everyone if share is not None else size, stop_probability))
+        if best["n"] >= stop_n_inliers or r2(best) >= stop_score:
+            break
+    if best is None:
         raise ValueError("no inliers for any trial")
     start = LinearModel(names, [float(w) for w in coef[:p, best["t"]]], float(coef[p, best["t"]]))
     inside = rows.where(F.abs(F.col("y") - start.predict(rows)) <= limit)
-    final = solve_ols(moments(inside, [*names, "y"])[None])
-    return Consensus(LinearModel(features, final.coef, final.intercept), int(best["n"]), limit)
+    final = solve(family, moments(inside, [*names, "y"])[None], params or {})
+    return Consensus(LinearModel(features, final.coef, final.intercept), int(best["n"]), limit, tried)
+
+
+def _small_moments(cols: Sequence[str], rows: np.ndarray) -> Moments:
+    centre = rows.mean(axis=0)
+    return Moments(list(cols), centre, float(len(rows)), (rows - centre).sum(axis=0), (rows - centre).T @ (rows - centre))
+
+
+def trials_needed(inliers: float, size: float, probability: float) -> float:
+    """Trials after which a sample of inliers alone has been met with that probability, at this share of inliers."""
+    if probability <= 0:
+        return 0.0
+    clean = inliers ** size
+    if probability >= 1 or clean <= 0:
+        return math.inf if clean < 1 else 0.0
+    return 0.0 if clean >= 1 else math.ceil(math.log(1 - probability) / math.log1p(-clean))
 
 
 # ---- weighted voting -------------------------------------------------------------------------
@@ -303,3 +421,63 @@ def search_weights(
             for given, a, b in zip(weights, scores.mean(0), scores.std(0))]
     board = df.sparkSession.createDataFrame(rows, "weights array<double>, mean_score double, std_score double")
     return board.orderBy(F.desc("mean_score"), "weights")
+
+
+@dataclass
+class Voting:
+    """``folded``: the kept key, fold, label and an out-of-fold column for each member, written once; ``board`` of the weights;
+    the members refitted on all rows, and the best weights."""
+
+    folded: DataFrame
+    board: DataFrame
+    models: dict
+    weights: dict[str, float]
+    features: dict[str, list[str]]
+
+    def predict(self, df: DataFrame, key: str) -> DataFrame:
+        """key and prediction: the weighted mean of the members."""
+        rows = df
+        for name, model in self.models.items():
+            if isinstance(model, LinearModel):
+                rows = rows.withColumn(name, model.predict(rows))
+            else:
+                found = predict(model, df, self.features[name], [key]).withColumnRenamed("prediction", name)
+                rows = rows.join(found, key)
+        return rows.select(q(key), blend(self.weights).alias("prediction"))
+
+
+def fit_voting(df: DataFrame, members: Mapping[str, tuple[str, Mapping, Sequence[str]]], label: str, key: str, fold: str = "fold",
+               weights: Sequence[Sequence[float]] | None = None) -> Voting:
+    """Members (family, parameters, features) fitted without each fold in turn, then weights searched on what they say of it.
+
+    Linear members of all folds come from one scan of moments; others are fitted fold by fold. ``weights`` are all vectors over
+    0, 0.1 .. 1 if not given. Rows with a missing value in any member are left out.
+    """
+    names = list(members)
+    used = list(dict.fromkeys(f for _, _, features in members.values() for f in features))
+    rows = df.dropna(subset=[*used, label, fold])
+    folds = sorted(r[0] for r in rows.select(fold).distinct().collect())
+    linear = {n: m for n, m in members.items() if m[0] in SOLVERS}
+    parts = moments(rows, [*dict.fromkeys(f for _, _, fs in linear.values() for f in fs), label], by=fold) if linear else {}
+    whole = total(parts) if parts else None
+    columns, models = {}, {}
+    for n, (family, params, features) in linear.items():
+        out = F.lit(None).cast("double")
+        for k in folds:
+            held = solve(family, (whole - parts[k]).of([*features, label]), params)
+            out = F.when(q(fold) == F.lit(k), held.predict(rows)).otherwise(out)
+        columns[n], models[n] = out, solve(family, whole.of([*features, label]), params)
+    table = rows.select(q(key), q(fold).alias("fold"), numeric(rows, label).cast("double").alias("label"), *[c.alias(n) for n, c in columns.items()])
+    for n, (family, params, features) in members.items():
+        if n in linear:
+            continue
+        said = None
+        for k in folds:
+            model = fit_tree(rows.where(q(fold) != F.lit(k)), features, label, family, params)
+            part = predict(model, rows.where(q(fold) == F.lit(k)), features, [key]).withColumnRenamed("prediction", n)
+            said = part if said is None else said.unionByName(part)
+        table, models[n] = table.join(said, key), fit_tree(rows, features, label, family, params)
+    folded = cut_lineage(table)
+    board = search_weights(folded, names, "label", "fold", weights if weights is not None else weight_grid(len(names)))
+    best = board.orderBy(F.desc("mean_score"), "weights").first()["weights"]
+    return Voting(folded, board, models, dict(zip(names, best)), {n: list(m[2]) for n, m in members.items()})

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabfeat.functions.columns import numeric
-from tabfeat.operators.gram import Moments, moments
+from tabfeat.operators.gram import Moments, moments, total
 from tabfeat.operators.iterate import kept
 
 
@@ -128,6 +128,91 @@ def solve_lasso(m: Moments, **params) -> LinearModel:
     return solve_elastic_net(m, **{**params, "l1_ratio": 1.0})
 
 
+def lasso_path(m: Moments, fit_intercept: bool = True, normalize: bool = False, positive: bool = False) -> list[tuple[float, np.ndarray]]:
+    """Knots (penalty, coefficients) of the lasso from the least penalty without a coefficient down to none.
+
+    Between knots the coefficients are linear in the penalty, so all penalties are solved at once. A step ends where a
+    column outside gets the same correlation as those inside, or where a coefficient comes back to 0.
+    """
+    a, b, _yy = _system(m, fit_intercept)
+    d = _unit_scale(a, normalize, fit_intercept)
+    a, b = a / np.outer(d, d), b / d
+    live = [j for j in range(len(b)) if a[j, j] > 1e-14 * max(a.max(initial=0.0), 1e-300)]
+    w, active, left_out = np.zeros(len(b)), [], None
+    level = max([b[j] if positive else abs(b[j]) for j in live], default=0.0)
+    start, tiny = level, 1e-11 * max(level, 1e-300)
+    knots = [(max(level, 0.0) / m.n, w / d)]
+    for _ in range(8 * len(b) + 8):
+        if level <= tiny:
+            break
+        c = b - a @ w
+        if not active:
+            active.append(max(live, key=lambda j: c[j] if positive else abs(c[j])))
+        sign = np.ones(len(active)) if positive else np.sign(c[active])
+        way = np.linalg.lstsq(a[np.ix_(active, active)], sign, rcond=None)[0]
+        slope = a[:, active] @ way
+        step, event = level, None
+        for j in live:
+            if j in active:
+                continue
+            for top, bottom in ([(level - c[j], 1 - slope[j])] if positive else [(level - c[j], 1 - slope[j]), (level + c[j], 1 + slope[j])]):
+                if bottom > 1e-12 and (found := top / bottom) < step - tiny and (found > tiny or j != left_out):
+                    step, event = max(found, 0.0), ("in", j)
+        for j, v in zip(active, way):
+            if v and tiny < -w[j] / v < step - tiny:
+                step, event = -w[j] / v, ("out", j)
+        w[active] += step * way
+        level -= step
+        left_out = None
+        if event and event[0] == "in":
+            active.append(event[1])
+        elif event:
+            left_out = event[1]
+            active.remove(left_out)
+            w[left_out] = 0.0
+        if step > tiny or event is None:
+            knots.append((max(level, 0.0) / m.n, w / d))
+    return knots if start > 0 else knots[:1]
+
+
+def on_path(knots: list[tuple[float, np.ndarray]], alpha: float) -> np.ndarray:
+    """Coefficients at a penalty: linear between knots."""
+    levels = np.array([k[0] for k in knots])[::-1]
+    coefs = np.array([k[1] for k in knots])[::-1]
+    return np.array([np.interp(alpha, levels, coefs[:, j]) for j in range(coefs.shape[1])])
+
+
+@dataclass
+class PathSearch:
+    """``board``: alpha, mean_mse and std_mse over folds, best first; the model at the best penalty on all rows, and its path."""
+
+    board: DataFrame
+    alpha: float
+    model: LinearModel
+    knots: list[tuple[float, np.ndarray]]
+
+
+def path_search(df: DataFrame, features: Sequence[str], label: str, fold: str = "fold", fit_intercept: bool = True, normalize: bool = False,
+                positive: bool = False) -> PathSearch:
+    """The penalty of least mean held-out squared error, among all knots of the folds' lasso paths; one scan of the rows."""
+    parts = moments(df, [*features, label], by=fold)
+    whole = total(parts)
+    paths = {k: lasso_path(whole - part, fit_intercept, normalize, positive) for k, part in parts.items()}
+    alphas = sorted({a for knots in paths.values() for a, _ in knots}, reverse=True)
+
+    def error(k, alpha):
+        train, held = whole - parts[k], parts[k]
+        model = _finish(train, on_path(paths[k], alpha), fit_intercept)
+        return squared_error(model, held) / held.n
+
+    errors = [[error(k, a) for k in parts] for a in alphas]
+    best = min(range(len(alphas)), key=lambda i: np.mean(errors[i]))
+    knots = lasso_path(whole, fit_intercept, normalize, positive)
+    rows = [(float(a), float(np.mean(e)), float(np.std(e))) for a, e in zip(alphas, errors)]
+    board = df.sparkSession.createDataFrame(rows, "alpha double, mean_mse double, std_mse double").orderBy("mean_mse", F.desc("alpha"))
+    return PathSearch(board, alphas[best], _finish(whole, on_path(knots, alphas[best]), fit_intercept), knots)
+
+
 def solve_bayes(
     m: Moments,
     alpha_1: float = 1e-6,
@@ -227,6 +312,57 @@ def fit_huber(df: DataFrame, features: Sequence[str], label: str, epsilon: float
     return LinearModel(list(features), [float(w) for w in fitted.coefficients], float(fitted.intercept))
 
 
+@dataclass(frozen=True)
+class WeightedHuber:
+    """``gap``: how far the last step moved the standardised solution; near 0 at the fixed point."""
+
+    model: LinearModel
+    scale: float
+    gap: float
+    steps: int
+
+
+def fit_weighted_huber(df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, epsilon: float = 1.35, alpha: float = 1e-4,
+                       max_iter: int = 100, tol: float = 1e-8) -> WeightedHuber:
+    """Huber regression of weighted rows by reweighted least squares, one scan of moments a step.
+
+    Minimises sum of w (s + h(r / s) s) + alpha |coef|^2, h(z) = z^2 up to epsilon and 2 epsilon |z| - epsilon^2 beyond. Rows
+    within epsilon scales count in full, others by epsilon scales over their residual; the scale solves its own equation.
+    """
+    if not epsilon > 1 or alpha < 0:
+        raise ValueError("epsilon must be above 1 and alpha not negative")
+    names = [f"x{i}" for i in range(len(features))]
+    mass = numeric(df, weight).cast("double") if weight else F.lit(1.0)
+    rows = df.select(*[numeric(df, c).cast("double").alias(n) for c, n in zip(features, names)], numeric(df, label).cast("double").alias("y"),
+                     mass.alias("w")).dropna().where("w > 0").persist()
+    m = moments(rows, [*names, "y"], weight=F.col("w"))[None]
+    model, gap, steps = solve_ridge(m, alpha), math.inf, 0
+    scale = math.sqrt(max(squared_error(model, m) / m.n, 1e-300))
+    while steps < max_iter and gap > tol:
+        steps += 1
+        size = F.abs(F.col("y") - model.predict(rows))
+        inside = size <= F.lit(epsilon * scale)
+        r = rows.agg(F.sum(F.when(inside, F.col("w") * size * size)), F.sum(F.when(inside, F.col("w")).otherwise(F.col("w") * (1 - epsilon * epsilon)))).first()
+        new_scale = math.sqrt(r[0] / r[1]) if r[0] and r[1] > 0 else scale
+        pull = F.when(size <= F.lit(epsilon * new_scale), F.col("w")).otherwise(F.col("w") * F.try_divide(F.lit(epsilon * new_scale), size))
+        part = moments(rows, [*names, "y"], weight=pull, centre=m.centre)[None]
+        new = solve_ridge(part, alpha * new_scale)
+        spread = np.sqrt(np.maximum(np.diag(m.scatter) / m.n, 1e-300))
+        moved = [abs(x - y) * k for x, y, k in zip(new.coef, model.coef, spread)]
+        centre = m.mean[:-1]
+        moved += [abs(new.intercept + centre @ np.array(new.coef) - model.intercept - centre @ np.array(model.coef)), abs(new_scale - scale)]
+        gap = max(moved) / spread[-1]
+        model, scale = new, new_scale
+    rows.unpersist()
+    return WeightedHuber(LinearModel(list(features), model.coef, model.intercept), scale, gap, steps)
+
+
+def squared_error(model: LinearModel, m: Moments) -> float:
+    """Sum of squared errors of a model on rows known by their moments."""
+    v = np.append(-np.asarray(model.coef), 1.0)
+    return float(v @ m.scatter @ v + m.n * (v @ m.mean - model.intercept) ** 2)
+
+
 def fit_insensitive(
     df: DataFrame,
     features: Sequence[str],
