@@ -15,8 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabfeat.llm.text import by_batch, bytes_of, keep_rows, texts_of
-from tabfeat.session import numbered
+from tabfeat.llm.text import by_batch, bytes_of, keep_rows, numbered, texts_of
 
 #: Words in a window; an item of fewer words is one window.
 WINDOW = 10
@@ -165,7 +164,7 @@ def _scan_part(keyed: DataFrame, shard: Shard, every: bool) -> DataFrame:
 
 def _scan_shards(docs: DataFrame, shards: list[Shard]) -> DataFrame:
     """Every row with what any shard finds in it, united by row key; the first shard gives all rows, the others hits."""
-    keyed = numbered(texts_of(docs, "doc_id"), "decontamination")
+    keyed = numbered(texts_of(docs, "doc_id"), "decontamination").select("_row", "doc.*")
     parts = _scan_part(keyed, shards[0], True)
     for shard in shards[1:]:
         parts = parts.unionByName(_scan_part(keyed, shard, False))

@@ -11,8 +11,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabfeat.llm.text import WORD_PATTERN
-from tabfeat.session import cut_lineage, numbered
+from tabfeat.llm.text import WORD_PATTERN, numbered
+from tabfeat.session import cut_lineage
 
 #: Rows of one source that one window sorts, on average.
 SLICE_ROWS = 20_000
@@ -103,6 +103,6 @@ def repeated(docs: DataFrame, **how) -> DataFrame:
     rows without one are ordered by a hash of their number.
     """
     keyed = numbered(docs, "mixing")
-    decided = _mixed(document_sizes(keyed, "_row"), row="_row", **how).where("repeats > 0").select("_row", F.col("repeats").alias("_repeats"))
+    decided = _mixed(document_sizes(keyed.select("_row", "doc.doc_id", "doc.source", "doc.text"), "_row"), row="_row", **how).where("repeats > 0").select("_row", F.col("repeats").alias("_repeats"))
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_repeats")))
-    return keyed.join(decided, "_row").withColumn("_copy", copies).select(*docs.columns)
+    return keyed.join(decided, "_row").select("doc", copies).select("doc.*")

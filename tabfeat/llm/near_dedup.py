@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabfeat.llm.components import components
-from tabfeat.llm.text import WordHashes, by_batch, lower_ascii, mixed, texts_of, window_hashes
+from tabfeat.llm.text import WordHashes, by_batch, lower_ascii, mixed, numbered, texts_of, window_hashes
 from tabfeat.session import cut_lineage, scratch_path
 
 SHINGLE = 5
@@ -240,7 +240,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = spark.read.parquet(f"{path}/texts")
 
     tried = cut_lineage(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    links = cut_lineage(_linked(_agreeing(tried, classes), texts))
+    likely = cut_lineage(_agreeing(tried, classes))  # so that no task runs two Python workers at once
+    links = cut_lineage(_linked(likely, texts))
     more = _across(members, links, texts).join(tried, ["a", "b"], "left_anti")
     links = cut_lineage(links.unionByName(_linked(more, texts)))
 
@@ -251,8 +252,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that a smaller doc_id stands for; of rows that share a doc_id one stays."""
-    dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    rest = docs.join(dropped, docs["doc_id"] == dropped["doc_id"], "left_anti")
-    rest = rest.withColumn("_null", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    return rest.dropDuplicates(["doc_id", "_null"]).select(docs.columns)
+    """The rows of ``docs`` without those that another row of their component stands for: the one of smallest doc_id, rows
+    without a doc_id last.
+
+    The rows are numbered first and judged by number, so rows that share a doc_id are compared by their texts like any other,
+    and so are rows without one. Texts without words stay. All columns are returned as they are.
+    """
+    keyed = numbered(docs, "near-dedup")
+    number, name = F.col("_row"), F.coalesce(F.col("_name"), F.lit(1 << 62))
+    found = near_duplicates(keyed.select(number.alias("doc_id"), "doc.text")).where("n_shingles > 0").select(
+        F.col("doc_id").alias("_row"), F.col("component_id").alias("_component"))
+    placed = found.join(keyed.select("_row", F.col("doc.doc_id").alias("_name")), "_row")
+    first = placed.groupBy("_component").agg(F.min(F.struct(name.alias("name"), number.alias("row"))).alias("_first"))
+    dropped = placed.join(first, "_component").where(number != F.col("_first.row")).select("_row")
+    return keyed.join(dropped, "_row", "left_anti").select("doc.*")

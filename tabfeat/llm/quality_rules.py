@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabfeat.llm.text import WordHashes, by_batch, bytes_of, keep_rows, texts_of, window_hashes
+from tabfeat.llm.text import WordHashes, by_batch, bytes_of, free_name, keep_rows, texts_of, window_hashes
 from tabfeat.session import cut_lineage
 
 #: What counts as a symbol.
@@ -222,15 +222,15 @@ def _good(texts: list[bytes], fits: list[tuple[np.ndarray, np.ndarray]], most: f
     return ~base_failed(stats) & (np.einsum("ni,nij,nj->n", gaps, inverses, gaps) <= most)
 
 
-def _kept_by_fit(joined: DataFrame, columns: list[str], most: float) -> DataFrame:
-    """The kept rows of documents that have the estimates of their group beside them, in ``_fit``."""
+def _kept_by_fit(joined: DataFrame, columns: list[str], fit: str, most: float) -> DataFrame:
+    """The kept rows of documents that have the estimates of their group beside them, in the column ``fit``."""
     hashes = WordHashes()
 
     def good(batch):
-        fits = [(np.array(f["centre"]), _full(f["inverse"])) for f in batch.column("_fit").to_pylist()]
+        fits = [(np.array(f["centre"]), _full(f["inverse"])) for f in batch.column(fit).to_pylist()]
         return _good(bytes_of(batch.column("text")), fits, most, hashes)
 
-    return keep_rows(joined, good).select(*columns)
+    return keep_rows(joined, good).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -243,11 +243,10 @@ def keep_good(docs: DataFrame) -> DataFrame:
     rows = fit.limit(MOST_GROUPS + 1).collect()
     most = chi2_quantile(TAIL, len(FEATURES))
     if len(rows) > MOST_GROUPS:
-        names = {f"_{c}_of": F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in ("lang", "source")}
-        joined = docs.withColumns(names).join(
-            fit.select(F.col("_lang").alias("_lang_of"), F.col("_source").alias("_source_of"), F.struct("centre", "inverse").alias("_fit")),
-            list(names), "left")
-        return _kept_by_fit(joined, docs.columns, most)
+        lang, source, own = (free_name(docs, n) for n in ("_lang_of", "_source_of", "_fit"))
+        keys = {n: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for n, c in ((lang, "lang"), (source, "source"))}
+        estimates = fit.select(F.col("_lang").alias(lang), F.col("_source").alias(source), F.struct("centre", "inverse").alias(own))
+        return _kept_by_fit(docs.withColumns(keys).join(estimates, list(keys), "left"), docs.columns, own, most)
     estimates = {(row._lang, row._source): (np.array(row.centre), _full(row.inverse)) for row in rows}
     sent, hashes = docs.sparkSession.sparkContext.broadcast(estimates), WordHashes()
 

@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabfeat.session import scratch_path
+
 #: Distinct words a worker remembers; beyond that it starts anew, so its memory is bounded.
 REMEMBERED_WORDS = 100_000
 
@@ -37,6 +39,23 @@ def texts_of(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(*keep, F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``_row``, a number of each row, and all its columns as one struct ``doc``, so that no name can clash; written once, so
+    that every scan finds the same numbers."""
+    path = scratch_path(docs.sparkSession, name)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    docs.select(F.monotonically_increasing_id().alias("_row"), whole.alias("doc")).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have yet."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 #: Bytes of an Arrow batch that a function gets at once.
 PIECE_BYTES = 16 << 20
 

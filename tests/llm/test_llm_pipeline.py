@@ -54,3 +54,20 @@ def test_stages_judge_rows_without_or_with_shared_doc_ids(spark, monkeypatch):
         taken[r.source] += len((r.text or "").split())
     for source in "ab":
         assert abs(taken[source] - targets[source]) <= 30, source
+
+
+def test_stages_give_clashing_columns_and_rows_of_one_id_back(spark):
+    """Rows that share a doc_id are judged by their texts; columns with the operators' own names come back as they were."""
+    from tabfeat.llm import mixing, near_dedup, quality_rules
+
+    texts = ["alpha beta gamma delta epsilon zeta eta theta", "wholly other words stand in this second text here", None]
+    rows = [(1, texts[0], 100, 200, 300, "l", "s"), (1, texts[1], 101, 201, 301, "l", "s"), (2, texts[0], 102, 202, 302, "l", "s"),
+            (None, texts[1], 103, 203, 303, "l", "s"), (None, texts[2], 104, 204, 304, "l", "s"), (3, texts[2], 105, 205, 305, "l", "s")]
+    docs = spark.createDataFrame([(d, t, "en", "a", *more) for d, t, *more in rows],
+                                 "doc_id long, text string, lang string, source string, _row int, _copy int, _null int, _lang_of string, _source_of string")
+    left = near_dedup.one_of_each(docs)
+    assert left.columns == docs.columns
+    assert sorted((r["_row"], r["_copy"], r["_null"]) for r in left.collect()) == [(100, 200, 300), (101, 201, 301), (104, 204, 304), (105, 205, 305)]
+    twice = mixing.repeated(docs, share=4.0, max_epochs=2.0)
+    assert twice.columns == docs.columns and sorted(r["_row"] for r in twice.collect()) == sorted([100, 101, 102, 103, 104, 105] * 2)
+    assert quality_rules.keep_good(docs).columns == docs.columns
