@@ -471,33 +471,76 @@ def kmeans_segments(
     points = scores.select(q(key).alias("_key"), F.array(*[q(c) for c in names]).alias("_pc"))
     schema = f"_key {points.schema['_key'].dataType.simpleString()}, _pc array<double>, cluster int, near double"
 
+    def gaps(x, centres):
+        return np.stack([((x - c) ** 2).sum(1) for c in centres], axis=1)
+
+    def vectors(batch):
+        return batch.column("_pc").flatten().to_numpy().reshape(batch.num_rows, -1)
+
     def nearest(rows, centres):
         """Every point with its nearest centre and the squared distance to it."""
         centres = np.array(centres)
 
         def assign(batches):
             for b in batches:
-                x = b.column("_pc").flatten().to_numpy().reshape(b.num_rows, -1)
-                gaps = np.stack([((x - c) ** 2).sum(1) for c in centres], axis=1)
-                columns = [b.column("_key"), b.column("_pc"), pa.array(gaps.argmin(1), pa.int32()), pa.array(gaps.min(1))]
+                found = gaps(vectors(b), centres)
+                columns = [b.column("_key"), b.column("_pc"), pa.array(found.argmin(1), pa.int32()), pa.array(found.min(1))]
                 yield pa.RecordBatch.from_arrays(columns, names=["_key", "_pc", "cluster", "near"])
 
         return rows.mapInArrow(assign, schema)
 
+    def drawn(rows, centres, turn):
+        """The far point of least waiting time: each task offers its own, the driver takes the first of them."""
+        centres = np.array(centres)
+        draw = (F.pmod(F.xxhash64("_key", F.lit(seed), F.lit(turn)), F.lit(1 << 52)) + 0.5) / (1 << 52)
+
+        def offer(batches):
+            best = None
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                x, u = vectors(b), b.column("_u").to_numpy(zero_copy_only=False)
+                near = gaps(x, centres).min(1) if len(centres) else np.ones(len(x))
+                wait = np.divide(-np.log(u), near, out=np.full(len(x), np.inf), where=near > 0)
+                low = wait.min()
+                if np.isfinite(low):
+                    at = min(np.flatnonzero(wait == low), key=lambda i: b.column("_key")[int(i)].as_py())
+                    mine = low, b.column("_key")[int(at)].as_py(), x[at].tolist()
+                    best = mine if best is None or mine[:2] < best[:2] else best
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[2]], pa.list_(pa.float64())), pa.array([str(best[1])])], ["wait", "pc", "id"])
+
+        offers = rows.withColumn("_u", draw).mapInArrow(offer, "wait double, pc array<double>, id string").collect()  # one row a task
+        return min(offers, key=lambda r: (r["wait"], r["id"]))["pc"] if offers else None
+
+    def means(rows, centres):
+        """Sums and numbers of the points of each centre, one row a task and centre."""
+        centres = np.array(centres)
+
+        def add(batches):
+            total = np.zeros((len(centres), centres.shape[1] + 1))
+            for b in batches:
+                if b.num_rows:
+                    x = vectors(b)
+                    own = gaps(x, centres).argmin(1)
+                    for j in np.unique(own):
+                        total[j, 0] += (own == j).sum()
+                        total[j, 1:] += x[own == j].sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["s"])
+
+        parts = rows.mapInArrow(add, "s array<double>").collect()
+        return np.sum([np.array(p["s"]).reshape(len(centres), -1) for p in parts], axis=0) if parts else np.zeros((len(centres), centres.shape[1] + 1))
+
     with kept(points) as rows:
         centres: list = []
         for turn in range(k):
-            far = nearest(rows, centres).where("near > 0") if centres else rows.withColumn("near", F.lit(1.0))
-            draw = (F.pmod(F.xxhash64("_key", F.lit(seed), F.lit(turn)), F.lit(1 << 52)) + 0.5) / (1 << 52)
-            row = far.agg(F.min_by("_pc", F.struct((-F.log(draw) / F.col("near")).alias("wait"), F.col("_key"))).alias("c")).first()["c"]
+            row = drawn(rows, centres, turn)
             if row is None:  # fewer distinct points than clusters
                 break
             centres.append(row)
-        for _ in range(max_iter):
-            means = nearest(rows, centres).groupBy("cluster").agg(*[F.avg(F.col("_pc")[i]).alias(c) for i, c in enumerate(names)]).collect()
-            new = list(centres)
-            for m in means:
-                new[m["cluster"]] = [m[c] for c in names]
+        for _ in range(max_iter if centres else 0):
+            total = means(rows, centres)
+            new = [(t[1:] / t[0]).tolist() if t[0] else c for t, c in zip(total, centres)]
             moved = max((sum((a - b) ** 2 for a, b in zip(x, y)) for x, y in zip(new, centres)), default=0.0)
             centres = new
             if moved <= tol * tol:
