@@ -12,30 +12,31 @@ from pyspark.ml.feature import HashingTF
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Labelled URLs the model is trained on: what unwanted and ordinary addresses look like.
+#: A small labelled table to start with: made-up addresses of common unwanted and ordinary kinds. ``filter_urls`` takes a model
+#: trained on any other table.
 BLOCKED_URLS = [
-    "http://cheap-pills.example.org/en/12", "https://www.cheap-pills.example.com/fr/8.html", "http://buy-pills-online.example.org/order",
-    "http://spam-farm.example.org/en/1", "https://www.spam-farm.example.net/de/77", "http://link-farm.example.org/links/33",
-    "http://best-casino.example.org/play", "https://casino-bonus.example.net/win/5", "http://poker-casino.example.com/en/free-spins",
-    "http://free-viagra.example.net/en/3", "http://win-prize-now.example.org/claim", "https://lottery-winner.example.com/claim/prize",
-    "http://xxx-video.example.org/adult/5", "http://adult-cams.example.net/live", "http://porn-tube.example.org/watch/7",
-    "http://crack-keygen.example.org/download/serial", "http://free-torrent.example.net/download/9", "http://verify-login-account.example.org/bank/secure",
-    "http://payday-loans.example.com/apply/fast-cash", "http://replica-watches.example.org/cheap/3", "http://seo-links.example.net/buy-links",
-    "http://clickbait-ads.example.org/popup/2", "http://fake-news.example.net/en/44", "http://weight-loss-pills.example.com/buy",
-    "http://free-bets.example.org/odds/2", "https://m.bets-win.example.net/bet/now", "http://ads-track.example.org/click",
-    "https://track-ads.example.net/pixel/3", "http://casino-win.example.org/en/7", "https://adult-x.example.org/en/18",
+    "http://discount-pills.example.org/en/12", "https://www.pills-without-prescription.example.edu/fr/8.html", "http://cheap-meds.example.info/de/4",
+    "http://spam-offers.example.org/en/1", "https://www.mail-spam.example.info/de/77", "http://link-farm.example.info/en/links/33",
+    "http://best-casino.example.org/play", "https://casino-bonus.example.info/de/win/5", "http://poker-casino.example.edu/en/free-spins",
+    "http://free-viagra.example.info/en/3", "http://win-prize-now.example.org/claim", "https://lottery-winner.example.edu/claim/prize",
+    "http://xxx-video.example.org/adult/5", "http://adult-cams.example.info/live", "http://porn-tube.example.org/watch/7",
+    "http://crack-keygen.example.org/download/serial", "http://free-torrent.example.info/download/9", "http://verify-login-account.example.org/bank/secure",
+    "http://payday-loans.example.edu/apply/fast-cash", "http://replica-watches.example.org/cheap/3", "http://seo-links.example.info/es/links/2",
+    "http://clickbait-ads.example.org/popup/2", "http://fake-news.example.info/en/44", "http://weight-loss-pills.example.edu/buy",
+    "http://free-bets.example.org/odds/2", "https://m.bets-win.example.info/bet/now", "http://ads-popunder.example.org/click",
+    "https://tracking-ads.example.info/pixel/3", "http://article-farm-spam.example.org/en/7", "https://cheap-replica.example.org/de/18",
 ]
 ALLOWED_URLS = [
-    "http://therin.example.org/en/770", "https://blog.thonand.example.org/de/853/", "http://news.example.org/en/2021/05/story.html",
-    "https://www.library.example.org/catalogue/12", "http://docs.example.net/en/guide", "https://m.ththth.example.net/en/25",
-    "http://therat.example.net/de/236", "https://blog.andthe.example.org/en/533/", "http://wiki.example.org/fr/article",
-    "https://www.university.example.org/research/paper.html", "http://theres.example.org/es/575", "https://forum.example.net/en/topic/9",
-    "http://museum.example.org/en/visit", "https://recipes.example.net/de/soup/4", "http://ththed.example.org/en/453",
-    "https://www.science.example.org/en/148.html", "http://weather.example.net/en/today", "https://blog.travel.example.org/fr/65.html",
-    "http://therea.example.net/en/785.html", "https://city.example.org/en/map", "http://books.example.net/en/31/", "https://school.example.org/de/4",
-    "http://gardening.example.org/en/roses", "https://health.example.net/en/sleep/2",
-    "http://www.ththor.example.com/en/40", "https://m.thernd.example.com/fr/24", "http://blog.tionsh.example.com/es/320.html",
-    "https://ththly.example.net/de/34", "http://m.theron.example.com/en/39", "https://www.theror.example.com/de/17/",
+    "http://daily-journal.example.org/en/770", "https://blog.orchard.example.org/de/853/", "http://news.example.org/en/2021/05/story.html",
+    "https://www.library.example.org/catalogue/12", "http://docs.example.info/en/guide", "https://m.weather-today.example.info/en/25",
+    "http://observatory.example.info/de/236", "https://blog.kitchen-notes.example.org/en/533/", "http://wiki.example.org/fr/article",
+    "https://www.university.example.org/research/paper.html", "http://history-archive.example.org/es/575", "https://forum.example.info/en/topic/9",
+    "http://museum.example.org/en/visit", "https://recipes.example.info/de/soup/4", "http://village-council.example.org/en/453",
+    "https://www.science.example.org/en/148.html", "http://weather.example.info/en/today", "https://blog.travel.example.org/fr/65.html",
+    "http://botany-handbook.example.info/en/785.html", "https://city.example.org/en/map", "http://books.example.info/en/31/", "https://school.example.org/de/4",
+    "http://gardening.example.org/en/roses", "https://health.example.info/en/sleep/2",
+    "http://www.chess-club.example.edu/en/40", "https://m.railway-times.example.edu/fr/24", "http://blog.mountain-hut.example.edu/es/320.html",
+    "https://dictionary.example.info/de/34", "http://m.theatre.example.edu/en/39", "https://www.southern-harbour.example.edu/de/17/",
 ]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

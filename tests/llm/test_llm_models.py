@@ -154,6 +154,26 @@ def test_urls_against_brute_force(spark):
     assert not url_filter.filter_urls(pages.where("page_id < 0"), URL_RULES).count()
 
 
+def test_url_model_by_hosts_left_out(spark):
+    """Every fourth host is judged by a model trained on the others."""
+    rows = [(u, y) for us, y in ((url_filter.BLOCKED_URLS, 1), (url_filter.ALLOWED_URLS, 0)) for u in us]
+    right = []
+    for turn in range(2):
+        model = url_filter.train(spark.createDataFrame([r for i, r in enumerate(rows) if i % 4 != turn], "url string, label int"))
+        held = [r for i, r in enumerate(rows) if i % 4 == turn]
+        pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(held)], "page_id long, url string")
+        got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, [], model).collect()}
+        right += [(got[i] == "block") == bool(y) for i, (_, y) in enumerate(held)]
+    assert np.mean(right) > 0.75
+
+
+def test_default_labels_hold_no_host_of_the_tables(spark):
+    hosts = {r[0] for sf in ("0.001", "0.01", "0.1") for r in spark.read.parquet(f"/root/testdata/sf{sf}/pages.parquet").select(
+        url_filter.host_and_path(url_filter.F.col("url"))[0]).distinct().collect()}
+    own = {u.split("://")[1].split("/")[0] for u in url_filter.BLOCKED_URLS + url_filter.ALLOWED_URLS}
+    assert not own & hosts and len(own) == 60
+
+
 def test_url_model_on_unseen_urls(spark):
     urls = {"http://casino-royal.example.org/de/4": 1, "https://cheap-pills.example.net/de/9": 1, "http://spam-farm.example.org/en/9": 1,
             "http://thonan.example.org/en/9": 0, "https://blog.thered.example.net/de/12": 0, "http://library.example.org/de/44": 0}
