@@ -121,6 +121,16 @@ def ols_summary(load):
     return rounded(out.drop("p", "f_p"), coef=8, std_err=8, t=2, r2=6, adj_r2=6, f=0)
 
 
+@query("g7_ols_summary_const", f"""SELECT 'const' AS term, {r('a', 3)} AS coef, {r('se', 4)} AS std_err, {r('a / se', 2)} AS t FROM (
+  SELECT a, sqrt((1 - r2) * syy / (n - 2) * (1 / n + x_bar * x_bar / sxx)) AS se FROM (SELECT regr_intercept(net, l_extendedprice) AS a,
+  regr_r2(net, l_extendedprice) AS r2, regr_sxx(net, l_extendedprice) AS sxx, regr_syy(net, l_extendedprice) AS syy, avg(l_extendedprice) AS x_bar,
+  CAST(count(*) AS DOUBLE) AS n FROM {NET_LINEITEM}))""")
+def ols_summary_const(load):
+    """The other row of the same table: the intercept."""
+    out = screen.ols_summary(net_lineitem(load), "net", ["l_extendedprice"]).where("term = 'const'")
+    return rounded(out.select("term", "coef", "std_err", "t"), coef=3, std_err=4, t=2)
+
+
 @query("g7_ols_summary_all")
 def ols_summary_all(load):
     return rounded(screen.ols_summary(net_lineitem(load), "label", NET_FEATURES), 6)

@@ -139,8 +139,8 @@ def _splits(
     """Bucket borders of every key group too large for one window, or None when there is none.
 
     The number of borders over all groups is at most rows / bucket_rows, so the
-    table may be collected and broadcast. Collecting also fixes them: a sketch
-    evaluated twice could differ.
+    table may be collected. Collecting also fixes them: a sketch evaluated twice
+    could differ. Adaptive execution decides how borders and totals are joined.
     """
     if largest is None:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -199,7 +199,7 @@ def add_rank(
         same = F.sum(w).over(Window.partitionBy(*keys, value))
         out = work.withColumn(ties, same).withColumn(before, upto - q(ties))
         return out.drop("_all")
-    placed = work.join(F.broadcast(splits), keys, "left").withColumn(
+    placed = lookup_join(work, splits, keys).withColumn(
         "_bucket", _bucket_of(q(value), F.col("_splits"))
     )
     in_order = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -213,7 +213,7 @@ def add_rank(
     spread = F.pmod(F.xxhash64(*[q(c) for c in salt]), F.lit(PURE_SALTS)) if salt else F.lit(0)
     placed = (
         placed.drop("_splits")
-        .join(F.broadcast(totals), [*keys, "_bucket"], "left")
+        .join(totals, [*keys, "_bucket"], "left")
         .withColumn("_salt", F.when(pure, spread).otherwise(F.lit(0)))
     )
     upto = F.sum(w).over(Window.partitionBy(*keys, "_bucket", "_salt").orderBy(value))
