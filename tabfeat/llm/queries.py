@@ -223,3 +223,10 @@ def prints(spark, load):
     return fingerprints.fingerprints(load("documents")).select(
         "doc_id", "n_chars", "edited_sha256", fingerprints.as_text("signature").alias("fingerprint"),
         fingerprints.as_text("edited").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query("fingerprint_heads")
+def heads(spark, load):
+    """Every document with the smallest one that heads a band of it and is similar."""
+    docs = load("documents")
+    return fingerprints.band_heads(fingerprints.fingerprints(docs), docs)
