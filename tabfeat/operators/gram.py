@@ -213,3 +213,44 @@ def fit_pca(df: DataFrame, cols: Sequence[str], k: int, standardize: bool = True
     """Missing values count as 0."""
     whole = df.select(*[F.coalesce(numeric(df, c), F.lit(0.0)).alias(c) for c in cols])
     return pca_of(moments(whole, cols)[None], cols, k, standardize)
+
+
+def masked_correlations(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Pearson coefficients of all pairs of columns, each over the rows that have both; nan where either is constant there.
+
+    With missing values as 0 and a mask of those present, four matrix products of a batch hold the sums of every pair, so
+    there is one scan after that for the means, whatever is missing where.
+    """
+    cols, p = list(cols), len(cols)
+    x = [numeric(df, c).cast("double") for c in cols]
+    row = df.select(*[F.avg(v).alias(f"x{i}") for i, v in enumerate(x)]).first()
+    centre = [0.0 if v is None else v for v in row]
+    work = df.select(*[(v - F.lit(float(c))).alias(f"x{i}") for i, (v, c) in enumerate(zip(x, centre))])
+
+    def multiply(batches):
+        total = np.zeros((4, p, p))
+        for batch in batches:
+            if batch.num_rows:
+                block = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(p)]).astype(float)
+                mask = ~np.isnan(block)
+                block, mask = np.where(mask, block, 0.0), mask.astype(float)
+                total += mask.T @ mask, block.T @ mask, (block * block).T @ mask, block.T @ block
+        for i in range(p):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([total[:, i].ravel().tolist()], pa.list_(pa.float64()))], ["i", "s"])
+
+    rows = work.mapInArrow(multiply, "i long, s array<double>").groupBy("i").agg(
+        *[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(4 * p)]) if p <= NARROW else _added(work.mapInArrow(multiply, "i long, s array<double>"))
+    n, s1, s2, s11 = np.zeros((4, p, p))
+    for r in rows.collect():  # columns x columns sums
+        n[r[0]], s1[r[0]], s2[r[0]], s11[r[0]] = np.asarray(r[1] if p > NARROW else r[1:], float).reshape(4, p)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = s1 / n  # of the row's column over the rows that have the other one too
+        var = s2 / n - mean * mean
+        var = np.where(var <= 1e-13 * s2 / n, np.nan, var)
+        return np.clip((s11 / n - mean * mean.T) / np.sqrt(var * var.T), -1, 1)
+
+
+def _added(partial: DataFrame) -> DataFrame:
+    """Sums of arrays by ``i``, position by position."""
+    summed = partial.select("i", F.posexplode("s")).groupBy("i", "pos").agg(F.sum("col").alias("v"))
+    return summed.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda e: e["v"]).alias("s"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabfeat.functions.columns import numeric, q
 from tabfeat.functions.tails import correlation_p, f_tail, log_f_tail, normal_two_sided, t_two_sided
-from tabfeat.operators.gram import Moments, fit_pca, moments
+from tabfeat.operators.gram import Moments, fit_pca, masked_correlations, moments
 from tabfeat.operators.iterate import kept
 from tabfeat.operators.profile import melt, moments_of
 from tabfeat.operators.ranks import BUCKET_ROWS, add_rank
@@ -29,40 +29,19 @@ def _pearson(df: DataFrame, a: str, b: str):
     return F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.try_divide(F.covar_pop(x, y), size))
 
 
-PAIRS_PER_JOB = 60
+#: Pairs up to which coefficients are plain aggregates.
+FEW_PAIRS = 6
 
 
 def _correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
-    """Pairwise complete coefficients.
-
-    A few pairs are aggregates of one job. For many, columns without missing
-    values share one second-moment scan, and only pairs with a gappy column are
-    aggregated one by one.
-    """
-    out: dict[tuple[str, str], float | None] = {}
-    left = list(dict.fromkeys(pairs))
-    if len(left) > PAIRS_PER_JOB:
-        cols = list(dict.fromkeys(c for p in left for c in p))
-        row = df.agg(F.count(F.lit(1)).alias("rows"), *[
-            e for i, c in enumerate(cols)
-            for e in (F.count(numeric(df, c)).alias(f"n{i}"), F.min(numeric(df, c)).alias(f"lo{i}"), F.max(numeric(df, c)).alias(f"hi{i}"))
-        ]).first()
-        whole = [c for i, c in enumerate(cols) if row[f"n{i}"] == row["rows"] and row["rows"]]
-        varied = {c for i, c in enumerate(cols) if row[f"n{i}"] and row[f"lo{i}"] < row[f"hi{i}"]}
-        if len(whole) > 1:
-            at = {c: i for i, c in enumerate(whole)}
-            scatter = moments(df, whole)[None].scatter
-            for a, b in left:
-                if a in at and b in at:
-                    size = math.sqrt(scatter[at[a], at[a]] * scatter[at[b], at[b]])
-                    known = {a, b} <= varied and size > 0
-                    out[a, b] = float(np.clip(scatter[at[a], at[b]] / size, -1, 1)) if known else None
-        left = [p for p in left if p not in out]
-    for start in range(0, len(left), PAIRS_PER_JOB):
-        part = left[start:start + PAIRS_PER_JOB]
-        row = df.agg(*[_pearson(df, a, b).alias(f"r{i}") for i, (a, b) in enumerate(part)]).first()
-        out |= {p: row[f"r{i}"] for i, p in enumerate(part)}
-    return out
+    """Pairwise complete coefficients: aggregates of one job for a few pairs, one scan of masked products for many."""
+    pairs = list(dict.fromkeys(pairs))
+    if len(pairs) > FEW_PAIRS:
+        cols = list(dict.fromkeys(c for p in pairs for c in p))
+        found, at = masked_correlations(df, cols), {c: i for i, c in enumerate(cols)}
+        return {(a, b): None if np.isnan(r := found[at[a], at[b]]) else float(r) for a, b in pairs}
+    row = df.agg(*[_pearson(df, a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
+    return {p: row[f"r{i}"] for i, p in enumerate(pairs)}
 
 
 def pair_correlations(df: DataFrame, left: Sequence[str], right: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tabfeat.functions import tails
 from tabfeat.operators import screen
-from tabfeat.operators.gram import fit_pca, moments, total
+from tabfeat.operators.gram import fit_pca, masked_correlations, moments, total
 
 
 def brute_tau(x, y):
@@ -167,3 +167,17 @@ def test_many_pairs_share_a_scan_but_stay_pairwise_complete(spark):
     assert np.allclose(got.loc[free, free], want.loc[free, free])
     top = screen.correlation_matrix(df, list(pdf.columns[:-1]), "x11", k=3)
     assert top.count() == 16
+
+
+@pytest.mark.parametrize("width", [4, 15])
+def test_all_pairs_with_gaps_from_one_scan(spark, width):
+    rng = np.random.default_rng(width)
+    x = rng.normal(size=(300, width)) + np.outer(rng.normal(size=300), np.ones(width)) + 1e5
+    x[rng.random(x.shape) < 0.3] = np.nan
+    x[:, 1] = 7.0  # constant
+    x[:150, 2], x[150:, 3] = np.nan, np.nan  # never together
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(width)])
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), ", ".join(f"{c} double" for c in pdf.columns)).repartition(3)
+    got, want = masked_correlations(df, list(pdf.columns)), pdf.corr().to_numpy()
+    want[1, :] = want[:, 1] = np.nan
+    assert np.allclose(got, want, atol=1e-9, equal_nan=True)
