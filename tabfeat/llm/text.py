@@ -5,6 +5,7 @@ Arrow batches are bounded by bytes, so very long texts come in few.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -73,6 +74,14 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, step)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers that wait for their next task keep what they hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def by_batch(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict[str, list]]) -> DataFrame:
     """``mapInArrow`` for a function from one batch to columns."""
     bound_batches(df.sparkSession)
@@ -81,7 +90,7 @@ def by_batch(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], dict[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             yield to_batch(fn(batch), arrow)
-        pa.default_memory_pool().release_unused()  # workers wait for other tasks with what they hold
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -99,6 +108,7 @@ def keep_rows(docs: DataFrame, fn: Callable[[pa.RecordBatch], list[bool]]) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             yield batch.filter(pa.array(fn(batch), pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -111,7 +121,7 @@ def by_partition(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in fn(pieces(batches)):
             yield to_batch(columns, arrow)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return df.mapInArrow(run, schema)
 
