@@ -165,8 +165,17 @@ def _sketches(texts: DataFrame) -> DataFrame:
 
 
 def similar_in_block(sketches: list[np.ndarray], levels: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which pairs of left and right members may be similar enough: exactly for whole sets, by estimate (five deviations) for sketches."""
-    out = np.zeros((len(left), len(right)), bool)
+    """Which pairs of left and right members may be similar enough."""
+    return compared_in_block(sketches, levels, left, right)[0]
+
+
+def compared_in_block(sketches: list[np.ndarray], levels: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of left and right members may be similar enough, and which surely are.
+
+    Whole sets are compared exactly but for the few hashes that may collide; sketches by estimate (five deviations), which
+    makes no pair sure.
+    """
+    out, sure = np.zeros((len(left), len(right)), bool), np.zeros((len(left), len(right)), bool)
     owner, value = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches]), np.concatenate(sketches)
     for level in np.unique(levels):
         use = (levels[owner] <= level) & (value < 1 << (32 - int(level)))
@@ -184,12 +193,34 @@ def similar_in_block(sketches: list[np.ndarray], levels: np.ndarray, left: np.nd
             common += table[left] @ table[right].T
         union = size[left][:, None] + size[right][None, :] - common
         least = 75.0 * union - 200.0 if level == 0 else 65.5 * union
-        out |= (np.maximum(levels[left][:, None], levels[right][None, :]) == level) & (100.0 * common >= least)
-    return out
+        compared = np.maximum(levels[left][:, None], levels[right][None, :]) == level
+        out |= compared & (100.0 * common >= least)
+        if level == 0:
+            sure |= compared & (100.0 * common >= 75.0 * union + 200.0)
+    return out, sure
+
+
+def spanning_pairs(possible: np.ndarray, sure: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) that join the components ``left`` and ``right`` as far as the sure ones do, and all other possible
+    ones between components that are still apart. So a block of n similar members emits fewer than n sure pairs."""
+    names, label = np.unique(np.concatenate([left, right]), return_inverse=True)
+    rows, columns, group = label[:len(left)], label[len(left):], np.arange(len(names))
+    pairs = []
+    for i in np.flatnonzero(sure.any(axis=1)):
+        found = np.flatnonzero(sure[i])
+        while True:
+            apart = found[group[columns[found]] != group[rows[i]]]
+            if not len(apart):
+                break
+            pairs.append((int(i), int(apart[0])))
+            group[group == group[columns[apart[0]]]] = group[rows[i]]
+    i, j = np.nonzero(possible & ~sure & (group[rows][:, None] != group[columns][None, :]))
+    return pairs + list(zip(i.tolist(), j.tolist()))
 
 
 def _across(members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs a < b of one bucket, neither its smallest member, in different components and similar by their sketches."""
+    """Pairs a < b of one bucket, neither its smallest member, in different components and similar by their sketches; of those
+    that are surely similar only enough to join their components."""
     placed = members.where("node <> pivot").join(components(links), "node", "left").select(
         "band", "node", F.coalesce("component", "node").alias("component"))
     open_bands = placed.groupBy("band").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_n")).where(
@@ -205,10 +236,9 @@ def _across(members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame
 
         node, component = frame["node"].to_numpy(), frame["component"].to_numpy()
         left, right = (np.flatnonzero(frame["_own"] == frame[c]) for c in ("_i", "_j"))
-        similar = similar_in_block([np.frombuffer(s, np.uint32) for s in frame["sketch"]], frame["level"].to_numpy(), left, right)
-        similar &= component[left][:, None] != component[right][None, :]
-        i, j = np.nonzero(similar)
-        a, b = node[left[i]], node[right[j]]
+        possible, sure = compared_in_block([np.frombuffer(s, np.uint32) for s in frame["sketch"]], frame["level"].to_numpy(), left, right)
+        chosen = np.array(spanning_pairs(possible, sure, component[left], component[right]), np.int64).reshape(-1, 2)
+        a, b = node[left[chosen[:, 0]]], node[right[chosen[:, 1]]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return rows.groupBy("band", "_i", "_j").applyInPandas(compare, "a long, b long").distinct()

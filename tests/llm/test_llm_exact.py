@@ -226,6 +226,31 @@ def test_block_comparison_of_sketches():
     assert similar[0, 1] and similar[3, 4] and not similar[0, 2] and not similar[3, 5] and not similar[2, 3]
 
 
+def test_spanning_pairs_join_what_all_sure_pairs_join():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (40, 40), (60, 25)):
+        for share in (0.0, 0.02, 0.3, 1.0):
+            possible = rng.random((n, m)) < share
+            sure = possible & (rng.random((n, m)) < 0.7)
+            left, right = rng.integers(0, 30, n), rng.integers(0, 30, m)
+            group = {c: c for c in [*left.tolist(), *right.tolist()]}
+
+            def top(c, group=group):
+                while group[c] != c:
+                    c = group[c]
+                return c
+
+            pairs = near_dedup.spanning_pairs(possible, sure, left, right)
+            trees = [(i, j) for i, j in pairs if sure[i, j]]
+            for i, j in trees:  # no pair of a tree is needless
+                a, b = top(int(left[i])), top(int(right[j]))
+                assert a != b
+                group[a] = b
+            assert all(top(int(left[i])) == top(int(right[j])) for i, j in np.argwhere(sure))
+            rest = {(int(i), int(j)) for i, j in np.argwhere(possible & ~sure) if top(int(left[i])) != top(int(right[j]))}
+            assert rest == {(i, j) for i, j in pairs if not sure[i, j]}
+
+
 # ---- 9: mixing -------------------------------------------------------------------------------
 
 
