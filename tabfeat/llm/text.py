@@ -45,7 +45,7 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     that every scan finds the same numbers."""
     path = scratch_path(docs.sparkSession, name)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    docs.select(F.monotonically_increasing_id().alias("_row"), whole.alias("doc")).write.parquet(path)
+    docs.select(F.monotonically_increasing_id().alias("_row"), whole.alias("doc")).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
