@@ -1,9 +1,10 @@
-"""LM scoring with a log-frequency Bloom filter: quantised n-gram counts in a filter of fixed size, broadcast to workers.
+"""LM scoring with a log-frequency Bloom filter: quantised n-gram counts in one filter for each part of the key space.
 
 An n-gram of count c is in the filter once for each level up to 1 + log_b(c); its count is read back by probing level after
-level until one is missing. Counts are gathered over the whole corpus: every task counts its batches, and packed rows of
-keys and counts meet by key segment. The filter's size is fixed, so it can be broadcast whatever the corpus; the smallest
-count that is stored is chosen from the counts themselves such that the filter keeps its false-positive rate.
+level until one is missing. Counts are gathered over the whole corpus: every task counts its batches, packed rows of keys
+and counts meet by key slice, and the filter of a slice is sized by what is in it, so n-grams of any count are stored
+whatever the corpus. No place holds all filters: the distinct n-grams of a batch of texts meet them by key, and what is read
+comes back to the batch.
 """
 
 from __future__ import annotations
@@ -13,25 +14,19 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabfeat.llm.text import WordHashes, by_batch, by_partition, crc_mod5, lower_ascii, mixed, texts_of
 from tabfeat.session import scratch_path
 
-#: Bits of the filter (32 MB), bits set for each entry, and entries it holds at most (false positives about 2 %).
-FILTER_BITS, PROBES = 1 << 28, 4
-CAPACITY = FILTER_BITS // 8
-
-#: Parts of the filter, each filled by one task at a time.
-SEGMENTS = 64
+#: Bits of a filter for each of its entries, and bits set for an entry (false positives under 1 %).
+ENTRY_BITS, PROBES = 12, 4
 
 #: Counts are quantised to powers of this base.
 BASE = 1.5
 
-#: Words with over one in so many of all tokens are known to every task: at most so many can be.
-HEAVY = 1 << 16
-
 #: Largest weight of the bigram estimate, and the count of the first word at which it has half of it.
 BIGRAM_WEIGHT, BIGRAM_HALF = 0.3, 50.0
 
@@ -40,6 +35,10 @@ _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 UNIGRAM, BIGRAM = 0, 1
 
+#: Parts of the key space that counts travel in (top bits of a key). A pair's key has 32 bits more, a word's all 64.
+SLICE_BITS = 12
+_SPARE = 64 - SLICE_BITS - 32
+
 
 def token_hashes(text: bytes, hashes: WordHashes) -> np.ndarray:
     """Hashes of the words in lower case (A-Z), then of the end."""
@@ -49,7 +48,18 @@ def token_hashes(text: bytes, hashes: WordHashes) -> np.ndarray:
 
 def bigram_hashes(tokens: np.ndarray) -> np.ndarray:
     """One for each token, with the token before it; the first has the end before it."""
-    return mixed(np.concatenate([[_END], tokens[:-1]]) * _PAIR + tokens)
+    return mixed(np.concatenate([[_END], tokens[:-1]]) * _PAIR + tokens) >> np.uint64(_SPARE) << np.uint64(_SPARE)
+
+
+def _short(pairs: np.ndarray) -> bytes:
+    """Keys of pairs without the number of their slice."""
+    return (pairs >> np.uint64(_SPARE)).astype("<u4").tobytes()
+
+
+def _long(short: bytes, part: np.ndarray | int) -> np.ndarray:
+    """The keys of pairs in a slice, or in the slice of each."""
+    own = np.frombuffer(short, "<u4").astype(np.uint64)
+    return np.asarray(part, np.uint64) << np.uint64(64 - SLICE_BITS) | own << np.uint64(_SPARE)
 
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,11 +78,11 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 
 _LEVEL_COUNTS = np.array([0.0] + [max(1.0, (BASE ** (j - 1) + BASE**j) / 2) for j in range(1, 130)])
 
-#: Parts of the key space that counts travel in (top bits of a key).
-SLICE_BITS = 12
-
 PACKED = "slice int, kind int, keys binary, counts binary"
 
+#: A slice of the learned table: keys and counts of its words, and the filter of its words or pairs.
+LEARNED = "slice int, kind int, tokens long, distinct long, keys binary, counts binary, bits binary"
+
 
 def sliced(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """The parts of sorted keys by their top bits."""
@@ -83,7 +93,7 @@ def sliced(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
 
 
 def ngram_counts(docs: DataFrame) -> DataFrame:
-    """Counts of all words and word pairs: packed rows with distinct keys, one for each slice and kind.
+    """Counts of all words and filters of all words and word pairs: one row for each slice and kind.
 
     A task counts its batches first; rows are dealt by slice, and a task merges what it has read of one slice whenever
     that has doubled, so it holds about the distinct keys of one slice.
@@ -97,7 +107,8 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
             if keys:
                 key, number = np.unique(np.concatenate(keys), return_counts=True)
                 for part, at in sliced(key, SLICE_BITS):
-                    for name, value in zip(_COLUMNS, (part, kind, key[at].tobytes(), number[at].astype("<i4").tobytes()), strict=True):
+                    own = key[at].tobytes() if kind == UNIGRAM else _short(key[at])
+                    for name, value in zip(_COLUMNS, (part, kind, own, number[at].astype("<i4").tobytes()), strict=True):
                         out[name].append(value)
         return {c: out[c] for c in _COLUMNS}
 
@@ -109,7 +120,7 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
                     if keys:
                         yield _kept(now, *merged(keys, counts))
                     keys, counts, held, now = [], [], 0, (part, kind)
-                keys.append(np.frombuffer(k, np.uint64))
+                keys.append(np.frombuffer(k, np.uint64) if kind == UNIGRAM else _long(k, part))
                 counts.append(np.frombuffer(c, "<i4").astype(np.int64))
                 held += len(keys[-1])
                 if held > 2 * len(keys[0]) + 500_000:
@@ -119,258 +130,265 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
             yield _kept(now, *merged(keys, counts))
 
     dealt = by_batch(texts_of(docs), PACKED, count).repartition("slice", "kind").sortWithinPartitions("slice", "kind")
-    return by_partition(dealt, PACKED, merge)
+    return by_partition(dealt, LEARNED, merge)
 
 
 _COLUMNS = ("slice", "kind", "keys", "counts")
 
 
 def _kept(at: tuple[int, int], keys: np.ndarray, counts: np.ndarray) -> dict[str, list]:
-    """A merged row; pairs seen once are never stored in the filter and go."""
-    if at[1] == BIGRAM:
-        keys, counts = keys[counts > 1], counts[counts > 1]
-    return {"slice": [at[0]], "kind": [at[1]], "keys": [keys.tobytes()], "counts": [counts.astype("<i8").tobytes()]}
-
-
-def _spot(keys: np.ndarray, level: int, i: int) -> np.ndarray:
-    """Number of the i-th bit of the keys at a level; all bits lie in the key's own segment."""
-    width = FILTER_BITS // SEGMENTS
-    h = mixed(keys + np.uint64(level) * np.uint64(0xC2B2AE3D27D4EB4F))
-    low, high = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) | np.uint64(1)
-    return (keys >> np.uint64(58)).astype(np.int64) * width + ((low + np.uint64(i) * high) % np.uint64(width)).astype(np.int64)
-
-
-def _filled(table: DataFrame, least: int) -> np.ndarray:
-    """The filter: pairs of at least that count and all words of it; one task fills a segment."""
-
-    width = FILTER_BITS // SEGMENTS
-
-    def run(batches):
-        bits, at = None, None
-        for batch in batches:
-            for segment, k, c in zip(*(batch.column(x).to_pylist() for x in ("segment", "keys", "counts")), strict=True):
-                if segment != at:
-                    if bits is not None:
-                        yield {"segment": [at], "bits": [np.packbits(bits).tobytes()]}
-                    bits, at = np.zeros(width, bool), segment
-                keys, counts = np.frombuffer(k, np.uint64), np.frombuffer(c, "<i8")
-                keys, levels = keys[counts >= least], level_of(counts[counts >= least])
-                for level in range(1, int(levels.max(initial=0)) + 1):
-                    for i in range(PROBES):
-                        bits[_spot(keys[levels >= level], level, i) - at * width] = True
-        if bits is not None:
-            yield {"segment": [at], "bits": [np.packbits(bits).tobytes()]}
-
-    segment = F.shiftright("slice", SLICE_BITS - SEGMENTS.bit_length() + 1).alias("segment")
-    dealt = table.select(segment, "keys", "counts").repartition("segment").sortWithinPartitions("segment")
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    step = width // 8
-    for row in by_partition(dealt, "segment int, bits binary", run).collect():  # SEGMENTS rows of fixed size
-        out[row.segment * step:(row.segment + 1) * step] = np.frombuffer(row.bits, np.uint8)
-    return out
-
-
-class FrequencyFilter:
-    """Quantised counts of n-grams by membership probes."""
-
-    def __init__(self, bits: np.ndarray, tokens: int, vocabulary: int, least: int):
-        self.bits, self.tokens, self.vocabulary, self.least = bits, tokens, vocabulary, least
-
-    def holds(self, keys: np.ndarray, level: int) -> np.ndarray:
-        """Positions of the keys that are in the filter at a level; a key is dropped at its first bit that is not set."""
-        at = np.arange(len(keys))
-        for i in range(PROBES):
-            spot = _spot(keys[at], level, i)
-            at = at[(self.bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)]
-        return at
-
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Count of each key: the middle of its last level found, 0 if it is not stored."""
-        level = np.zeros(len(keys), np.int64)
-        left = np.arange(len(keys))
-        for j in range(1, len(_LEVEL_COUNTS) - 1):
-            left = left[self.holds(keys[left], j)]
+    """A merged row; the filter is all that is kept of pairs."""
+    words = at[1] == UNIGRAM
+    return {"slice": [at[0]], "kind": [at[1]], "tokens": [int(counts.sum())], "distinct": [len(keys)],
+            "keys": [keys.tobytes() if words else b""], "counts": [counts.astype("<i8").tobytes() if words else b""],
+            "bits": [filter_bits(keys, counts)]}
+
+
+def _level_hashes(keys: np.ndarray, level: np.ndarray | int) -> np.ndarray:
+    return mixed(keys + np.asarray(level, np.uint64) * np.array([0xC2B2AE3D27D4EB4F], np.uint64))
+
+
+def _spot(hashes: np.ndarray, i: int, width: np.ndarray | int) -> np.ndarray:
+    """Number of the i-th bit of each hash in a filter of that many bits."""
+    low, high = hashes & np.uint64(0xFFFFFFFF), hashes >> np.uint64(32) | np.uint64(1)
+    return ((low + np.uint64(i) * high) % np.asarray(width, np.uint64)).astype(np.int64)
+
+
+def filter_bits(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """The filter of distinct keys with their counts: every count is stored, and the size follows from the levels."""
+    levels = level_of(counts)
+    entries = int(levels.sum())
+    bits = np.zeros(max(64, ENTRY_BITS * entries // 8 * 8), bool)
+    level = np.arange(entries) - np.repeat(np.cumsum(levels) - levels, levels) + 1
+    hashes = _level_hashes(np.repeat(keys, levels), level)
+    for i in range(PROBES):
+        bits[_spot(hashes, i, len(bits))] = True
+    return np.packbits(bits).tobytes()
+
+
+class Filters:
+    """The filters of successive slices side by side."""
+
+    def __init__(self, first: int, blobs: list[bytes]):
+        own = [blob or bytes(8) for blob in blobs]
+        sizes = np.array([8 * len(blob) for blob in own], np.int64)
+        self.first, self.width, self.start = first, sizes, np.cumsum(sizes) - sizes
+        self.bits = np.frombuffer(b"".join(own), np.uint8)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The last level of each key that is found, 0 if none; a key is dropped at its first bit that is not set."""
+        found, left = np.zeros(len(keys), np.uint8), np.arange(len(keys))
+        part = (keys >> np.uint64(64 - SLICE_BITS)).astype(np.int64) - self.first
+        for level in range(1, len(_LEVEL_COUNTS) - 1):
+            hashes = _level_hashes(keys[left], level)
+            for i in range(PROBES):
+                at = part[left]
+                spot = self.start[at] + _spot(hashes, i, self.width[at])
+                hit = (self.bits[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
+                left, hashes = left[hit], hashes[hit]
             if not len(left):
                 break
-            level[left] = j
-        return _LEVEL_COUNTS[level]
+            found[left] = level
+        return found
+
 
-    def log10_probabilities(self, tokens: np.ndarray) -> np.ndarray:
-        """Of each token of texts that follow each other, every one closed by its end.
+#: Bytes of filters and tokens of the corpus behind one slice of questions, about; at least so many bits of slices.
+SLICE_BYTES, SLICE_TOKENS, LEAST_BITS = 8 << 20, 16 << 20, 6
 
-        Words have add-half smoothing; pairs are interpolated by how often their first word was seen. Each distinct
-        n-gram is probed once.
-        """
-        distinct, which = np.unique(tokens, return_inverse=True)
-        unigram = self.counts(distinct)[which]
-        single = (unigram + 0.5) / (self.tokens + 0.5 * (self.vocabulary + 1))
-        pairs, at = np.unique(bigram_hashes(tokens), return_inverse=True)
-        pair = self.counts(pairs)[at]
-        before = np.concatenate([self.counts(np.array([_END])), unigram[:-1]])
-        weight = BIGRAM_WEIGHT * before / (before + BIGRAM_HALF)
-        return np.log10((1 - weight) * single + weight * np.minimum(pair / np.maximum(before, 1), 1.0))
+#: Keys that are looked up at once.
+ASKED_KEYS = 1 << 20
 
 
 class LanguageModel:
-    """The filter, with the exact word counts behind it as a table."""
+    """The learned table, and the sums over it."""
+
+    #: The smallest count that is stored.
+    least = 1
 
     def __init__(self, table: DataFrame):
         self.table = table
-        own = by_batch(table, "kind int, tokens long, distinct long, levels array<long>", self._summary)
-        rows = own.groupBy("kind").agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct"),
-                                       *[F.sum(F.col("levels")[i]).alias(f"l{i}") for i in range(len(_LEVEL_COUNTS))]).collect()
+        rows = table.groupBy("kind").agg(*[F.sum(c).alias(c) for c in ("tokens", "distinct")], F.sum(F.length("bits")).alias("size")).collect()
         totals = {r.kind: r for r in rows}
         self.tokens = totals[UNIGRAM].tokens if UNIGRAM in totals else 0
         self.vocabulary = totals[UNIGRAM].distinct if UNIGRAM in totals else 0
-        # n-grams by level: storing those of level j and more takes the sum of their levels.
-        by_level = [sum(r[f"l{i}"] for r in rows) for i in range(len(_LEVEL_COUNTS))]
-        cut, entries = len(by_level), 0
-        while cut > 1 and entries + by_level[cut - 1] * (cut - 1) <= CAPACITY:
-            cut -= 1
-            entries += by_level[cut] * cut
-        self.least = max(1, math.ceil(BASE ** (cut - 1) - 1e-9))
-
-    @staticmethod
-    def _summary(batch):
-        out = defaultdict(list)
-        for kind, c in zip(batch.column("kind").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            counts = np.frombuffer(c, "<i8")
-            out["kind"].append(kind)
-            out["tokens"].append(int(counts.sum()))
-            out["distinct"].append(len(counts))
-            out["levels"].append(np.bincount(level_of(counts), minlength=len(_LEVEL_COUNTS)))
-        return {c: out[c] for c in ("kind", "tokens", "distinct", "levels")}
+        self.size = sum(r["size"] for r in rows)
+        parts = max(1.0, self.size / SLICE_BYTES, self.tokens / SLICE_TOKENS)
+        self.bits = min(SLICE_BITS, max(LEAST_BITS, math.ceil(math.log2(parts))))
 
     def filter(self) -> FrequencyFilter:
-        return FrequencyFilter(_filled(self.table, self.least), self.tokens, self.vocabulary, self.least)
+        return FrequencyFilter(self)
 
-    def heavy_words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and counts of the words with over one in HEAVY of all tokens: fewer than HEAVY."""
-        least = self.tokens / HEAVY
 
-        def run(batch):
-            out = {"key": [], "n": []}
-            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                keys, counts = np.frombuffer(k, np.int64), np.frombuffer(c, "<i8")
-                out["key"] += keys[counts > least].tolist()
-                out["n"] += counts[counts > least].tolist()
-            return out
+class FrequencyFilter:
+    """Quantised counts of given n-grams by membership probes, where the filters lie."""
+
+    def __init__(self, model: LanguageModel):
+        self.model = model
 
-        rows = by_batch(self.table.where(F.col("kind") == UNIGRAM), "key long, n long", run).collect()
-        keys, counts = np.array([r.key for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
-        order = np.argsort(keys)
-        return keys[order], counts[order]
+    def counts(self, keys: np.ndarray, kind: int = UNIGRAM) -> np.ndarray:
+        """Count of each key: the middle of its last level found, 0 if it is not stored."""
+        distinct, which = np.unique(keys, return_inverse=True)
+        none = np.empty(0, np.uint64)
+        asked = _questions(0, *((distinct, none) if kind == UNIGRAM else (none, distinct)), self.model.bits)
+        rows = self.model.table.sparkSession.createDataFrame([tuple(v[0] for v in row.values()) for row in asked], _MIXED)
+        found = sorted(_answered(rows, self.model).select("slice", "levels").collect())
+        return _LEVEL_COUNTS[np.frombuffer(b"".join(r.levels for r in found), np.uint8)[which]]
 
 
 def learn(docs: DataFrame, path: str) -> LanguageModel:
     """Count all n-grams of ``docs`` into a table under ``path``."""
-    ngram_counts(docs).write.parquet(f"{path}/ngrams")
+    ngram_counts(docs).write.option("compression", "zstd").parquet(f"{path}/ngrams")
     return LanguageModel(docs.sparkSession.read.parquet(f"{path}/ngrams"))
 
 
-#: Counts of rare words (stage 0), the rare words of a batch (1), and its documents' sums so far (2).
-_MIXED = ("slice int, stage int, batch long, keys binary, counts binary, at binary, doc_id array<long>, n_tokens array<long>, "
-          "n_known array<long>, logs array<double>, score array<double>")
+#: Rows of the learned table (stage 0), n-grams of a batch in a slice and what is known of them (1), and its texts (2).
+_MIXED = ("slice int, stage int, batch long, part int, kind int, keys binary, counts binary, levels binary, at binary, "
+          "doc_id array<long>, n_tokens array<long>")
 _RESULT = "doc_id long, n_tokens long, n_known long, logs double, score double"
-_LISTS = ("doc_id", "n_tokens", "n_known", "logs", "score")
-
-#: Words of one slice that a task holds to answer rare words, on average.
-SLICE_WORDS = 500_000
 
 
 def _row(**values) -> dict[str, list]:
     return {c.split()[0]: [values.get(c.split()[0])] for c in _MIXED.split(", ")}
 
 
+def _questions(batch: int, words: np.ndarray, pairs: np.ndarray, bits: int) -> Iterator[dict[str, list]]:
+    """Rows of stage 1 of sorted distinct words and pairs: one for each slice of the top ``bits``.
+
+    ``keys`` has the words; ``at`` the pairs, without the numbers of their parts, and ``counts`` how many each part has.
+    """
+    borders = np.arange(1, 1 << SLICE_BITS, dtype=np.uint64) << np.uint64(64 - SLICE_BITS)
+    parts, own = 1 << (SLICE_BITS - bits), [np.concatenate([[0], np.searchsorted(k, borders), [len(k)]]) for k in (words, pairs)]
+    for i in range(1 << bits):
+        (a, b), (c, d) = ((at[i * parts], at[(i + 1) * parts]) for at in own)
+        if a < b or c < d:
+            sizes = np.diff(own[1][i * parts:(i + 1) * parts + 1]).astype("<u4")
+            yield _row(slice=i, stage=1, batch=batch, keys=words[a:b].tobytes(), at=_short(pairs[c:d]), counts=sizes.tobytes())
+
+
+def _answered(asked: DataFrame, model: LanguageModel) -> DataFrame:
+    """Rows of stage 1 with the exact counts of their words and the levels of their words and pairs; others as they are."""
+    parts = 1 << (SLICE_BITS - model.bits)
+
+    def run(batches):
+        now, learned, slice_, asked, held = None, [], None, [], 0
+
+        def answers():
+            first = asked[0]["slice"] * parts
+            words, filters = slice_
+            all_words = np.concatenate([np.frombuffer(row["keys"], np.uint64) for row in asked])
+            all_pairs = np.concatenate([
+                _long(row["at"], first + np.repeat(np.arange(parts), np.frombuffer(row["counts"], "<u4"))) for row in asked])
+            at = np.minimum(np.searchsorted(words[0], all_words), max(len(words[0]) - 1, 0))
+            counts = np.where(words[0][at] == all_words, words[1][at], 0) if len(words[0]) else np.zeros(len(all_words), np.int64)
+            levels, i, j = [own.levels(k) for own, k in zip(filters, (all_words, all_pairs), strict=True)], 0, 0
+            for row in asked:
+                n, m = len(row["keys"]) // 8, len(row["at"]) // 4
+                yield _row(slice=row["slice"], stage=1, batch=row["batch"], counts=counts[i:i + n].astype("<i8").tobytes(),
+                           levels=levels[UNIGRAM][i:i + n].tobytes() + levels[BIGRAM][j:j + m].tobytes(), kind=n)
+                i, j = i + n, j + m
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["slice"] != now or held > ASKED_KEYS:
+                    if asked:
+                        yield from answers()
+                    asked, held = [], 0
+                if row["slice"] != now:
+                    now, learned, slice_ = row["slice"], [], None
+                if row["stage"] == 0:
+                    learned.append(row)
+                elif row["stage"] == 2:
+                    yield _row(**row)
+                else:
+                    if slice_ is None:
+                        learned.sort(key=lambda r: (r["kind"], r["part"]))
+                        words = [np.concatenate([np.empty(0, t), *[np.frombuffer(r[c], t) for r in learned if r["kind"] == UNIGRAM]])
+                                 for c, t in (("keys", np.uint64), ("counts", np.int64))]
+                        blobs = {(r["kind"], r["part"]): r["levels"] for r in learned}
+                        slice_ = words, [Filters(now * parts, [blobs.get((kind, now * parts + i)) for i in range(parts)]) for kind in (UNIGRAM, BIGRAM)]
+                        learned = []
+                    asked.append(row)
+                    held += len(row["keys"]) // 8 + len(row["at"]) // 4
+        if asked:
+            yield from answers()
+
+    table = model.table.select(F.shiftright("slice", SLICE_BITS - model.bits).alias("slice"), F.lit(0).alias("stage"),
+                               F.col("slice").alias("part"), "kind", "keys", "counts", F.col("bits").alias("levels"))
+    met = asked.unionByName(table, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "stage")
+    return by_partition(met, _MIXED, run)
+
+
+def _ids_packed(ids: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _ids_unpacked(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def log10_probabilities(unigram: np.ndarray, pair: np.ndarray, tokens: int, vocabulary: int) -> np.ndarray:
+    """Of each token of texts that follow each other, every one closed by its end, from its count and that of its pair.
+
+    Words have add-half smoothing; pairs are interpolated by how often their first word was seen.
+    """
+    single = (unigram + 0.5) / (tokens + 0.5 * (vocabulary + 1))
+    before = np.concatenate([unigram[-1:], unigram[:-1]])  # the last token is an end, as is what the first has before it
+    weight = BIGRAM_WEIGHT * before / (before + BIGRAM_HALF)
+    return np.log10((1 - weight) * single + weight * np.minimum(pair / np.maximum(before, 1), 1.0))
+
+
 def scored(docs: DataFrame, training: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``, learned from ``training``.
 
-    base_score is exact: words that every task knows are added up on the spot; rarer words meet their counts by key, as
-    packed rows, and come back as sums per document. score is the filter's. Null and empty texts are the end alone; with
-    no training rows N and V are 0; repeated rows are scored each; an empty table gives none.
+    base_score is exact, score is the filter's: the distinct words and pairs of every batch meet counts and filters by key,
+    as packed rows, and come back to the batch's texts. Null and empty texts are the end alone; with no training rows N and
+    V are 0; repeated rows are scored each; an empty table gives none.
     """
-    spark = docs.sparkSession
-    model = learn(training, path or scratch_path(spark, "bloom-lm"))
-    filter_, heavy = spark.sparkContext.broadcast(model.filter()), spark.sparkContext.broadcast(model.heavy_words())
-    bits = min(SLICE_BITS, max(4, math.ceil(math.log2(max(model.vocabulary, 1) / SLICE_WORDS))))
+    model = learn(training, path or scratch_path(docs.sparkSession, "bloom-lm"))
+    bits, tokens_all, vocabulary = model.bits, model.tokens, model.vocabulary
     hashes = WordHashes()
 
     def pack(batches):
-        """Rows of stages 1 and 2 of each batch."""
-        known, number = heavy.value
+        """Rows of stages 1 and 2 of each batch; its words are numbered by how often it has them."""
         for count, batch in enumerate(batches):
-            own = {c: [] for c in _LISTS}
-            rare = [], [], []
+            if not batch.num_rows:
+                continue
             name = batch.column("_part")[0].as_py() << 32 | count
-            own["doc_id"] = batch.column("doc_id").to_pylist()
             tokens = [token_hashes(t, hashes) for t in batch.column("text").to_pylist()]
-            own["n_tokens"] = [len(t) for t in tokens]
-            starts = np.cumsum([0, *own["n_tokens"][:-1]])
-            own["score"] = np.add.reduceat(filter_.value.log10_probabilities(np.concatenate(tokens)), starts)
-            for i, text_tokens in enumerate(tokens):
-                keys, times = np.unique(text_tokens, return_counts=True)
-                at = np.searchsorted(known, keys)
-                at[at == len(known)] = 0
-                is_heavy = known[at] == keys if len(known) else np.zeros(len(keys), bool)
-                for part, value in zip(rare, (np.full((~is_heavy).sum(), i, np.int32), keys[~is_heavy], times[~is_heavy]), strict=True):
-                    part.append(value)
-                logs = times[is_heavy] * np.log10(number[at[is_heavy]] + 0.5) if len(known) else np.zeros(1)
-                own["n_known"].append(int(times[is_heavy].sum()))
-                own["logs"].append(float(logs.sum()))
-            yield _row(slice=name % (1 << bits), stage=2, batch=name, **own)
-            at, keys, times = map(np.concatenate, rare)
-            order = np.argsort(keys)
-            at, keys, times = at[order], keys[order], times[order].astype("<i4")
-            for part, own_at in sliced(keys, bits):
-                yield _row(slice=part, stage=1, batch=name, at=at[own_at].tobytes(), keys=keys[own_at].tobytes(), counts=times[own_at].tobytes())
-
-    def answer(batches):
-        """Stage 1 rows as sums by document; the counts of a slice come before them."""
-        now, keys, counts = None, [], []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["slice"] != now:
-                    now, keys, counts = row["slice"], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-                if row["stage"] == 0:
-                    keys.append(np.frombuffer(row["keys"], np.uint64))
-                    counts.append(np.frombuffer(row["counts"], "<i8"))
-                    continue
-                if row["stage"] == 2:
-                    yield _row(**row)
-                    continue
-                if len(keys) > 1:
-                    key, number = np.concatenate(keys), np.concatenate(counts)
-                    order = np.argsort(key)
-                    keys, counts = [key[order]], [number[order]]
-                asked, times, docs_at = np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["counts"], "<i4"), np.frombuffer(row["at"], np.int32)
-                at = np.searchsorted(keys[0], asked)
-                at[at == len(keys[0])] = 0
-                found = keys[0][at] == asked if len(keys[0]) else np.zeros(len(asked), bool)
-                c = np.where(found, counts[0][at], 0) if len(keys[0]) else np.zeros(len(asked))
-                which, back = np.unique(docs_at, return_inverse=True)
-                yield _row(slice=now, stage=1, batch=row["batch"], at=which.tobytes(),
-                           n_known=np.bincount(back, times * found).astype(np.int64), logs=np.bincount(back, times * np.log10(c + 0.5)))
+            sizes = [len(t) for t in tokens]
+            tokens = np.concatenate(tokens)
+            words, which, times = np.unique(tokens, return_inverse=True, return_counts=True)
+            yield from _questions(name, words, np.unique(bigram_hashes(tokens)), bits)
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            yield _row(slice=((name >> 32) * 31 + count) % (1 << bits), stage=2, batch=name, keys=words[order].tobytes(), at=_ids_packed(rank[which]),
+                       doc_id=batch.column("doc_id").to_pylist(), n_tokens=sizes)
 
     def add(batches):
-        """The sums of a batch's slices onto those of its documents, which come last."""
-        logs, known = defaultdict(float), defaultdict(int)
+        """What is known of a batch's n-grams onto its texts, which come last."""
+        counts, levels = [], ([], [])
         for batch in batches:
             for row in batch.to_pylist():
                 if row["stage"] == 1:
-                    for i, k, v in zip(np.frombuffer(row["at"], np.int32).tolist(), row["n_known"], row["logs"], strict=True):
-                        known[i] += k
-                        logs[i] += v
+                    counts.append(np.frombuffer(row["counts"], "<i8"))
+                    own = np.frombuffer(row["levels"], np.uint8)
+                    levels[UNIGRAM].append(own[:row["kind"]])
+                    levels[BIGRAM].append(own[row["kind"]:])
                     continue
-                rows = range(len(row["doc_id"]))
-                yield {"doc_id": row["doc_id"], "n_tokens": row["n_tokens"], "score": row["score"],
-                       "n_known": [row["n_known"][i] + known[i] for i in rows], "logs": [row["logs"][i] + logs[i] for i in rows]}
-                logs, known = defaultdict(float), defaultdict(int)
+                words, ids = np.frombuffer(row["keys"], np.uint64), _ids_unpacked(row["at"])
+                order = np.argsort(words)
+                count, level = np.empty(len(words), np.int64), np.empty(len(words), np.uint8)
+                count[order], level[order] = np.concatenate(counts), np.concatenate(levels[UNIGRAM])
+                which = np.unique(bigram_hashes(words[ids]), return_inverse=True)[1]
+                score = log10_probabilities(_LEVEL_COUNTS[level][ids], _LEVEL_COUNTS[np.concatenate(levels[BIGRAM])][which], tokens_all, vocabulary)
+                starts = np.cumsum([0, *row["n_tokens"][:-1]])
+                yield {"doc_id": row["doc_id"], "n_tokens": row["n_tokens"], "n_known": np.add.reduceat((count > 0).astype(np.int64)[ids], starts),
+                       "logs": np.add.reduceat(np.log10(count + 0.5)[ids], starts), "score": np.add.reduceat(score, starts)}
+                counts, levels = [], ([], [])
 
     packed = by_partition(texts_of(docs, "doc_id", F.spark_partition_id().cast("long").alias("_part")), _MIXED, pack)
-    words = model.table.where(F.col("kind") == UNIGRAM).select(
-        F.shiftright("slice", SLICE_BITS - bits).alias("slice"), F.lit(0).alias("stage"), "keys", "counts")
-    met = packed.unionByName(words, allowMissingColumns=True).repartition("slice").sortWithinPartitions("slice", "stage")
-    answered = by_partition(met, _MIXED, answer).repartition("batch").sortWithinPartitions("batch", "stage", "slice")
+    answered = _answered(packed, model).repartition("batch").sortWithinPartitions("batch", "stage", "slice")
     summed = by_partition(answered, _RESULT, add)
     base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(model.tokens + 0.5 * (model.vocabulary + 1)))
     return summed.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

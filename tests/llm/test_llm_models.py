@@ -88,6 +88,47 @@ def test_filter_gives_counts_back(spark, edge_docs, edge_rows):
     assert model.least == 1 and np.mean(np.abs(np.log(got / want)) <= math.log(bloom_lm.BASE) + 1e-9) > 0.98
 
 
+def test_score_uses_every_count(spark, edge_docs, edge_rows):
+    """Pairs seen once included: scores are those of brute-force counts rounded to levels, but for false positives."""
+    train = [low(t) + [None] for d, t, *_ in edge_rows if fold(d) != 1]
+    words, pairs = Counter(w for t in train for w in t), Counter(p for t in train for p in zip([None, *t], t, strict=False))
+    total, vocabulary = sum(words.values()), len(words)
+
+    def rounded(count):
+        return bloom_lm._LEVEL_COUNTS[bloom_lm.level_of(np.array(count))] if count else 0.0
+
+    def score(tokens):
+        out = 0.0
+        for a, b in zip([None, *tokens], tokens, strict=False):
+            before = rounded(words[a])
+            weight = bloom_lm.BIGRAM_WEIGHT * before / (before + bloom_lm.BIGRAM_HALF)
+            single = (rounded(words[b]) + 0.5) / (total + 0.5 * (vocabulary + 1))
+            out += math.log10((1 - weight) * single + weight * min(rounded(pairs[a, b]) / max(before, 1), 1.0))
+        return out
+
+    got = sorted(bloom_lm.scored(edge_docs, bloom_lm.training_rows(edge_docs)).collect(), key=lambda r: (r.doc_id, r.n_tokens))
+    for r, (d, t, *_) in zip(got, sorted(edge_rows, key=lambda x: x[0]), strict=True):
+        if fold(d) != 1:
+            assert r.score == pytest.approx(score(low(t) + [None]), rel=0.03)
+
+
+def test_filter_grows_with_what_is_counted(spark, edge_docs):
+    """No n-gram goes at any size: rare pairs are found, with questions in one slice or in all."""
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/filter-growth"
+    small = bloom_lm.learn(edge_docs.where("doc_id < 13"), f"{path}-small")
+    large = bloom_lm.learn(edge_docs, f"{path}-large")
+    assert large.size > 4 * small.size
+    from tabfeat.llm.text import WordHashes
+
+    hashes, texts = WordHashes(), [r.text for r in edge_docs.where("doc_id = 13").collect()]
+    pairs = np.unique(np.concatenate([bloom_lm.bigram_hashes(bloom_lm.token_hashes(t.encode(), hashes)) for t in texts]))
+    for bits in (bloom_lm.LEAST_BITS, bloom_lm.SLICE_BITS):
+        large.bits = bits
+        assert (large.filter().counts(pairs, bloom_lm.BIGRAM) >= 1).all()
+    unseen = np.arange(1, 20_000, dtype=np.uint64) * bloom_lm._PAIR
+    assert (large.filter().counts(unseen, bloom_lm.BIGRAM) > 0).mean() < 0.05
+
+
 # ---- 7: trusted style ------------------------------------------------------------------------
 
 
