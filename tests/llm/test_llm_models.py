@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tabfeat.llm import bloom_lm, kneser_ney, toxicity, url_filter
 from tabfeat.llm.queries import QUERIES, URL_RULES
@@ -158,6 +159,40 @@ def test_style_of_odd_rows(spark, edge_docs, no_docs):
     assert not kneser_ney.classify(no_docs, none).count()
 
 
+def test_every_language_has_its_model(spark, monkeypatch):
+    """Languages beyond those that are broadcast are judged by their own texts, models and thresholds, as with all broadcast."""
+    alphabets = ["abc", "def", "ghi", "jkl", "mno"]
+    rows = [(100 * k + i, " ".join(letters[(i + j * j) % 3] * (1 + j % 3) for j in range(30 + i % 7)), f"l{k}", "s", None)
+            for k, letters in enumerate(alphabets) for i in range(40 - k)]
+    strange = [(9000 + k, "xyz zyx " * 20, f"l{k}", "s", None) for k in range(5)] + [(9100, "abc", "none", "s", None), (9101, "abc", None, "s", None)]
+    docs = spark.createDataFrame(rows + strange, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    found = []
+    for most in (8, 1):
+        monkeypatch.setattr(kneser_ney, "RESIDENT", most)
+        model = kneser_ney.learn(docs, labels)
+        assert model.complete == (most == 8) and model.stored.count() == 6
+        found.append(sorted(kneser_ney.classify(docs, model).collect()))
+        assert {r.model for r in model.limits.collect()} == {"", *[f"l{k}" for k in range(5)]}
+    for a, b in zip(*found, strict=True):
+        assert a.doc_id == b.doc_id and a.kept == b.kept and a.perplexity == pytest.approx(b.perplexity, rel=1e-9)
+    assert len({r.threshold for r in found[1] if r.doc_id < 9000}) == 5
+    assert not any(r.kept for r in found[1] if 9000 <= r.doc_id < 9100)
+
+
+def test_all_trusted_rows_train(spark, edge_docs):
+    """Counts, and thresholds as percentile_disc gives them, are those of every trusted row."""
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 60)], "doc_id long, quality int")
+    trusted = kneser_ney.trusted_texts(edge_docs, labels)
+    texts = [(r.lang or "", (r.text or "").encode()) for r in edge_docs.collect()]
+    assert sorted(map(tuple, ((r.lang, bytes(r.text)) for r in trusted.collect()))) == sorted(texts)
+    want = Counter(int(c) for _, t in texts for c in kneser_ney.codes(t))
+    assert {r.code: r.n for r in kneser_ney._counts(trusted).where("lang = ''").collect()} == want
+    values = spark.range(3000).selectExpr("concat('m', id % 2) AS model", "1 + (id * id % 977) / 100 AS perplexity")
+    wanted = values.groupBy("model").agg(F.expr(f"percentile_disc({kneser_ney.QUANTILE}) WITHIN GROUP (ORDER BY perplexity)").alias("cut"))
+    assert sorted(kneser_ney._cut(values).collect()) == sorted(wanted.collect())
+
+
 # ---- 8: URLs ---------------------------------------------------------------------------------
 
 
