@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabfeat.llm.components import components
-from tabfeat.llm.text import WordHashes, by_batch, lower_ascii, mixed, numbered, texts_of, window_hashes
+from tabfeat.llm.text import WordHashes, by_batch, give_back, lower_ascii, mixed, numbered, texts_of, window_hashes
 from tabfeat.session import cut_lineage, scratch_path
 
 SHINGLE = 5
@@ -33,6 +33,9 @@ LEAST_AGREEMENT = 0.56
 #: Members of a bucket in one block of the second comparison, and hashes of a set that it compares at most.
 BLOCK, SKETCH = 1024, 1024
 
+#: Hashes that a block compares at once: two tables of 4 bytes for each of them and each member are held.
+COLUMNS = 1024
+
 _random = np.random.default_rng(5)
 _A = (_random.integers(0, 1 << 31, HASHES, np.uint64) * 2 + 1).astype(np.uint32)[:, None]
 _B = _random.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)[:, None]
@@ -176,19 +179,19 @@ def compared_in_block(sketches: list[np.ndarray], levels: np.ndarray, left: np.n
     makes no pair sure.
     """
     out, sure = np.zeros((len(left), len(right)), bool), np.zeros((len(left), len(right)), bool)
-    owner, value = np.repeat(np.arange(len(sketches)), [len(s) for s in sketches]), np.concatenate(sketches)
+    owner, value = np.repeat(np.arange(len(sketches), dtype=np.int32), [len(s) for s in sketches]), np.concatenate(sketches)
     for level in np.unique(levels):
         use = (levels[owner] <= level) & (value < 1 << (32 - int(level)))
         size = np.bincount(owner[use], minlength=len(sketches)).astype(np.float32)
         _, column, times = np.unique(value[use], return_inverse=True, return_counts=True)
         shared = np.flatnonzero(times[column] > 1)
-        member, column = owner[use][shared], np.unique(column[shared], return_inverse=True)[1]
+        member, column = owner[use][shared], np.unique(column[shared], return_inverse=True)[1].astype(np.int32)
         common = np.zeros(out.shape, np.float32)
         order = np.argsort(column, kind="stable")
         member, column = member[order], column[order]
-        for at in range(0, int(column.max(initial=-1)) + 1, 4096):
-            a, b = np.searchsorted(column, [at, at + 4096])
-            table = np.zeros((len(sketches), 4096), np.float32)
+        for at in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+            a, b = np.searchsorted(column, [at, at + COLUMNS])
+            table = np.zeros((len(sketches), COLUMNS), np.float32)
             table[member[a:b], column[a:b] - at] = 1
             common += table[left] @ table[right].T
         union = size[left][:, None] + size[right][None, :] - common
@@ -239,6 +242,8 @@ def _across(members: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame
         possible, sure = compared_in_block([np.frombuffer(s, np.uint32) for s in frame["sketch"]], frame["level"].to_numpy(), left, right)
         chosen = np.array(spanning_pairs(possible, sure, component[left], component[right]), np.int64).reshape(-1, 2)
         a, b = node[left[chosen[:, 0]]], node[right[chosen[:, 1]]]
+        del possible, sure
+        give_back()
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     return rows.groupBy("band", "_i", "_j").applyInPandas(compare, "a long, b long").distinct()

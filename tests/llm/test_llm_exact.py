@@ -226,6 +226,24 @@ def test_block_comparison_of_sketches():
     assert similar[0, 1] and similar[3, 4] and not similar[0, 2] and not similar[3, 5] and not similar[2, 3]
 
 
+def test_memory_of_a_full_block():
+    """Two sides of BLOCK similar sets of 900 shingles are compared in a bounded space."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    base, sketches = rng.integers(0, 1 << 32, 900, dtype=np.uint64).astype(np.uint32), []
+    for _ in range(2 * near_dedup.BLOCK):
+        own, n = base.copy(), rng.integers(0, 300)
+        own[rng.integers(0, 900, n)] = rng.integers(0, 1 << 32, n, dtype=np.uint64)
+        sketches.append(np.unique(own))
+    every = np.arange(2 * near_dedup.BLOCK)
+    tracemalloc.start()
+    near_dedup.compared_in_block(sketches, np.zeros(len(every), int), every[:near_dedup.BLOCK], every[near_dedup.BLOCK:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 135 << 20
+
+
 def test_spanning_pairs_join_what_all_sure_pairs_join():
     rng = np.random.default_rng(4)
     for n, m in ((1, 1), (40, 40), (60, 25)):
