@@ -10,31 +10,47 @@ from __future__ import annotations
 
 import json
 import re
-import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabfeat.llm.text import by_batch, by_partition, texts_of
+from tabfeat.llm.text import by_batch, by_partition, lower_ascii, texts_of
 from tabfeat.session import scratch_path
 
 #: Tokens in a block, unless one document has more.
 BLOCK_TOKENS = 1 << 16
 
-#: Words whose ids a worker remembers; encoding one costs more than hashing it.
-ENCODED_WORDS = 300_000
+#: Pieces, and words that the library encodes whole, whose ids a worker remembers; encoding one costs more than hashing it.
+ENCODED_PIECES, ENCODED_WORDS = 400_000, 50_000
+
+#: Bytes of text that are cut into pieces at a time, unless one word has more.
+SLICE_BYTES = 2 << 20
 
 #: Lengths of the four values of every control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
-#: Anything but Latin letters that no normal form changes and printable ASCII without the apostrophe: words without it are
-#: cut into pieces here just as the tokenizer cuts them.
-_ODD = re.compile(r"[^!-&(-~À-ÖØ-öø-ÿ]")
-_PIECES = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Kinds of bytes. Words without odd ones, which are Latin letters that no normal form changes and printable ASCII without the
+#: apostrophe, are cut into pieces here just as the tokenizer cuts them. Of two bytes, the first says if a letter is one of those
+#: (0xC3), but for the signs of times and division.
+SPACE, LETTER, DIGIT, SIGN, END, ODD = range(6)
+
+
+def _kind(byte: int) -> int:
+    if byte == 0x20 or 0x09 <= byte <= 0x0D:
+        return SPACE
+    if 0x30 <= byte <= 0x39:
+        return DIGIT
+    if 0x41 <= byte <= 0x5A or 0x61 <= byte <= 0x7A or 0x80 <= byte <= 0xBF or byte == 0xC3:
+        return LETTER
+    return SIGN if 0x21 <= byte <= 0x7E and byte != 0x27 else ODD
+
+
+_KINDS = bytes(map(_kind, range(256)))
 
 
 def _byte_characters() -> dict[int, str]:
@@ -66,11 +82,12 @@ class Remembered(dict):
 
 
 class Encoder:
-    """Token ids of texts, as bytes; the library encodes a word once for all its occurrences that a worker remembers.
+    """Token ids of texts; the library encodes a piece once for all its occurrences that a worker remembers.
 
     White space never joins or changes tokens of a lower-casing vocabulary with word ends, so a text's ids are those of
     its words. Pieces of plain words go to the library's model by themselves, which skips its work on offsets; all other
-    words, and whole texts for a vocabulary of another kind, go through its complete encoding.
+    words, and whole texts for a vocabulary of another kind, go through its complete encoding. Texts are cut in slices,
+    all pieces of one at once, and each distinct piece of a slice is looked up once.
     """
 
     _loaded: dict[str, Encoder] = {}
@@ -83,11 +100,11 @@ class Encoder:
         self.dtype = id_type(self.tokenizer.get_vocab_size(with_added_tokens=True))
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.marks = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])) or r"(?!)")
+        self.marks = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", [])).encode() or rb"(?!)")
         self.by_word = (spec.get("model") or {}).get("end_of_word_suffix") == "</w>"
         self.table = str.maketrans({chr(b): c for b, c in _byte_characters().items()})
         self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
-        self.pieces, self.words = Remembered(self._piece, ENCODED_WORDS // 2), Remembered(self._word, ENCODED_WORDS)
+        self.pieces, self.words = Remembered(self._piece, ENCODED_PIECES), Remembered(self._whole, ENCODED_WORDS)
 
     @classmethod
     def load(cls, path: str) -> Encoder:
@@ -95,26 +112,73 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def _piece(self, piece: str) -> bytes:
-        if not piece.isascii():
-            piece = piece.encode("utf-8").decode("latin-1").translate(self.table)
-        return array(self.code, [t.id for t in self.model.tokenize(piece)]).tobytes()
+    def _piece(self, piece: bytes) -> bytes:
+        text = piece.decode("ascii") if piece.isascii() else piece.decode("latin-1").translate(self.table)
+        return array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
 
-    def _whole(self, text: str) -> bytes:
-        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def _whole(self, text: bytes) -> bytes:
+        return array(self.code, self.tokenizer.encode(text.decode("utf-8"), add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8")
-        if _ODD.search(text) or self.marks.search(text):
-            return self._whole(text)
-        if text.isalpha():
-            return self.pieces[text.lower()]
-        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
-
-    def ids(self, text: bytes) -> bytes:
+    def ids(self, texts: list[bytes], end_id: int) -> list[bytes]:
+        """The ids of each text with the end id, as bytes."""
+        end = np.array([end_id], self.dtype).tobytes()
         if not self.by_word:
-            return self._whole(text.decode("utf-8"))
-        return b"".join(map(self.words.__getitem__, text.split()))
+            return [self._whole(t) + end for t in texts]
+        data = b"\0".join([*texts, b""])  # a byte after each text stands for its end
+        ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+        found, stops, at, n = [], [], 0, 0
+        while at < len(data):
+            size, to = SLICE_BYTES, 0
+            while not to:
+                raw = data[at:at + size]
+                own = ends[np.searchsorted(ends, at):np.searchsorted(ends, at + len(raw))] - at
+                kinds = np.frombuffer(raw.translate(_KINDS), np.uint8).copy()
+                kinds[own] = END
+                cuts = np.flatnonzero((kinds == SPACE) | (kinds == END))
+                to, size = (cuts[-1] + 1 if len(cuts) else 0), 2 * size
+            ids, stop = self._slice(raw[:to], kinds[:to], cuts, end)
+            found.append(ids)
+            stops.append(stop + n)
+            at, n = at + int(to), n + len(ids)
+        blob = b"".join(x.tobytes() for x in found)
+        stops = (np.concatenate([np.zeros(1, np.int64), *stops]) * self.dtype.itemsize).tolist()
+        return [blob[i:j] for i, j in zip(stops, stops[1:])]
+
+    def _slice(self, data: bytes, kinds: np.ndarray, cuts: np.ndarray, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of whole words and ends, and how many there are up to each end. ``cuts`` are the places between words."""
+        data.decode("utf-8")  # raises where a text is none
+        raw, lower = np.frombuffer(data, np.uint8), np.frombuffer(lower_ascii(data), np.uint8).copy()
+        two = np.flatnonzero(raw == 0xC3)
+        second = raw[two + 1]
+        lower[two[second <= 0x9E] + 1] += 0x20
+        kinds[two[(second == 0x97) | (second == 0xB7)]] = ODD
+        for mark in self.marks.finditer(data):
+            kinds[mark.start()] = ODD
+        odd = np.unique(np.searchsorted(cuts, np.flatnonzero(kinds == ODD)))
+        if len(odd):  # such a word is one piece as it is
+            step = np.zeros(len(raw) + 1, np.int8)
+            step[np.where(odd > 0, cuts[odd - 1] + 1, 0)] += 1
+            step[cuts[odd]] -= 1
+            whole = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+            kinds[whole], lower[whole] = ODD, raw[whole]
+        first = (kinds == DIGIT) | (kinds == END)
+        first[0] = True
+        first[1:] |= kinds[1:] != kinds[:-1]
+        solid = kinds != SPACE
+        starts = np.flatnonzero(first[solid]).astype(np.int32)
+        bounds = np.append(starts, np.int32(np.count_nonzero(solid)))
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(lower[solid])])
+        kind = kinds[solid][starts]
+        at, known = np.empty(len(starts), np.int64), []
+        for chosen, ids_of in ((kind == END, lambda _: end), (kind == ODD, self.words.__getitem__), (kind < END, self.pieces.__getitem__)):
+            own = pieces.filter(pa.array(chosen)).dictionary_encode()
+            at[chosen] = own.indices.to_numpy() + len(known)
+            known += map(ids_of, own.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat = np.frombuffer(b"".join(known), self.dtype)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        counts = sizes[at]
+        after = np.cumsum(counts)
+        return flat[np.repeat((np.cumsum(sizes) - sizes)[at] - after + counts, counts) + np.arange(counts.sum())], after[kind == END]
 
 
 def id_type(vocabulary: int) -> np.dtype:
@@ -125,9 +189,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """doc_id and the ids of the whole text with the end id, as bytes of ``id_type``."""
 
     def run(batch):
-        encoder = Encoder.load(tokenizer)
-        end = np.array([end_id], encoder.dtype).tobytes()
-        return {"doc_id": batch.column("doc_id").to_pylist(), "ids": [encoder.ids(t) + end for t in batch.column("text").to_pylist()]}
+        return {"doc_id": batch.column("doc_id").to_pylist(), "ids": Encoder.load(tokenizer).ids(batch.column("text").to_pylist(), end_id)}
 
     return by_batch(texts_of(docs, "doc_id"), "doc_id long, ids binary", run)
 
@@ -138,32 +200,39 @@ def frequencies(ids: DataFrame, dtype: np.dtype) -> DataFrame:
     def run(batches):
         counts = np.zeros(1, np.int64)
         for batch in batches:
-            for blob in batch.column("ids").to_pylist():
-                own = np.bincount(np.frombuffer(blob, dtype))
-                if len(own) > len(counts):
-                    counts = np.concatenate([counts, np.zeros(len(own) - len(counts), np.int64)])
-                counts[:len(own)] += own
+            own = np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype))
+            if len(own) > len(counts):
+                counts = np.concatenate([counts, np.zeros(len(own) - len(counts), np.int64)])
+            counts[:len(own)] += own
         seen = np.flatnonzero(counts)
         yield {"id": seen, "n": counts[seen]}
 
     return by_partition(ids.select("ids"), "id long, n long", run).groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def pack(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit integers."""
+def _control_places(counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """Where the code of every token stands when each document begins a control byte, and how many codes there are."""
+    padded = -(-counts // 4) * 4
+    return np.arange(counts.sum()) + np.repeat(np.cumsum(padded) - padded - np.cumsum(counts) + counts, counts), int(padded.sum())
+
+
+def pack(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[bytes, bytes]:
+    """Control and data bytes of unsigned 32-bit integers, of one document or ``counts`` of several."""
     values = values.astype("<u4")
     lengths = 1 + (values >= 1 << 8).astype(np.uint8) + (values >= 1 << 16) + (values >= 1 << 24)
-    codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    codes[:len(values)] = lengths - 1
+    places, n = _control_places(np.array([len(values)]) if counts is None else counts)
+    codes = np.zeros(n, np.uint8)
+    codes[places] = lengths - 1
     control = codes[0::4] | codes[1::4] << 2 | codes[2::4] << 4 | codes[3::4] << 6
     return control.tobytes(), values.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]].tobytes()
 
 
-def unpack(control: np.ndarray, data: np.ndarray, n: int) -> tuple[np.ndarray, int]:
-    """The first ``n`` integers behind ``control``, and how many data bytes they take."""
-    mask = np.arange(4) < LENGTHS[control].reshape(-1)[:n, None]
+def unpack(control: np.ndarray, data: np.ndarray, n: int | np.ndarray) -> tuple[np.ndarray, int]:
+    """The integers behind ``control``, the first ``n`` or as many for each of several documents, and how many data bytes they take."""
+    places, _ = _control_places(np.atleast_1d(n))
+    mask = np.arange(4) < LENGTHS[control].reshape(-1)[places, None]
     used = int(mask.sum())
-    out = np.zeros((n, 4), np.uint8)
+    out = np.zeros((len(places), 4), np.uint8)
     out[mask] = data[:used]
     return out.view("<u4").reshape(-1), used
 
@@ -184,30 +253,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
     spark.createDataFrame(list(enumerate(order)), "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     sent = spark.sparkContext.broadcast(rank)
 
-    def packed(batch):
-        out = defaultdict(list)
-        out["doc_id"] = batch.column("doc_id").to_pylist()
-        for blob in batch.column("ids").to_pylist():
-            values = sent.value[np.frombuffer(blob, dtype)]
-            control, data = pack(values)
-            out["n"].append(len(values))
-            out["control"].append(control)
-            out["data"].append(data)
-        return out
-
-    coded = by_batch(ids, "doc_id long, n long, control binary, data binary", packed)
-    dealt = coded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "n", "control", "data")
-    dealt = dealt.withColumn("part", F.spark_partition_id())
-
     def blocks(batches) -> Iterator[dict[str, list]]:
         first, start, block = 0, 0, defaultdict(list)
 
         def done():
+            counts = np.array(block["n"])
+            control, data = pack(sent.value[np.frombuffer(b"".join(block["ids"]), dtype)], counts)
             return {"part": [block["part"][0]], "first": [start], "doc_ids": [block["doc_id"]], "lengths": [block["n"]],
-                    "control": [b"".join(block["control"])], "data": [b"".join(block["data"])]}
+                    "control": [control], "data": [data]}
 
         for batch in batches:
             rows = batch.to_pydict()
+            rows["n"] = [len(blob) // dtype.itemsize for blob in rows["ids"]]
             for k, n in enumerate(rows["n"]):
                 if block["n"] and first + n - start > BLOCK_TOKENS:
                     yield done()
@@ -218,7 +275,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
         if block["n"]:
             yield done()
 
-    by_partition(dealt, BLOCKS, blocks).write.parquet(f"{path}/blocks")
+    by_partition(in_order(ids), BLOCKS, blocks).write.parquet(f"{path}/blocks")
+
+
+def in_order(ids: DataFrame) -> DataFrame:
+    """Encoded documents over ranges of doc_id, whose number is ``part``; ranges are drawn from the table as it was written."""
+    dealt = ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.length("ids"), "ids")
+    return dealt.withColumn("part", F.spark_partition_id())
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -234,20 +297,16 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def run(batch):
         out = defaultdict(list)
         for row in batch.to_pylist():
-            control, data = np.frombuffer(row["control"], np.uint8), np.frombuffer(row["data"], np.uint8)
-            start = row["base"] + row["first"]
-            for doc, n in zip(row["doc_ids"], row["lengths"], strict=True):
-                own = -(-n // 4)
-                values, used = unpack(control[:own], data, n)
-                control, data = control[own:], data[used:]
-                out["doc_id"].append(doc)
-                out["start"].append(start)
-                out["n_tokens"].append(n)
-                out["ids"].append(sent.value[values].tobytes())
-                start += n
+            counts = np.array(row["lengths"])
+            values, _ = unpack(np.frombuffer(row["control"], np.uint8), np.frombuffer(row["data"], np.uint8), counts)
+            ids, ends = sent.value[values], np.cumsum(counts).tolist()
+            out["doc_id"] += row["doc_ids"]
+            out["start"] += (np.cumsum(counts) - counts + row["base"] + row["first"]).tolist()
+            out["n_tokens"] += row["lengths"]
+            out["ids"] += [ids[i:j].tobytes() for i, j in zip([0, *ends], ends)]
         return out
 
-    return by_batch(blocks.join(parts, "part"), "doc_id long, start long, n_tokens long, ids binary", run)
+    return by_batch(blocks.join(F.broadcast(parts), "part"), "doc_id long, start long, n_tokens long, ids binary", run)
 
 
 def token_digest(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None) -> DataFrame:
@@ -259,10 +318,4 @@ def token_digest(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     """
     path = path or scratch_path(docs.sparkSession, "tokens")
     write_tokens(docs, path, tokenizer, end_id)
-    read = read_tokens(docs.sparkSession, path)
-
-    def run(batch):
-        out = {c: batch.column(c).to_pylist() for c in ("doc_id", "start", "n_tokens")}
-        return out | {"ids_crc32": [zlib.crc32(b) for b in batch.column("ids").to_pylist()]}
-
-    return by_batch(read, "doc_id long, start long, n_tokens long, ids_crc32 long", run)
+    return read_tokens(docs.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

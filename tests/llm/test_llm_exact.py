@@ -115,6 +115,51 @@ def test_blocks_split_and_codes_of_every_length(spark, monkeypatch, edge_docs, e
     assert token_output.read_tokens(spark, path).count() == len(edge_rows)
 
 
+ODD_PARTS = ["a", "B", "word", "É", "é", "ß", "Þ", "×", "÷", "ÿ", "'s", "’", "0", "12", "#", "<", ".", "...", "<|endoftext|>", "<|ENDOFTEXT|>", " ", "  ",
+             "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2009", "\0", "\x7f", "日本", "é", "\u0301", "İ", "\u212a", "ﬁ", "😀", "²", "ª", "Ω"]
+
+
+@pytest.mark.parametrize("size", [7, 300, 1 << 20])
+def test_cut_pieces_have_the_ids_of_whole_texts(monkeypatch, size):
+    monkeypatch.setattr(token_output, "SLICE_BYTES", size)
+    rng = np.random.default_rng(size)
+    texts = ["", "\0", " ", "É", "x" * 1000, "日" * 500] + ["".join(rng.choice(ODD_PARTS, n)) for n in rng.integers(0, 25, 3000)]
+    encoder = token_output.Encoder(tokenizer_path())
+    want = [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids + [2], encoder.dtype).tobytes() for t in texts]
+    assert encoder.ids([t.encode() for t in texts], 2) == want and encoder.ids([], 2) == []
+    with pytest.raises(UnicodeDecodeError):
+        encoder.ids([b"no \xc3 text"], 2)
+
+
+def test_a_slice_asks_once_for_a_piece(monkeypatch):
+    monkeypatch.setattr(token_output, "ENCODED_PIECES", 0)
+    encoder, asked = token_output.Encoder(tokenizer_path()), Counter()
+    model = encoder.pieces.fn
+    encoder.pieces.fn = lambda piece: asked.update([piece]) or model(piece)
+    encoder.ids([b"Word word, (WORD) other. " * 100, b"other word"], 2)
+    assert asked == {b"word": 1, b"other": 1, b",": 1, b"(": 1, b")": 1, b".": 1}
+
+
+def test_packed_documents_together_equal_each_alone():
+    rng = np.random.default_rng(1)
+    counts = np.array([1, 4, 3, 0, 9, 2])
+    values = rng.integers(0, 1 << 32, counts.sum(), np.uint32) >> rng.integers(0, 32, counts.sum(), np.uint32)
+    each = [token_output.pack(v) for v in np.split(values, np.cumsum(counts)[:-1])]
+    control, data = token_output.pack(values, counts)
+    assert (control, data) == (b"".join(c for c, _ in each), b"".join(d for _, d in each))
+    back, used = token_output.unpack(np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), counts)
+    assert back.tolist() == values.tolist() and used == len(data)
+
+
+def test_ids_pass_python_once_to_be_packed_and_once_to_be_read(spark, edge_docs, capsys):
+    """Ranges are drawn before the ids are packed, blocks are not shuffled to be read, and Spark takes the checksums."""
+    ids = token_output.in_order(spark.createDataFrame([(2, b"ab"), (1, b"abcd"), (1, b"ab")], "doc_id long, ids binary"))
+    assert [(r.doc_id, bytes(r.ids)) for r in ids.coalesce(1).collect()] == [(1, b"ab"), (1, b"abcd"), (2, b"ab")]
+    token_output.token_digest(edge_docs, tokenizer_path(), 2).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("MapInArrow") == 1 and "SortMergeJoin" not in plan
+
+
 # ---- 4: statistics of quality rules ----------------------------------------------------------
 
 
