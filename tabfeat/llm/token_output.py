@@ -275,7 +275,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
         if block["n"]:
             yield done()
 
-    by_partition(in_order(ids), BLOCKS, blocks).write.parquet(f"{path}/blocks")
+    by_partition(in_order(ids), BLOCKS, blocks).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def in_order(ids: DataFrame) -> DataFrame:
