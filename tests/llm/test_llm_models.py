@@ -1,5 +1,7 @@
 """Operators with a model: exact parts against brute force, the rest by accuracy on held-out rows."""
 
+import contextlib
+import io
 import math
 import zlib
 from collections import Counter
@@ -193,6 +195,59 @@ def test_all_trusted_rows_train(spark, edge_docs):
     assert sorted(kneser_ney._cut(values).collect()) == sorted(wanted.collect())
 
 
+def test_training_takes_small_plans(spark, monkeypatch):
+    """The orders share one branch of a plan: what the driver holds (threads, generated code, plans) grows with its exchanges."""
+    rows = [(i, f"word {i} " * 20, "en", "s", None) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(r[0], 1) for r in rows], "doc_id long, quality int")
+    exchanges, written = [], kneser_ney._written
+
+    def counted(df, *args):
+        said = io.StringIO()
+        with contextlib.redirect_stdout(said):
+            df.explain()
+        exchanges.append(said.getvalue().count("Exchange "))
+        return written(df, *args)
+
+    monkeypatch.setattr(kneser_ney, "_written", counted)
+    kneser_ney.train(kneser_ney.trusted_texts(docs, labels))
+    assert max(exchanges) <= 10 and sum(exchanges) <= 25, exchanges
+
+
+def test_tables_against_brute_force(spark):
+    """Tables are those of interpolated modified Kneser-Ney, computed one n-gram at a time."""
+    texts = [("en", b"the cat sat on the mat. the cat ran. " * 2), ("en", b"a dog sat, the dogs ran; 12 cats!"), ("de", b"der hund und die katze"), ("en", b"")]
+    model = kneser_ney.train(spark.createDataFrame(texts, "lang string, text binary"))
+    size, order = kneser_ney.SYMBOLS, kneser_ney.ORDER
+    for lang in ("en", "de", ""):
+        counts = {order: Counter(int(c) for name, t in texts if lang in (name, "") for c in kneser_ney.codes(t))}
+        for k in range(order - 1, 0, -1):
+            counts[k] = Counter(c % size**k for c in counts[k + 1])
+        discounts, within = {}, {}
+        for k, own in counts.items():
+            t1, t2, t3, t4 = (max(1, sum(n == i for n in own.values())) for i in range(1, 5))
+            y = t1 / (t1 + 2 * t2)
+            raw = 1 - 2 * y * t2 / t1, 2 - 3 * y * t3 / t2, 3 - 4 * y * t4 / t3
+            discounts[k] = [min(max(d, 0.05), most) for d, most in zip(raw, (0.95, 1.95, 2.95), strict=True)]
+            within[k] = {}
+            for c, n in own.items():
+                within[k].setdefault(c // size, []).append(n)
+
+        def probability(code, k, counts=counts, discounts=discounts, within=within):
+            if k == 0:
+                return 1 / size
+            code %= size**k
+            below, beside = probability(code, k - 1), within[k].get(code // size)
+            if beside is None:
+                return below
+            n, less = counts[k][code], lambda n: discounts[k][min(n, 3) - 1]
+            return ((n - less(n) if n else 0) + sum(map(less, beside)) * below) / sum(beside)
+
+        table = model.tables[lang]
+        for code in [*counts[order], *range(0, size**order, 9973)]:
+            assert table[code] == pytest.approx(np.log10(probability(code, order)), rel=1e-5)
+
+
 # ---- 8: URLs ---------------------------------------------------------------------------------
 
 
