@@ -214,6 +214,26 @@ def test_training_takes_small_plans(spark, monkeypatch):
     assert max(exchanges) <= 10 and sum(exchanges) <= 25, exchanges
 
 
+def test_driver_gets_one_table_at_a_time(spark, monkeypatch):
+    """A table has up to 10 MB, and the driver holds what it collects at once several times over."""
+    rows = spark.createDataFrame([(f"l{i % 3}", b"some words of text %d" % i) for i in range(9)], "lang string, text binary")
+    got, kind = [], type(rows)
+
+    def noted(name, own):
+        def run(self, *args, **more):
+            out = own(self, *args, **more)
+            if "table" in self.columns:
+                got.append(len(out))
+            return out
+
+        monkeypatch.setattr(kind, name, run)
+
+    for name in ("collect", "toArrow"):
+        noted(name, getattr(kind, name))
+    model = kneser_ney.train(rows)
+    assert set(model.tables) == {"", "l0", "l1", "l2"} and got == [1] * 4
+
+
 def test_tables_against_brute_force(spark):
     """Tables are those of interpolated modified Kneser-Ney, computed one n-gram at a time."""
     texts = [("en", b"the cat sat on the mat. the cat ran. " * 2), ("en", b"a dog sat, the dogs ran; 12 cats!"), ("de", b"der hund und die katze"), ("en", b"")]
