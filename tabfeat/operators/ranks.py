@@ -10,7 +10,9 @@ fill a bucket on its own gets one whose ranks need no window.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,9 +44,7 @@ def exact_quantiles(
         found.update({k: row[k] if row[k] is not None else [None] * len(probs) for k in small})
     large = [k for k in named if counts[k] > limit]
     if large and len(probs) > MANY_PROBS:
-        long = work.unpivot([], [F.col(k) for k in large], "k", "x")
-        rows = grouped_quantiles(long, ["k"], "x", probs, limit).collect()
-        found.update({r["k"]: r["quantiles"] for r in rows})
+        found.update(_many_quantiles(work, large, probs, counts, limit))
     elif large:
         wanted = {
             (k, r)
@@ -54,14 +54,43 @@ def exact_quantiles(
         }
         values = _select_ranks(work, sorted(wanted), counts, limit)
         for k in large:
-            found[k] = []
-            for p in probs:
-                at = p * (counts[k] - 1)
-                low, high = values[k, math.floor(at)], values[k, math.ceil(at)]
-                found[k].append(low if low == high else low + (high - low) * (at - math.floor(at)))
+            found[k] = _between(probs, counts[k], lambda rank: values[k, rank])
     return {c: found[k] for k, c in zip(named, cols)}
 
 
+def _between(probs: Sequence[float], n: int, value) -> list[float]:
+    """Quantiles interpolated between ``value(rank)`` of the 0-based ranks around them."""
+    out = []
+    for p in probs:
+        at = p * (n - 1)
+        low, high = value(math.floor(at)), value(math.ceil(at))
+        out.append(low if low == high else low + (high - low) * (at - math.floor(at)))
+    return out
+
+
+def _many_quantiles(work: DataFrame, cols: Sequence[str], probs: Sequence[float], counts: dict[str, int], limit: int) -> dict[str, list[float]]:
+    """Quantiles of large columns from the ranks of their distinct values.
+
+    The wanted ranks are one literal of the plan, whatever their number; at most two values for each come to the driver.
+    """
+    long = work.unpivot([], [F.col(k) for k in cols], "k", "x").where(F.col("x").isNotNull())
+    counted = long.groupBy("k", "x").agg(F.count(F.lit(1)).alias("_w"))
+    ranked = add_rank(counted, "x", ["k"], weight="_w", bucket_rows=limit, largest=max(counts[k] for k in cols))
+    wanted = {k: sorted({side(p * (counts[k] - 1)) for p in probs for side in (math.floor, math.ceil)}) for k in cols}
+    marks = reduce(lambda other, k: F.when(F.col("k") == k, F.split(F.lit(" ".join(map(str, wanted[k]))), " ").cast("array<long>")).otherwise(other), cols, F.lit(None))
+    most = max(map(len, wanted.values()))
+    first, upto = F.col("x_before"), F.col("x_before") + F.col("x_ties")
+    covers = count_below(upto, marks, most, True) > count_below(first, marks, most, True)
+    hits: dict[str, list[tuple]] = {k: [] for k in cols}
+    for r in ranked.where(covers).select("k", "x", first.alias("first")).collect():
+        hits[r["k"]].append((r["first"], r["x"]))
+    out = {}
+    for k in cols:
+        starts, values = zip(*sorted(hits[k]))
+        out[k] = _between(probs, counts[k], lambda rank: values[bisect_right(starts, rank) - 1])
+    return out
+
+
 def _inside(k: str, lo: float, hi: float) -> Column:
     return (F.col(k) > F.lit(lo)) & (F.col(k) < F.lit(hi))
 

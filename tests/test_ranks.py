@@ -47,6 +47,23 @@ def test_exact_quantiles_many_probs_and_empty(spark, skewed):
     assert ranks.exact_quantiles(empty, ["x"], [0.5]) == {"x": [None]}
 
 
+def test_many_quantiles_in_a_small_plan(skewed, monkeypatch):
+    """Plans of a literal or more for each wanted rank took all memory of the driver."""
+    df, pdf = skewed
+    probs, lit, made = [i / 999 for i in range(1000)], F.lit, []
+    monkeypatch.setattr(ranks.F, "lit", lambda value: made.append(1) or lit(value))
+    got = ranks.exact_quantiles(df, ["x", "y"], probs, 100)
+    assert len(made) < 300
+    assert np.allclose(got["y"], np.quantile(pdf["y"].dropna(), probs))
+    values = np.sort(pdf["x"].dropna().to_numpy())
+    at = np.array(probs) * (len(values) - 1)
+    low, high = values[np.floor(at).astype(int)], values[np.ceil(at).astype(int)]
+    same = low == high
+    assert (np.array(got["x"])[same] == low[same]).all() and np.isinf(low[same]).any()
+    inside = np.isfinite(low) & np.isfinite(high)
+    assert np.allclose(np.array(got["x"])[inside], (low + (high - low) * (at - np.floor(at)))[inside])
+
+
 def test_exact_quantiles_constant_column(spark):
     df = spark.range(500).select(F.lit(3.0).alias("x"))
     assert ranks.exact_quantiles(df, ["x"], [0.25, 0.5], 10)["x"] == [3.0, 3.0]
