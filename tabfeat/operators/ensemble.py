@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tabfeat.functions.columns import numeric, q
 from tabfeat.operators.folds import metric_exprs
-from tabfeat.operators.gram import Moments, moments, total
+from tabfeat.operators.gram import NARROW, Moments, moments, total
 from tabfeat.operators.iterate import kept
 from tabfeat.operators.linear import SOLVERS, LinearModel, fit_weighted_huber, r2_from, solve, usable
 from tabfeat.operators.ranks import exact_quantiles
@@ -32,16 +32,22 @@ def draw_uniform(key: Sequence[str], replica: Column, seed: int) -> Column:
     return F.shiftrightunsigned(bits, 11) / F.lit(float(1 << 53))
 
 
-def poisson_weight(u: Column, rate: float) -> Column:
-    """Poisson count of the uniform draw: how often a bootstrap sample of this rate takes the row."""
-    out, p, cumulative, k = F.lit(0.0), math.exp(-rate), 0.0, 0
+def _poisson_borders(rate: float) -> list[float]:
+    """Where the uniform draw gives one more: the distribution function at 0, 1, ..."""
+    p, cumulative, k = math.exp(-rate), 0.0, 0
     borders = []
     while cumulative + p < 1 - 1e-12 and k < 60:
         cumulative += p
         borders.append(cumulative)
         k += 1
         p *= rate / k
-    for i, border in enumerate(borders):
+    return borders
+
+
+def poisson_weight(u: Column, rate: float) -> Column:
+    """Poisson count of the uniform draw: how often a bootstrap sample of this rate takes the row."""
+    out = F.lit(0.0)
+    for i, border in enumerate(_poisson_borders(rate)):
         out = F.when(u >= border, F.lit(float(i + 1))).otherwise(out)
     return out
 
@@ -77,10 +83,12 @@ class Average:
 Draw = Callable[[Column], Column]
 
 
-def replica_moments(df: DataFrame, cols: Sequence[str], weights: Column, replicas: int) -> list[Moments]:
+def replica_moments(
+    df: DataFrame, cols: Sequence[str], weights: Column, replicas: int, borders: Sequence[float] | None = None,
+) -> list[Moments]:
     """Moments of the rows under each of the weights in an array column, from one scan; a row is not copied per replica.
 
-    A task multiplies each batch by the weights of one replica after the other and sends one row of sums a replica.
+    With ``borders`` a weight is how many of them do not exceed the number in the array. A task multiplies each batch by the weights of one replica after the other and sends one row of sums a replica.
     """
     cols, p = list(cols), len(cols)
     x = [numeric(df, c).cast("double") for c in cols]
@@ -92,7 +100,13 @@ def replica_moments(df: DataFrame, cols: Sequence[str], weights: Column, replica
         out = np.zeros((replicas, 1 + p + p * p))
         for batch in batches:
             w = batch.column("w").flatten().to_numpy(zero_copy_only=False).reshape(-1, replicas)
+            if borders is not None:
+                w = np.searchsorted(borders, w, side="right").astype(float)
             block = np.column_stack([batch.column(f"x{i}").to_numpy(zero_copy_only=False) for i in range(p)])
+            if p <= NARROW:  # one product for all replicas
+                products = (block[:, :, None] * block[:, None]).reshape(len(block), p * p)
+                out += w.T @ np.concatenate([np.ones((len(block), 1)), block, products], axis=1)
+                continue
             for k in range(replicas):
                 scaled = block * w[:, k:k + 1]
                 out[k] += np.concatenate([[w[:, k].sum()], scaled.sum(axis=0), (scaled.T @ block).ravel()])
@@ -122,14 +136,18 @@ def bagging(
     width = max(1, int(round(max_features * len(features))))
     subsets = [sorted(rng.choice(len(features), width, replace=False).tolist()) for _ in range(n_estimators)]
 
+    def uniform(replica: Column) -> Column:
+        return draw(replica) if draw else draw_uniform(key, replica, seed)
+
     def weight(replica: Column) -> Column:
-        u = draw(replica) if draw else draw_uniform(key, replica, seed)
-        return poisson_weight(u, max_samples) if bootstrap else (u < max_samples).cast("double")
+        return poisson_weight(uniform(replica), max_samples) if bootstrap else (uniform(replica) < max_samples).cast("double")
 
     if family in SOLVERS:
-        drawn = F.array(*[weight(F.lit(i)) for i in range(n_estimators)])
-        rows = df.select(*[numeric(df, f).alias(f"x{i}") for i, f in enumerate(features)], numeric(df, label).alias("y"), drawn.alias("w"))
-        parts = replica_moments(rows, [*[f"x{i}" for i in range(len(features))], "y"], F.col("w"), n_estimators)
+        # the draws travel as they are: the weight as a column would draw anew in each of its tests
+        drawn = [F.coalesce(uniform(F.lit(i)), F.lit(-1.0)) if bootstrap else weight(F.lit(i)) for i in range(n_estimators)]
+        rows = df.select(*[numeric(df, f).alias(f"x{i}") for i, f in enumerate(features)], numeric(df, label).alias("y"), F.array(*drawn).alias("w"))
+        parts = replica_moments(rows, [*[f"x{i}" for i in range(len(features))], "y"], F.col("w"), n_estimators,
+                                _poisson_borders(max_samples) if bootstrap else None)
         models = []
         for part, chosen in zip(parts, subsets):
             if part.n <= 0:

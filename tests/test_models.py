@@ -265,6 +265,30 @@ def test_metrics_against_evaluator(data):
     assert math.isclose(r["rmse"], ev.evaluate(scored, {ev.metricName: "rmse"}))
 
 
+def test_bagging_draws_each_number_once(spark, monkeypatch):
+    """Hashes repeated in every test of a weight took most of the time of a search over many rows."""
+    plans, plain = [], ensemble.replica_moments
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 2))
+    df = spark.createDataFrame(pd.DataFrame({"id": range(400), "a": x[:, 0], "b": x[:, 1], "y": x @ [1.0, 2.0] + rng.normal(size=400)}))
+
+    def seen(rows, cols, weights, replicas, *more):
+        plans.append(rows.select(weights.alias("w"))._jdf.queryExecution().optimizedPlan().toString())
+        plans.append(rows.select(weights.alias("w"), *cols).toPandas())
+        return plain(rows, cols, weights, replicas, *more)
+
+    monkeypatch.setattr(ensemble, "replica_moments", seen)
+    found = ensemble.bagging(df, ["id"], ["a", "b"], "y", "ridge", {"alpha": 1.0}, n_estimators=3)
+    assert plans[0].count("xxhash64") == 3
+    own = plans[1]
+    for i, m in enumerate(found.models):
+        w = df.select(ensemble.poisson_weight(ensemble.draw_uniform(["id"], F.lit(i), 0), 1.0).alias("w")).toPandas()["w"].to_numpy()
+        assert len(set(w)) > 2
+        a, t = own[["x0", "x1"]].to_numpy(), own["y"].to_numpy()
+        a, t = a - np.average(a, axis=0, weights=w), t - np.average(t, weights=w)
+        assert np.allclose(m.coef, np.linalg.solve((a * w[:, None]).T @ a + np.eye(2), (a * w[:, None]).T @ t))
+
+
 def test_poisson_weights(spark):
     df = spark.range(40000).withColumn("w", ensemble.poisson_weight(ensemble.draw_uniform(["id"], F.lit(3), 0), 1.0))
     r = df.agg(F.avg("w"), F.var_pop("w"), F.max("w")).first()
